@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pii, quality, secrets, simhash
+from . import mixing, packing, pii, quality, secrets, simhash
 from .shared import table
 
 
@@ -19,6 +20,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"))
 
@@ -28,7 +37,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_rules, op9_pii, op10_secret_scan)
+    f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op9_pii, op10_secret_scan)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}
