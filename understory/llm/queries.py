@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, pii, quality, quotes, secrets, simhash, urls
+from . import mixing, nearest, packing, pii, quality, quotes, secrets, simhash, urls
 from .shared import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op8_quotation_linking, op9_pii, op10_secret_scan)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op8_quotation_linking, op9_pii, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}
