@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, nearest, packing, pii, quality, quotes, secrets, simhash, urls
+from . import mixing, nearest, packing, passages, pii, quality, quotes, secrets, simhash, urls
 from .shared import table
 
 
@@ -39,6 +39,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(table(spark, sf_dir, "conversations"))
 
@@ -52,7 +56,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op8_quotation_linking, op9_pii, op10_secret_scan)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op7_substring_dedup, op8_quotation_linking, op9_pii, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}

@@ -35,26 +35,28 @@ def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 
 
 def tokens(url: Column) -> Column:
-    """Distinct items of a URL: scheme, host suffixes, host labels, path segments, extension, query keys, fragment."""
+    """Distinct items of a URL: scheme, words of the host, path segments, extension, query keys."""
     host, path = host_path(url)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     words = F.transform(F.split(host, r"[.-]"), lambda x: F.concat(F.lit("word:"), x))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), x))
     kind = F.array(F.concat(F.lit("ext:"), F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)), F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1)))
     keys = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)="), 1), lambda x: F.concat(F.lit("key:"), x))
-    return F.coalesce(F.array_distinct(F.concat(suffixes, words, parts, kind, keys)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.concat(words, parts, kind, keys)), F.array().cast("array<string>"))
 
 
-def mine(urls: DataFrame, labels: DataFrame, support: float = 0.01, confidence: float = 0.6, lift: float = 1.5) -> DataFrame:
+def mine(urls: DataFrame, labels: DataFrame, support: float = 0.01, confidence: float = 0.6, lift: float = 1.5, pages: int = 20) -> DataFrame:
     """Rules (antecedent, confidence) from labelled URLs (id, url) and (id, bad): FP-growth over URL tokens and the label.
 
-    Kept are rules that lead to the bad label with the least confidence and lift, and of those none that holds a
+    A rule needs the support as a share of the labelled URLs and as a number of ``pages``: fewer prove nothing, and
+    at a support of a few URLs nearly every combination would be frequent. Kept are rules that lead to the bad label with the least confidence and lift, and of those none that holds a
     kept rule's tokens and is no surer: what the shorter one blocks needs no longer one.
     """
     marked = urls.join(labels.groupBy("id").agg(F.max("bad").alias("bad")), "id").select(tokens(F.col("url")).alias("t"), "bad")
     baskets = cut(marked.select(F.when(F.col("bad"), F.array_append("t", F.lit(BLOCK))).otherwise(F.col("t")).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    total = baskets.count()
+    if total < pages:
+        return baskets.where("false").select(F.col("items").alias("antecedent"), F.lit(1.0).alias("confidence"))
+    model = FPGrowth(itemsCol="items", minSupport=max(support, pages / total), minConfidence=confidence).fit(baskets)
     sure = cut(model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence"))
     # a rule falls to a shorter one that shares a token with it: found over tokens, not by pairing all rules
     parts = sure.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
