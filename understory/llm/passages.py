@@ -72,16 +72,25 @@ def paragraph_rows(docs: DataFrame, how: Passages) -> DataFrame:
     def run(keys: list, texts: list) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("doc_id", "line", "start", "words", "class", "keys")}
         for key, text in zip(keys, texts, strict=True):
-            start = 0
-            for i, line in enumerate((text or "").split("\n")):
-                raw = line.encode("utf-8", "surrogatepass")
-                words = raw.lower().split()
-                if len(words) >= how.paragraph_words:
-                    shingles = _shingle_hashes(_word_hashes(words), how.width)
-                    least = np.array([_mix(shingles ^ s).min() for s in salts]) ^ salts
-                    for name, v in zip(out, (key, i, start, len(words), np.uint64(xxhash.xxh64_intdigest(raw, 42)).astype(np.int64), least.view(np.int64)), strict=True):
-                        out[name].append(v)
-                start += len(words)
+            lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+            words: list[bytes] = []
+            kept = []  # line, start, words
+            for i, line in enumerate(lines):
+                own = line.lower().split()
+                if len(own) >= how.paragraph_words:
+                    kept.append((i, len(words), len(own)))
+                words += own
+            if not kept:
+                continue
+            shingles = _shingle_hashes(_word_hashes(words), how.width)
+            ends = np.array([(a, a + n - how.width + 1) for _, a, n in kept]).ravel()  # of the shingles within each line
+            least = [np.minimum.reduceat(np.append(_mix(shingles ^ s), s), ends)[::2] ^ s for s in salts]
+            out["doc_id"] += [key] * len(kept)
+            out["line"] += [i for i, _, _ in kept]
+            out["start"] += [a for _, a, _ in kept]
+            out["words"] += [n for _, _, n in kept]
+            out["class"] += [np.uint64(xxhash.xxh64_intdigest(lines[i], 42)).astype(np.int64) for i, _, _ in kept]
+            out["keys"] += list(np.stack(least, axis=1).view(np.int64))
         return out
 
     return map_texts(docs, "doc_id", "text", "doc_id bigint, line int, start int, words int, class bigint, keys array<bigint>", run)
