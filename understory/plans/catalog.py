@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gridding, neighbours, scoring  # noqa: F401
+from . import fusion, gridding, neighbours, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
