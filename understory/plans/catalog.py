@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fusion, gridding, kernelled, neighbours, scoring  # noqa: F401
+from . import fusion, governing, gridding, kernelled, neighbours, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
