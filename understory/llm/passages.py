@@ -22,7 +22,7 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .graph import components
+from ..operators.graph import components
 from .shared import cut, map_texts
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.checkpoint import cut
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["cut", "map_texts", "table"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder so that its lineage ends here.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests) is a
-    temporary one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given Parquet tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_texts(df: DataFrame, key: str, text: str, schema: str, fn: Callable[[list, list], dict[str, list]], pack: int = 256) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .graph import components
+from ..operators.graph import components
 from .shared import cut, map_texts
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift, bits
