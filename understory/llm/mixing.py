@@ -26,8 +26,8 @@ def words(text: Column) -> Column:
 
 def quality(text: Column, size: Column) -> Column:
     """Weight of a document: half where its words are unlikely short or long on average."""
-    mean = F.length(text) / size
-    return F.when((size > 0) & (mean >= 3) & (mean <= 12), 1.0).otherwise(0.5)
+    mean = F.try_divide(F.length(text), size)
+    return F.when((mean >= 3) & (mean <= 12), 1.0).otherwise(0.5)
 
 
 def keyed(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -190,7 +190,7 @@ def repeated_runs(blocks: DataFrame, how: Passages) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("start", "class")
     fresh = F.when(F.col("start") - F.lag(F.col("start") + F.col("words")).over(order) <= how.gap_words, 0).otherwise(1)
     runs = hit.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("words")).alias("stop"), F.sum("words").alias("n"), F.collect_set("class").alias("classes"))
+    found = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("words")).alias("stop"), F.sum("words").alias("n"), F.array_sort(F.collect_set("class")).alias("classes"))
     return found.where((F.col("n") >= how.run_words) & (F.col("n") >= how.similarity * (F.col("stop") - F.col("start")))).select("doc_id", "start", "stop", "classes")
 
 
@@ -209,8 +209,14 @@ def repeated(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     lines = lines.join(alike, "class").select("doc_id", "start", "stop", F.lit("paragraph").alias("kind"), F.array("class").alias("classes"))
     runs = repeated_runs(cut(block_rows(docs, how)), how).withColumn("kind", F.lit("passage"))
     nodes = cut(lines.unionByName(runs).withColumn("id", F.xxhash64("kind", "doc_id", "start", "stop")))
-    edges = nodes.select("id", F.explode("classes").alias("class"))
-    cluster = components(edges, "id", "class")
+    # copies of a run have the same blocks: they meet in one signature, and only that meets the blocks
+    sign = F.when(F.size("classes") == 1, F.col("classes")[0]).otherwise(F.xxhash64("classes"))
+    signed = nodes.select("id", sign.alias("sign"), "classes")
+    speaker = signed.groupBy("sign").agg(F.min("id").alias("_first"))
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    told = F.when(F.col("id") == F.col("_first"), F.transform("classes", lambda c: pair(F.col("sign"), c))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    edges = signed.join(speaker, "sign").select(F.explode(F.array_append(told, pair(F.col("id"), F.col("sign")))).alias("e"))
+    cluster = components(edges.select("e.a", "e.b"), "a", "b")
     placed = nodes.join(cluster, nodes["id"] == cluster["node"], "left").select("doc_id", "start", "stop", "kind", F.coalesce("root", "id").alias("root"))
     first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "start", "kind", "stop")).alias("_f"))
     same = (F.col("doc_id") == F.col("_f.doc_id")) & (F.col("start") == F.col("_f.start")) & (F.col("kind") == F.col("_f.kind"))
