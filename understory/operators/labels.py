@@ -54,13 +54,13 @@ def partition_diagnostics(points: DataFrame, group: str, edges: DataFrame, label
     in different groups. Unknown labels count for sizes only.
     """
     sizes = points.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col(label) >= 0, F.col(label))).alias("labels"))
-    s = sizes.agg(F.sum("n").alias("points"), F.count("*").alias("groups"), F.median("n").alias("median_points"), F.percentile("n", F.lit(0.95)).alias("p95_points"), (F.count_if(F.expr("labels > 1")) / F.count_if(F.expr("labels > 0"))).alias("mixed_share"))
+    s = sizes.agg(F.sum("n").alias("points"), F.count("*").alias("groups"), F.median("n").alias("median_points"), F.percentile("n", F.lit(0.95)).alias("p95_points"), F.try_divide(F.count_if(F.expr("labels > 1")), F.count_if(F.expr("labels > 0"))).alias("mixed_share"))
     best = majority(points, group, label).withColumnRenamed(label, "_m")
     known = points.where(F.col(label) >= 0).join(best, group)
-    purity = known.agg((F.count_if(F.col(label) == F.col("_m")) / F.count("*")).alias("purity"))
+    purity = known.agg(F.try_divide(F.count_if(F.col(label) == F.col("_m")), F.count("*")).alias("purity"))
     side = lambda k: points.select(F.col("pid").alias(k), F.col(label).alias(f"{k}_l"), F.col(group).alias(f"{k}_g"))
     cross = edges.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst").where("src_l > 0 AND dst_l > 0 AND src_l <> dst_l")
-    b = cross.agg(F.count("*").alias("boundary_pairs"), (F.count_if(F.col("src_g") != F.col("dst_g")) / F.count("*")).alias("boundary_recall"))
+    b = cross.agg(F.count("*").alias("boundary_pairs"), F.try_divide(F.count_if(F.col("src_g") != F.col("dst_g")), F.count("*")).alias("boundary_recall"))
     return s.withColumn("compression", F.col("points") / F.col("groups")).join(F.broadcast(purity)).join(F.broadcast(b))
 
 
