@@ -126,3 +126,17 @@ def dbh(height: Column, a: float = 10.0, b: float = 0.6) -> Column:
     """Stem diameter from height by an inverted height curve above breast height."""
     h = F.greatest(height - 1.3, F.lit(0.0))
     return (h * b + F.sqrt(h * h * b * b + 4 * h * a)) / 2
+
+
+def boundary_distances(pairs: DataFrame, step: float = 0.5) -> DataFrame:
+    """(a, b, mean, p95): distances between two rings' boundaries, both ways, for pairs (a, b, ring_a, ring_b).
+
+    Work stays inside a row: each pair's sampled points are compared with each other only.
+    """
+    p = pairs.withColumn("_a", boundary_points(F.col("ring_a"), step)).withColumn("_b", boundary_points(F.col("ring_b"), step))
+
+    def to(these: str, those: str) -> Column:
+        return F.transform(these, lambda u: F.sqrt(F.array_min(F.transform(those, lambda v: (u["x"] - v["x"]) * (u["x"] - v["x"]) + (u["y"] - v["y"]) * (u["y"] - v["y"])))))
+
+    d = p.select("a", "b", F.explode(F.concat(to("_a", "_b"), to("_b", "_a"))).alias("d"))
+    return d.groupBy("a", "b").agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.95)).alias("p95"))

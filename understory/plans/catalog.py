@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fusion, governing, gridding, kernelled, neighbours, revising, scoring  # noqa: F401
+from . import composed, fusion, governing, gridding, kernelled, neighbours, revising, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
