@@ -36,18 +36,29 @@ def matches(pairs: DataFrame, by: str = "dataset_id") -> DataFrame:
 
 
 def instance_metrics(points: DataFrame, by: str = "dataset_id") -> DataFrame:
-    """(by, tp, fp, fn, iou_sum, mucov, mwcov): mucov is the mean best IoU of truths, mwcov the same by their sizes."""
-    table = contingency(known(points), by)
-    pairs = ious(table, by)
-    hit = matches(pairs, by).groupBy(by).agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"))
-    truths = table.where("truth > 0").groupBy(by, "truth").agg(F.sum("n").alias("ng"))
-    best = pairs.groupBy(by, "truth").agg(F.max("iou").alias("best"))
-    cover = truths.join(best, [by, "truth"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
-    gt = cover.groupBy(by).agg(F.count("*").alias("_g"), F.avg("best").alias("mucov"), (F.sum(F.col("best") * F.col("ng")) / F.sum("ng")).alias("mwcov"))
-    pr = table.where("pred > 0").groupBy(by).agg(F.countDistinct("pred").alias("_p"))
-    zero = lambda c, v=0: F.coalesce(c, F.lit(v)).alias(c)
-    rows = table.select(by).distinct().join(gt, by, "left").join(pr, by, "left").join(hit, by, "left").na.fill(0).na.fill(0.0)
-    return rows.select(by, zero("tp"), (F.col("_p") - F.col("tp")).alias("fp"), (F.col("_g") - F.col("tp")).alias("fn"), zero("iou_sum", 0.0), zero("mucov", 0.0), zero("mwcov", 0.0))
+    """(by, tp, fp, fn, iou_sum, mucov, mwcov): mucov is the mean best IoU of truths, mwcov the same by their sizes.
+
+    One scan of the points; all else are windows over the contingency table, dealt by truth, by prediction, by truth.
+    """
+    t, p = Window.partitionBy(by, "truth"), Window.partitionBy(by, "pred")
+    both = (F.col("truth") > 0) & (F.col("pred") > 0)
+    sized = contingency(known(points), by).withColumn("ng", F.sum("n").over(t)).withColumn("np", F.sum("n").over(p))
+    union = F.col("ng") + F.col("np") - F.col("n")
+    rated = sized.withColumn("iou", F.when(both, F.col("n") / union)).withColumn("_hit", both & (2 * F.col("n") >= union)).withColumn("_sure", both & (2 * F.col("n") > union))
+    side = rated.withColumn("_t", F.min(F.when(F.col("_hit"), F.col("truth"))).over(p)).withColumn("_onep", (F.row_number().over(p.orderBy("truth")) == 1) & (F.col("pred") > 0))
+    full = (
+        side.withColumn("_p", F.min(F.when(F.col("_hit"), F.col("pred"))).over(t))
+        .withColumn("best", F.max(F.coalesce("iou", F.lit(0.0))).over(t))
+        .withColumn("_onet", (F.row_number().over(t.orderBy("pred")) == 1) & (F.col("truth") > 0))
+        .withColumn("_match", F.col("_sure") | (F.col("_hit") & (F.col("pred") == F.col("_p")) & (F.col("truth") == F.col("_t"))))
+    )
+    one = lambda v: F.sum(F.when(F.col("_onet"), v))
+    sums = full.groupBy(by).agg(
+        F.count_if("_match").alias("tp"), F.count_if("_onep").alias("_np"), F.count_if("_onet").alias("_nt"), F.sum(F.when(F.col("_match"), F.col("iou"))).alias("iou_sum"),
+        one(F.col("best")).alias("_b"), one(F.col("best") * F.col("ng")).alias("_bn"), one(F.col("ng")).alias("_n"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return sums.select(by, "tp", (F.col("_np") - F.col("tp")).alias("fp"), (F.col("_nt") - F.col("tp")).alias("fn"), zero("iou_sum").alias("iou_sum"), zero(F.try_divide("_b", "_nt")).alias("mucov"), zero(F.try_divide("_bn", "_n")).alias("mwcov"))
 
 
 def ratios(tp: Column, fp: Column, fn: Column, iou_sum: Column) -> list[Column]:
