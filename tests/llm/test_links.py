@@ -280,6 +280,25 @@ def test_quotes(spark):
     assert quotes.link(chat(spark, found)).count() == len(found) and quotes.link(chat(spark, [])).count() == 0
 
 
+def test_quotes_by_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    r, found = random.Random(3), []
+    for c in range(60):
+        for t in range(r.randint(1, 8)):
+            said = [r.choice(["alpha beta", "Gamma  delta", "eps", "common line", f"x{r.randint(0, 30)}", ""]) for _ in range(r.randint(0, 4))]
+            quoted = [r.choice([">", "> ", "> > ", ">>"]) + r.choice(["ALPHA beta", "gamma delta", "eps", "common line", "nothing"]) for _ in range(r.choice([0, 0, 1, 2, 3]))]
+            head = [r.choice(["On Monday X wrote:", "Y a écrit :"])] if quoted and r.random() < 0.5 else []
+            found.append((c, t, "u", None if r.random() < 0.1 else "\n".join(head + quoted + said)))
+            found += found[-1:] if r.random() < 0.1 else []
+    names = ["conv_id", "turn", "role", "reply_to", "n_quoted", "n_linked", "text"]
+    got = [tuple(x) for x in quotes.link(chat(spark, found)).select(names).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", found)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({quotes.ORACLE})").fetchall()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(x[5] for x in got) > 50
+
+
 def test_reply_order_follows_parents(spark):
     found = [(1, t, "u", f"line {t}\nmore {t}" + (f"\n> line {t // 3}" if t % 4 == 0 and t else "")) for t in range(40)]
     seen = set()

@@ -59,4 +59,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op7_substring_dedup, op8_quotation_linking, op9_pii, op10_secret_scan)
 }
 
-ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op8_quotation_linking": quotes.ORACLE}

@@ -53,8 +53,8 @@ def link(messages: DataFrame) -> DataFrame:
     give a row, and own lines of either can be quoted; null ids or turns are never linked; other columns are not read.
     """
     base = cut(parse(messages.select("conv_id", "turn", "role", "text")))
-    line = F.explode("_lines").alias("l")
-    quotes = base.where(F.exists("_lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.xxhash64("text").alias("_row"), line).where("l.level > 0").select("conv_id", "turn", "_row", F.col("l.level").alias("level"), normal(F.col("l.said")).alias("n")).where("n <> ''")
+    quoting = base.where(F.exists("_lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.xxhash64("text").alias("_row"), "_lines").dropDuplicates(["conv_id", "turn", "_row"])
+    quotes = quoting.select("conv_id", "turn", "_row", F.explode("_lines").alias("l")).where("l.level > 0").select("conv_id", "turn", "_row", F.col("l.level").alias("level"), normal(F.col("l.said")).alias("n")).where("n <> ''")
     quotes = quotes.groupBy("conv_id", "turn", "_row", "level", "n").agg(F.count("*").alias("times"))
     asked = quotes.select("conv_id").distinct()
     own = base.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.split("own", r"\n")).alias("l")).select("conv_id", "turn", normal(F.col("l")).alias("n")).where("n <> ''")
@@ -70,3 +70,20 @@ def link(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", F.coalesce("_best.source", "_t").alias("reply_to"),
         F.coalesce("n_quoted", F.lit(0)).cast("bigint").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), F.col("own").alias("text"),
     ).sort("conv_id", "reply_to", "turn")
+
+
+ORACLE = r"""
+WITH m AS (SELECT row_number() OVER () AS mid, * FROM (SELECT DISTINCT conv_id, turn, text FROM conversations)),
+x AS (SELECT mid, conv_id, turn, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM m),
+l AS (SELECT mid, conv_id, turn, text, i, length(regexp_replace(regexp_extract(ls[i], '^([ \t]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(ls[i], '^([ \t]*>)+[ \t]?', '') AS said FROM x, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+n AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY mid ORDER BY i), 0) AS after FROM l),
+o AS (SELECT mid, bool_or(level > 0) AS quotes, coalesce(string_agg(said, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (after > 0 AND regexp_matches(said, '(?i)^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)\b.{0,80}:\s*$'))), '') AS kept FROM n GROUP BY mid),
+w AS (SELECT m.*, CASE WHEN quotes THEN trim(kept) ELSE text END AS own FROM m JOIN o USING (mid)),
+f AS (SELECT conv_id, n, min(turn) AS source FROM (SELECT conv_id, turn, trim(regexp_replace(lower(unnest(string_split(own, chr(10)))), '\s+', ' ', 'g')) AS n FROM w) WHERE n <> '' GROUP BY ALL),
+q AS (SELECT mid, conv_id, turn, level, trim(regexp_replace(lower(said), '\s+', ' ', 'g')) AS n FROM l WHERE level > 0),
+v AS (SELECT q.mid, CASE WHEN f.source < q.turn THEN f.source END AS source, count(*) AS lines, count(*) FILTER (level = 1) AS outer_lines FROM q LEFT JOIN f ON f.conv_id = q.conv_id AND f.n = q.n WHERE q.n <> '' GROUP BY ALL),
+b AS (SELECT mid, sum(lines)::BIGINT AS n_quoted, coalesce(sum(lines) FILTER (source IS NOT NULL), 0)::BIGINT AS n_linked, arg_max(source, (outer_lines, source)) FILTER (source IS NOT NULL AND outer_lines > 0) AS best FROM v GROUP BY mid)
+SELECT c.conv_id, c.turn, c.role, coalesce(b.best, p.turn) AS reply_to, coalesce(b.n_quoted, 0) AS n_quoted, coalesce(b.n_linked, 0) AS n_linked, w.own AS text
+FROM conversations c JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.turn IS NOT DISTINCT FROM c.turn AND w.text IS NOT DISTINCT FROM c.text LEFT JOIN b USING (mid)
+LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations) p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+"""
