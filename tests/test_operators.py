@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from understory.operators import consensus, governance, graph, grid, kernels, labels, masks, metrics, raster, revision, spatial
+from understory.operators import consensus, governance, graph, grid, kernels, labels, masks, metrics, raster, revision, spatial, votes
 
 
 def labelled(spark, truth, pred):
@@ -335,3 +335,48 @@ def test_pairing_and_latest(spark):
     assert rows(governance.paired(a, b, "k")) == [(1, "left"), (2, "both"), (3, "right")]
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 0)], "id int, v string, t int")
     assert rows(governance.latest(df, "id", "t")) == [(1, "b", 2), (2, "c", 0)]
+
+
+def test_votes_give_two_trees(spark):
+    rng = np.random.default_rng(0)
+    xyz = [(*(rng.normal(c, 0.6, 2)), rng.uniform(1, 8)) for c in (5.0, 15.0) for _ in range(60)]
+    df = points(spark, xyz).withColumn("p", F.lit(0.9)).withColumn("vx", F.when(F.col("x") < 10, 5.05).otherwise(15.05)).withColumn("vy", F.col("vx"))
+    got = votes.instances(df, votes.Voting(separation=2.0)).join(df, "pid")
+    assert got.count() == 120 and got.select("label").distinct().count() == 2
+    assert got.groupBy("label").agg(F.countDistinct(F.col("x") < 10).alias("n")).where("n > 1").count() == 0
+    assert votes.instances(df, votes.Voting(points=61)).count() == 0
+    with pytest.raises(ValueError):
+        votes.Voting(radius=0)
+
+
+def test_core_tiles_and_crops(spark):
+    p = points(spark, [(1, 1, 1), (1, 2, 5), (9, 9, 3), (0.5, 0.5, 0)], label=[4, 4, 9, 0])
+    assert rows(votes.in_core_tiles(p, (0, 0, 5, 5)), "pid", "label") == [(0, 1), (1, 1), (2, 0), (3, 0)]
+    anchors = spark.createDataFrame([(0, 7, 1.0, 1.0)], "dataset_id int, anchor long, ax double, ay double")
+    assert rows(votes.crop(p, anchors, 2.0, 10, 0.25), "pid", "x") == [(0, 0.0), (3, -0.5)]
+    assert votes.crop(p, anchors, 2.0, 1, 0.25).count() == 1
+
+
+def test_ignored_footprints_are_forgiven_once(spark):
+    box = lambda i, a, b: [(0, i, r, c) for r in range(a, b) for c in range(4)]
+    kinds = "dataset_id int, id long, row long, col long"
+    truth = spark.createDataFrame(box(1, 0, 4), kinds)
+    pred = spark.createDataFrame(box(1, 0, 4) + box(2, 0, 4) + box(3, 10, 14), kinds)
+    ignore = spark.createDataFrame(box(0, 0, 4) + box(0, 10, 14), kinds)
+    pairs = spatial.cell_overlap(truth, pred, 1.0).select("dataset_id", "a", "b", "iou")
+    r = metrics.footprint_metrics(truth, pred, pairs, kernels.assigned(pairs, "dataset_id", "a", "b"), ignore).first()
+    assert (r.tp, r.fp, r.fn, r.ignored) == (1, 1, 0, 1)
+
+
+def test_boundary_distances(spark):
+    ring = lambda k: f"array(struct({-k}D as x, {-k}D as y), struct({k}D as x, {-k}D as y), struct({k}D as x, {k}D as y), struct({-k}D as x, {k}D as y))"
+    df = spark.range(1).select(F.lit(1).alias("a"), F.lit(2).alias("b"), F.expr(ring(2)).alias("ring_a"), F.expr(ring(3)).alias("ring_b"))
+    r = spatial.boundary_distances(df, 0.25).first()
+    assert 1.0 <= r["mean"] < 1.1 and 1.0 <= r.p95 <= 2**0.5
+    assert spatial.boundary_distances(df.withColumn("ring_b", F.col("ring_a"))).first()["mean"] == 0
+
+
+def test_hash_split_keeps_shares(spark):
+    g = spark.createDataFrame([(f"g{i}", "a" if i < 20 else "b" if i < 22 else "c") for i in range(23)], "group_id string, s string")
+    n = {(r.s, r.model_split): r["count"] for r in governance.hash_split(g, "s", 1).groupBy("s", "model_split").count().collect()}
+    assert n == {("a", "test"): 3, ("a", "val"): 3, ("a", "train"): 14, ("b", "test"): 1, ("b", "train"): 1, ("c", "train"): 1}
