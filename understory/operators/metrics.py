@@ -75,12 +75,17 @@ def totals(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def source_balanced(rows: DataFrame, source: str = "source", collection: str = "collection") -> DataFrame:
-    """Pooled metrics, a row for each source:collection, and their unweighted means, marked by ``scope``."""
-    key = F.concat_ws(":", source, collection)
-    groups = totals(rows.withColumn("scope", key), "scope")
-    balanced = groups.agg(F.avg("pq").alias("source_balanced_pq"), F.avg("f1").alias("source_balanced_f1"))
-    pooled = totals(rows).withColumn("scope", F.lit("pooled")).join(balanced.hint("broadcast"))
-    return groups.unionByName(pooled, allowMissingColumns=True)
+    """Pooled metrics, a row for each source:collection, and their unweighted means, marked by ``scope``.
+
+    Every group's sums go to its own row and to the pooled one, so the rows are read once.
+    """
+    groups = totals(rows.withColumn("scope", F.concat_ws(":", source, collection)), "scope")
+    both = groups.withColumn("scope", F.explode(F.array("scope", F.lit("pooled"))))
+    counts = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "iou_sum")]
+    sums = both.groupBy("scope").agg(*counts, F.avg("pq").alias("_pq"), F.avg("f1").alias("_f1"))
+    pooled = F.col("scope") == "pooled"
+    means = [F.when(pooled, F.col("_pq")).alias("source_balanced_pq"), F.when(pooled, F.col("_f1")).alias("source_balanced_f1")]
+    return sums.select("scope", "tp", "fp", "fn", "iou_sum", *ratios(*map(F.col, ("tp", "fp", "fn", "iou_sum"))), *means)
 
 
 def binary_metrics(points: DataFrame, *by: str, truth: Column, pred: Column) -> DataFrame:
