@@ -34,9 +34,9 @@ class Passages:
     width: int = 5  # words of a shingle
     recall: float = 0.99  # of the bands, at the similarity
     paragraph_words: int = 20  # shorter lines recur by chance
-    around: int = 5  # words to each side that a cut is the least of
-    block_words: int = 6
-    run_words: int = 18  # words that a run's blocks have at least; a passage of 50 words nearly always has more
+    around: int = 4  # words to each side that a cut is the least of
+    block_words: int = 5
+    run_words: int = 18  # words that a run's blocks have at least; 99 of 100 passages of 51 words have them
     gap_words: int = 12  # between blocks of a run
     group: int = 512  # paragraphs compared together
     sent: int = 500_000  # candidate classes up to so many are broadcast (8 bytes each)
@@ -130,7 +130,9 @@ def similar_classes(docs: DataFrame, paragraphs: DataFrame, how: Passages) -> Da
     and no link is lost. A task gives edges that join what it found similar, not every pair.
     """
     keys = paragraphs.select("class", F.explode("keys").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.ceil(F.count("*") / how.group).cast("bigint").alias("chunks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.bit_xor(F.xxhash64("class")).alias("mark")).where("n > 1")
+    # near copies meet in most of their bands: of bands that hold the same classes one is compared
+    shared = sets.groupBy("n", "low", "high", "mark").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / how.group).cast("bigint").alias("chunks"))
     met = cut(keys.join(shared, "key"))
     wanted = met.select("class").distinct()
     if wanted.count() <= how.sent:
