@@ -84,11 +84,11 @@ def pooled_raster(spark, d):
     return rounded(g, "feature", "log_count")
 
 
-@query(GROUPS + " SELECT pid, round(z - avg(z) OVER (PARTITION BY grp), 6) + 0.0::DOUBLE AS dz FROM g")
+@query(GROUPS + " SELECT pid, round(z - avg(z) OVER (PARTITION BY grp) + 1e-9, 6) + 0.0::DOUBLE AS dz FROM g")
 def group_context(spark, d):
     p = grouped(spark, d)
     mean = p.groupBy("grp").agg(F.avg("z").alias("m"))
-    return p.join(mean, "grp").select("pid", (F.round(F.col("z") - F.col("m"), 6) + 0.0).alias("dz"))
+    return p.join(mean, "grp").select("pid", (F.round(F.col("z") - F.col("m") + 1e-9, 6) + 0.0).alias("dz"))
 
 
 @query(GROUPS + " SELECT grp, min(z) AS low, arg_min(pid, (z, pid)) AS low_pid, max(z) AS high, arg_max(pid, (z, -pid)) AS high_pid, round(sum(z), 6) AS total FROM g GROUP BY grp")

@@ -8,7 +8,7 @@ from ..operators import consensus, masks
 from ..operators.spatial import near_own_group
 from ..sources import views
 from .registry import query
-from .scoring import rounded
+from .scoring import nudged, rounded
 
 M = "WITH {points}, {masks}, mp AS (SELECT *, 1 - discount * 5 AS score FROM mask_points), kept AS (SELECT * FROM mp WHERE score >= 0.6)"
 NODES = M + """, nodes AS (SELECT k.mask_id, count(*) AS n, avg(score) AS mean, max(z) AS top, sum(x * score) / sum(score) AS cx, sum(y * score) / sum(score) AS cy, any_value(object_score) AS object_score
@@ -27,9 +27,9 @@ def tables(spark, d):
     return mp, m.select("mask_id", "object_score")
 
 
-@query(M + " SELECT mask_id, count(*) AS n, round(any_value(object_score) * avg(score), 6) AS ranking FROM kept JOIN masks USING (mask_id) WHERE object_score >= 0.1 GROUP BY 1 HAVING count(*) >= 12")
+@query(M + " SELECT mask_id, count(*) AS n, round(any_value(object_score) * avg(score) + 1e-9, 6) AS ranking FROM kept JOIN masks USING (mask_id) WHERE object_score >= 0.1 GROUP BY 1 HAVING count(*) >= 12")
 def mask_candidates(spark, d):
-    return rounded(masks.candidates(*tables(spark, d), 0.1, 0.6, 12).select("mask_id", "n", "ranking"))
+    return rounded(nudged(masks.candidates(*tables(spark, d), 0.1, 0.6, 12).select("mask_id", "n", "ranking"), "ranking"))
 
 
 @query(M + " SELECT a.mask_id AS a, b.mask_id AS b, count(*) AS n FROM mp a JOIN mp b ON a.pid = b.pid AND a.mask_id < b.mask_id GROUP BY ALL")
@@ -60,10 +60,10 @@ g AS (SELECT grp, count(*) AS n, count(DISTINCT (bx, by_)) AS cells, max(z) AS h
   avg(x) AS ax, avg(y) AS ay, arg_max(x, (z, -pid)) AS tx, arg_max(y, (z, -pid)) AS ty FROM b GROUP BY 1),
 v AS (SELECT grp, max(object_score) AS mo, avg(object_score) AS ao, count(*) AS k, sum(n)::BIGINT AS total FROM members JOIN nodes USING (mask_id) GROUP BY 1),
 r AS (SELECT *, greatest((vx + vy) / 2 - sqrt((vx - vy) * (vx - vy) / 4 + c * c), 1e-6) AS e0, greatest((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + c * c), 1e-6) AS e1 FROM g JOIN v USING (grp))
-SELECT grp AS "group", round(ln(1 + n), 6) AS log_points, round(ln(1 + cells), 6) AS log_area_cells, hi AS max_height, round(hs, 6) AS height_std, round(ms, 6) AS mean_mask, round(ss, 6) AS std_mask, mo AS max_object, round(ao, 6) AS mean_object, round(ln(1 + k), 6) AS log_votes,
+SELECT grp AS "group", round(ln(1 + n), 6) AS log_points, round(ln(1 + cells), 6) AS log_area_cells, hi AS max_height, round(hs, 6) AS height_std, round(ms + 1e-9, 6) AS mean_mask, round(ss + 1e-9, 6) AS std_mask, mo AS max_object, round(ao + 1e-9, 6) AS mean_object, round(ln(1 + k), 6) AS log_votes,
 round(cells / box, 6) AS xy_compactness, round(sqrt(e0 / e1), 6) AS xy_aspect, round(sqrt((tx - ax) * (tx - ax) + (ty - ay) * (ty - ay)) / greatest(sqrt(e0 + e1), 0.25), 6) AS top_offset, round(n / cells, 6) AS point_density, round(total / n, 6) AS member_agreement FROM r""")
 def proposal_features(spark, d):
-    return rounded(masks.features(*reconciled(spark, d)))
+    return rounded(nudged(masks.features(*reconciled(spark, d)), "mean_mask", "std_mask", "mean_object"))
 
 
 @query(FUSED + """, sz AS (SELECT truth, count(*) AS size FROM points WHERE truth > 0 GROUP BY 1), g AS (SELECT grp, count(*) AS n, count(*) FILTER (truth >= 0) AS known FROM fused GROUP BY 1),
@@ -83,12 +83,12 @@ w AS (SELECT mask_id, arg_max(label, (s, -label)) AS label, max(s) AS s, sum(s)
 won AS (SELECT w.mask_id, w.label, w.s / (c.n + z.size - w.s) AS aff FROM w JOIN c USING (mask_id) JOIN z ON z.label = w.label WHERE w.s / w.total >= 0.8 AND w.s / (c.n + z.size - w.s) >= 0.2),
 offers AS (SELECT h.pid, won.label, h.score * h.o * won.aff AS offer, h.ranking, h.mask_id, h.x, h.y, h.z FROM held h JOIN won USING (mask_id) WHERE h.held IS NULL AND h.score >= 0.6),
 near AS (SELECT DISTINCT o.pid, o.label FROM offers o JOIN anchor a ON a.label = o.label AND (o.x - a.x) * (o.x - a.x) + (o.y - a.y) * (o.y - a.y) + (o.z - a.z) * (o.z - a.z) <= 16)
-SELECT pid, arg_max(label, (offer, ranking, -mask_id)) AS label, round(max(offer), 6) AS offer FROM offers JOIN near USING (pid, label) GROUP BY pid""")
+SELECT pid, arg_max(label, (offer, ranking, -mask_id)) AS label, round(max(offer) + 1e-9, 6) AS offer FROM offers JOIN near USING (pid, label) GROUP BY pid""")
 def support_fusion(spark, d):
     mp, m = tables(spark, d)
     anchors = views.points(spark, d).where("truth > 0 AND y <= 30").select("pid", F.col("truth").alias("label"), "x", "y", "z")
     ranked = masks.candidates(mp, m, 0.1, 0.6, 12).select("mask_id", "n", "object_score", "ranking")
-    return rounded(masks.fuse_support(anchors, ranked, mp.where("score >= 0.6"), lambda p: near_own_group(p, anchors, 4.0, "label"), probability=0.6))
+    return rounded(nudged(masks.fuse_support(anchors, ranked, mp.where("score >= 0.6"), lambda p: near_own_group(p, anchors, 4.0, "label"), probability=0.6), "offer"))
 
 
 WIDE = consensus.Consensus(vote_distance=20.0, distance=4.0, growth=3.0, growth_vote=6.0, growth_margin=0.25)

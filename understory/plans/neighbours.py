@@ -111,11 +111,11 @@ def centroid_graph(spark, d):
     return spatial.near(c, c, 6.0).where("l.id < r.id").groupBy("dataset_id").agg(F.count("*").alias("edges"))
 
 
-@query("""WITH {points}, t AS (SELECT truth, x, y, z, pid FROM points WHERE truth > 0) SELECT pid, round(avg(x) OVER (PARTITION BY truth) - x, 6) + 0.0::DOUBLE AS dx, round(avg(y) OVER (PARTITION BY truth) - y, 6) + 0.0::DOUBLE AS dy, round(avg(z) OVER (PARTITION BY truth) - z, 6) + 0.0::DOUBLE AS dz FROM t""")
+@query("""WITH {points}, t AS (SELECT truth, x, y, z, pid FROM points WHERE truth > 0) SELECT pid, round(avg(x) OVER (PARTITION BY truth) - x + 1e-9, 6) + 0.0::DOUBLE AS dx, round(avg(y) OVER (PARTITION BY truth) - y + 1e-9, 6) + 0.0::DOUBLE AS dy, round(avg(z) OVER (PARTITION BY truth) - z + 1e-9, 6) + 0.0::DOUBLE AS dz FROM t""")
 def instance_offsets(spark, d):
     p = views.points(spark, d).where("truth > 0")
     m = p.groupBy("truth").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    return p.join(m, "truth").select("pid", *((F.round(F.col(f"m{c}") - F.col(c), 6) + 0.0).alias(f"d{c}") for c in "xyz"))
+    return p.join(m, "truth").select("pid", *((F.round(F.col(f"m{c}") - F.col(c) + 1e-9, 6) + 0.0).alias(f"d{c}") for c in "xyz"))
 
 
 @query("""WITH {points}, v AS (SELECT dataset_id, CAST(floor(x) AS BIGINT) AS gx, CAST(floor(y) AS BIGINT) AS gy, CAST(floor(z) AS BIGINT) AS gz, min(pid) AS voxel FROM points GROUP BY ALL)
