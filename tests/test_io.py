@@ -70,3 +70,40 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_label_lines(spark):
     r = spark.sql("select array(struct(1D as x, 2D as y), struct(5D as x, 10D as y)) as ring").select(sinks.label_line(F.col("ring"), F.lit(10), F.lit(20)).alias("l")).first()
     assert r.l == "0 0.100000 0.100000 0.500000 0.500000"
+
+
+def las(points, kind=1, scale=0.01, version=2):
+    width = 28 if kind == 1 else 30
+    head = bytearray(375)
+    head[:4], head[24], head[25] = b"LASF", 1, version
+    struct.pack_into("<HI", head, 94, 375, 375)
+    head[104] = kind
+    struct.pack_into("<HI", head, 105, width, len(points))
+    struct.pack_into("<6d", head, 131, scale, scale, scale, 100.0, 200.0, 0.0)
+    x, y, z = zip(*(p[:3] for p in points), strict=True)
+    struct.pack_into("<6d", head, 179, max(x), min(x), max(y), min(y), max(z), min(z))
+    body = b""
+    for px, py, pz, i, c in points:
+        r = bytearray(width)
+        struct.pack_into("<3iH", r, 0, round((px - 100) / scale), round((py - 200) / scale), round(pz / scale), i)
+        r[16 if kind > 5 else 15] = c
+        body += bytes(r)
+    return bytes(head) + body
+
+
+def test_las_files(spark, tmp_path):
+    (tmp_path / "a.las").write_bytes(las([(101.5, 202.25, 3.0, 7, 2), (150, 260, 9.5, 65535, 5 | 0x20)]))
+    (tmp_path / "b.las").write_bytes(las([(900.0, 900.0, 1.0, 1, 200)], kind=6, version=4))
+    got = readers.las_points(spark, str(tmp_path))
+    assert rows(got.drop("file")) == [(101.5, 202.25, 3.0, 7, 2), (150.0, 260.0, 9.5, 65535, 5), (900.0, 900.0, 1.0, 1, 200)]
+    assert rows(readers.las_points(spark, str(tmp_path), (100, 200, 120, 220)), "x", "classification") == [(101.5, 2)]
+    with pytest.raises(ValueError, match="compressed"):
+        readers.las_header(las([(101, 201, 1, 1, 1)])[:104] + b"\x81" + bytes(300))
+
+
+def test_ply_files(spark, tmp_path):
+    head = "ply\nformat {}\nelement vertex 2\nproperty float x\nproperty double y\nproperty uchar label\nelement face 0\nproperty list uchar int v\nend_header\n"
+    (tmp_path / "b.ply").write_bytes(head.format("binary_little_endian 1.0").encode() + struct.pack("<fdB", 1.5, 2.5, 3) + struct.pack("<fdB", 4, 5, 6))
+    (tmp_path / "t.ply").write_text(head.format("ascii 1.0") + "1.5 2.5 3\n4 5 6\n")
+    for name in ("b.ply", "t.ply"):
+        assert rows(readers.ply_points(spark, str(tmp_path / name)), "x", "y", "label") == [(1.5, 2.5, 3.0), (4.0, 5.0, 6.0)]

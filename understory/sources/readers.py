@@ -120,3 +120,85 @@ def shards(spark: SparkSession, paths: Sequence[str], key: str = "pid") -> DataF
     if twice:
         raise ValueError(f"{key} occurs in more than one shard")
     return out
+
+
+def las_header(raw: bytes) -> dict:
+    """What the public header of an uncompressed LAS file says of its records, scales and bounds."""
+    if raw[:4] != b"LASF":
+        raise ValueError("not a LAS file")
+    kind = raw[104]
+    if kind & 0x80:
+        raise ValueError("compressed points: decompress the file first")
+    count = struct.unpack_from("<I", raw, 107)[0]
+    if raw[25] >= 4 and not count:
+        count = struct.unpack_from("<Q", raw, 247)[0]
+    high_low = struct.unpack_from("<6d", raw, 179)
+    return {
+        "first": struct.unpack_from("<I", raw, 96)[0], "kind": kind, "width": struct.unpack_from("<H", raw, 105)[0], "count": count,
+        "scale": struct.unpack_from("<3d", raw, 131), "offset": struct.unpack_from("<3d", raw, 155), "high": high_low[::2], "low": high_low[1::2],
+    }
+
+
+def las_points(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(file, x, y, z, intensity, classification) of LAS files; those whose header lies outside the half-open box are not decoded.
+
+    A file is one task's batches of 100,000 points, so files, not their points, set the parallelism.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = data.as_buffer()
+                h = las_header(bytes(raw[:375]))
+                if box and (h["low"][0] >= box[2] or h["high"][0] < box[0] or h["low"][1] >= box[3] or h["high"][1] < box[1]):
+                    continue
+                at = {"names": ["x", "y", "z", "i", "c"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, 16 if h["kind"] > 5 else 15], "itemsize": h["width"]}
+                rows = np.frombuffer(raw, np.dtype(at), h["count"], h["first"])
+                for start in range(0, len(rows), 100_000):
+                    part = rows[start : start + 100_000]
+                    xyz = [part[c] * s + o for c, s, o in zip("xyz", h["scale"], h["offset"], strict=True)]
+                    keep = np.ones(len(part), bool) if not box else (xyz[0] >= box[0]) & (xyz[0] < box[2]) & (xyz[1] >= box[1]) & (xyz[1] < box[3])
+                    label = part["c"] & (255 if h["kind"] > 5 else 31)
+                    columns = [pa.array([name] * int(keep.sum())), *(pa.array(v[keep]) for v in xyz), pa.array(part["i"][keep].astype("i4")), pa.array(label[keep].astype("i4"))]
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "x", "y", "z", "intensity", "classification"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, x double, y double, z double, intensity int, classification int")
+
+
+def ply_points(spark: SparkSession, path: str) -> DataFrame:
+    """Vertices of a little-endian or ASCII PLY file whose vertex properties are scalars, all as doubles."""
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("h")).first()
+    if head is None:
+        raise ValueError("no PLY file")
+    names, kinds, _, _ = _ply_header(bytes(head["h"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                raw = data.as_py()
+                own, kind, count, first = _ply_header(raw[:4096])
+                if raw[:64].find(b"format ascii") >= 0:
+                    table = np.array([line.split()[: len(own)] for line in raw[first:].split(b"\n", count)[:count]], float)
+                    columns = list(table.T)
+                else:
+                    rows = np.frombuffer(raw, np.dtype(list(zip(own, kind, strict=True))), count, first)
+                    columns = [rows[n].astype(float) for n in own]
+                for at in range(0, count, 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"`{n}` double" for n in names))
+
+
+def _ply_header(raw: bytes) -> tuple[list[str], list[str], int, int]:
+    sizes = {"char": "i1", "uchar": "u1", "short": "<i2", "ushort": "<u2", "int": "<i4", "uint": "<u4", "float": "<f4", "double": "<f8", "float32": "<f4", "float64": "<f8", "int32": "<i4", "uint8": "u1"}
+    end = raw.index(b"end_header\n") + len(b"end_header\n")
+    names, kinds, count, inside = [], [], 0, False
+    for line in raw[:end].decode("ascii").splitlines():
+        word = line.split()
+        if word[:1] == ["element"]:
+            inside = word[1] == "vertex"
+            count = int(word[2]) if inside else count
+        elif word[:1] == ["property"] and inside:
+            names.append(word[2])
+            kinds.append(sizes[word[1]])
+    return names, kinds, count, end
