@@ -21,11 +21,11 @@ class Bands:
 
     ``whole``: (least length, lowest ratio, highest ratio); the last entry whose length is reached holds, and texts
     shorter than the first have too few bytes to judge. Short texts compress less, so their bands lie higher.
-    ``chunk_bytes`` and ``chunk``: the band of each whole chunk; a text goes if over ``bad_share`` of its chunks are
-    outside.
+    ``chunk_bytes`` and ``chunk``: the band of each whole chunk, and of the text's last ``chunk_bytes``, which overlap
+    the chunk before; a text goes if over ``bad_share`` of its chunks are outside.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = ((256, 0.30, 0.95), (1024, 0.25, 0.82), (8192, 0.20, 0.75), (65536, 0.15, 0.72))
+    whole: tuple[tuple[int, float, float], ...] = ((64, 0.45, 1.03), (128, 0.40, 0.95), (256, 0.30, 0.95), (1024, 0.25, 0.82), (8192, 0.20, 0.75), (65536, 0.15, 0.72))
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (0.20, 0.85)
     bad_share: float = 0.5
@@ -72,7 +72,9 @@ def compression_verdict(raw: bytes, bands: Bands, squeeze: zstandard.ZstdCompres
     if not band:
         return None, None, True
     ratio = len(squeeze.compress(raw)) / len(raw)
-    sizes = [len(squeeze.compress(raw[i : i + bands.chunk_bytes])) / bands.chunk_bytes for i in range(0, len(raw) - bands.chunk_bytes + 1, bands.chunk_bytes)]
+    last = len(raw) - bands.chunk_bytes
+    starts = [*range(0, last, bands.chunk_bytes), last] if last >= 0 else []
+    sizes = [len(squeeze.compress(raw[i : i + bands.chunk_bytes])) / bands.chunk_bytes for i in starts]
     bad = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in sizes) / len(sizes) if sizes else None
     return ratio, bad, band[-1][1] <= ratio <= band[-1][2] and (bad or 0) <= bands.bad_share
 
