@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from ..operators.graph import components
 from .shared import cut, map_texts
+from .similar import similar_texts
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift, bits
 GENERATOR = 0b101011100011  # of the cyclic (23, 12) Golay code
@@ -174,15 +175,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id, with all its columns.
+    """One document of each group of near copies: the one with the smallest id, with all its columns.
 
-    The texts are shuffled once, to meet the ids that stay; rows that repeat an id give one row.
+    Rows go by id and text, so a repeated or null id does not join or drop rows of different groups; a null id stays
+    only where its group has no other. The texts are shuffled once, to meet the rows that stay.
     """
-    found = near_duplicates(docs)
-    stays = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")))
-    once = docs.join(stays.where("_n = 1").select(F.col("doc_id").alias("_id")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = stays.where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    counts = docs.select("doc_id", row.alias("class")).groupBy("class", "doc_id").agg(F.count("*").alias("n"))
+    least = lambda *more: F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *more))
+    classes = counts.groupBy("class").agg(least("n").alias("_f")).select("class", "_f.doc_id", "_f.n")
+    placed = classes.join(similar_texts(docs), classes["class"] == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    stays = cut(placed.groupBy("root").agg(least("class", "n").alias("_f")).select(F.col("_f.doc_id").alias("_id"), F.col("_f.class").alias("_class"), F.col("_f.n").alias("_count")))
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("_class"))
+    once = docs.join(stays.where("_count = 1").hint("shuffle_hash"), met, "left_semi")
+    again = stays.where("_count > 1")
     if again.isEmpty():
         return once
-    more = docs.join(again.where("_id is not null").hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
-    return once.union(more.dropDuplicates(["doc_id"]))
+    more = docs.join(again.hint("shuffle_hash"), met, "left_semi")
+    return once.union(more.withColumn("_row", row).dropDuplicates(["doc_id", "_row"]).drop("_row"))
