@@ -22,3 +22,11 @@ def test_keep_one_finds_near_copies_by_jaccard(spark):
     kept = {x.doc_id for x in simhash.keep_one(documents(spark, texts)).collect()}
     assert 10 < sum(near) < 60
     assert [2 * i + 1 not in kept for i in range(60)] == near and all(2 * i in kept for i in range(60))
+
+
+def test_every_group_keeps_one_row(spark):
+    texts = [words(i, 60) for i in range(5)]
+    given = [texts[0], texts[1], texts[2], texts[3], texts[3], texts[4], texts[4], None, ""]
+    kept = simhash.keep_one(documents(spark, given, ids=[None, None, 7, 7, 7, None, 9, 4, 4])).collect()
+    found = sorted((str(x.doc_id), x.text or "") for x in kept)
+    assert found == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("9", texts[4]), ("4", "")])
