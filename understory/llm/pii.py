@@ -24,10 +24,19 @@ DIGITS = re.compile(r"[0-9]++")
 IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"[:\x20#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30})(?![A-Za-z0-9])")
+IBAN = re.compile(r"[:\x20#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30}+)")
 SSN = re.compile(r"(?:\x20?(?:no\.?|number|#))?[:\x20]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-ACCOUNT = re.compile(r"(?:\x20?(?:no\.?|number|nr\.?|#))?[:\x20]{1,3}([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9])")
-LOGIN = re.compile(r"[A-Za-z0-9._%+~-]{1,64}(?::[^\s/@]{1,64})?@[A-Za-z0-9.-]+")
+ACCOUNT = re.compile(r"(?:\x20?(?:no\.?|number|nr\.?|#))?[:\x20]{1,3}([0-9](?:[\x20-]?[0-9]){5,}+)")
+LOGIN = re.compile(r"[A-Za-z0-9._%+~-]++(?::[^\s/@]++)?@[A-Za-z0-9.-]+")
+#: Characters of an IBAN by country; those of other countries may end at any group.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG CR DE GB GE IE ME RS VA BH", 23: "AE GI IL IQ TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for code in codes.split()
+}
 CUES = {"iban": ("IBAN", "iban", "Iban"), "ssn": ("SSN", "ssn", "Social Security", "social security"), "account": ("account", "Account", "acct", "Acct", "Konto", "konto", "cuenta", "Cuenta", "compte", "Compte")}
 
 
@@ -43,6 +52,18 @@ def iban_valid(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, start: int, stop: int) -> int | None:
+    """Where the IBAN at ``start`` ends: at its country's length, or else the last group end up to ``stop`` that is valid."""
+    ends, code = [], ""
+    for at in range(start, stop):
+        if text[at] != " ":
+            code += text[at]
+            if len(code) >= 14 and not re.match(r"[A-Za-z0-9]", text[at + 1 : at + 2]):
+                ends.append((at + 1, len(code)))
+    n = IBAN_LENGTHS.get(code[:2])
+    return next((end for end, size in reversed(ends) if size == (n or size) and iban_valid(code[:size])), None)
+
+
 def finder() -> Callable[[str], tuple[list[Span], list[Span]]]:
     """A function giving base and added spans of a text."""
     anchors = ahocorasick.Automaton()
@@ -91,8 +112,8 @@ def finder() -> Callable[[str], tuple[list[Span], list[Span]]]:
                     if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                         base.append(("phone", at, m.end()))
             elif kind == "iban":
-                if (m := IBAN.match(text, end + 1)) and iban_valid(m[1].replace(" ", "")):
-                    extra.append(("iban", *m.span(1)))
+                if (m := IBAN.match(text, end + 1)) and (stop := iban_end(text, *m.span(1))):
+                    extra.append(("iban", m.start(1), stop))
             elif kind == "ssn":
                 if (m := SSN.match(text, end + 1)) and m[1][:3] not in ("000", "666") and m[1][0] != "9" and m[1][4:6] != "00" and m[1][7:] != "0000":
                     extra.append(("ssn", *m.span(1)))
