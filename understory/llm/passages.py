@@ -7,7 +7,8 @@ A passage pasted into the middle of a paragraph leaves both paragraphs unlike. S
 of two neighbouring words is the least around: the same passage has the same cuts wherever it stands, and its blocks
 recur word for word. A run of blocks that other documents have too is a repeated passage.
 
-Paragraphs and passages that are linked form clusters; all but the first member of each are to be removed.
+Paragraphs that are linked form clusters; all but the first member of each are to be removed. Of a passage's blocks the
+first place stays and stretches of later ones are to be removed, so that chance blocks link no two passages.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
 from .shared import cut, map_texts
@@ -192,21 +193,93 @@ def _similar(group: list[tuple[int, str]], how: Passages) -> pa.RecordBatch:
 
 
 def repeated_runs(blocks: DataFrame, how: Passages) -> DataFrame:
-    """(doc_id, start, stop, classes): runs of blocks that at least two documents have."""
-    many = blocks.groupBy("class").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("class")
-    hit = blocks.join(many, "class").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "class")
-    fresh = F.when(F.col("start") - F.lag(F.col("start") + F.col("words")).over(order) <= how.gap_words, 0).otherwise(1)
-    runs = hit.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("words")).alias("stop"), F.sum("words").alias("n"), F.array_sort(F.collect_set("class")).alias("classes"))
-    return found.where((F.col("n") >= how.run_words) & (F.col("n") >= how.similarity * (F.col("stop") - F.col("start")))).select("doc_id", "start", "stop", "classes")
+    """(doc_id, start, stop, cluster_id, removed): spans of blocks that at least two documents have.
+
+    The first place of a block, by (doc_id, start), always stays: only stretches of later places that are passages by
+    themselves are removed, so text that meets elsewhere text of its own cluster is not lost with it.
+    """
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "start"))
+    many = blocks.groupBy("class").agg(F.min(place).alias("_f"), F.max("doc_id").alias("_b")).where("_f.doc_id <> _b")
+    first = many.select("class", F.col("_f.doc_id").alias("origin"), F.col("_f.start").alias("_s"))
+    hit = blocks.join(first, "class").select("doc_id", "start", "words", "class", "origin", (F.col("doc_id").eqNullSafe(F.col("origin")) & (F.col("start") == F.col("_s"))).alias("first"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("doc_id", "start", "stop", "cluster_id", "removed")
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+        doc, held = None, []
+
+        def table(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != doc:
+                    out += _spans(doc, held, how)
+                    held = []
+                doc = row[0]
+                if not held or held[-1] != row[1:]:  # repeated rows
+                    held.append(row[1:])
+            yield table(out)
+        yield table(_spans(doc, held, how))
+
+    return hit.repartition("doc_id").sortWithinPartitions("doc_id", "start", "class").mapInArrow(judge, "doc_id bigint, start int, stop int, cluster_id bigint, removed boolean")
+
+
+def passages_of(blocks: list[tuple], how: Passages) -> list[tuple[int, int]]:
+    """Index ranges of (start, words, ...) that are passages; a run with too few words in blocks is cut at its widest gaps."""
+    gap = [0, *(b[0] - a[0] - a[1] for a, b in zip(blocks, blocks[1:]))]
+    out, todo = [], [(0, len(blocks), how.gap_words)]
+    while todo:
+        low, high, limit = todo.pop()
+        cuts = [low, *(k for k in range(low + 1, high) if gap[k] > limit), high]
+        for i, j in zip(cuts, cuts[1:]):
+            n = sum(b[1] for b in blocks[i:j])
+            if n < how.run_words:
+                continue
+            if n >= how.similarity * (max(b[0] + b[1] for b in blocks[i:j]) - blocks[i][0]):
+                out.append((i, j))
+            else:
+                todo.append((i, j, max(gap[i + 1 : j]) - 1))
+    return sorted(out)
+
+
+def _spans(doc: int | None, blocks: list[tuple], how: Passages) -> list[tuple]:
+    """Rows of one document: its repeated passages, divided into what stays and what other places have before."""
+    out = []
+
+    def add(part: list[tuple], removed: bool) -> None:
+        origin: dict = {}
+        for _, n, _, o, _ in part:
+            origin[o] = origin.get(o, 0) + n
+        least = min(origin, key=lambda o: (-origin[o], o)) if removed else doc
+        out.append((doc, part[0][0], max(b[0] + b[1] for b in part), least, removed))
+
+    for low, high in passages_of(blocks, how):
+        part, at = blocks[low:high], 0
+        gone, i = [], 0
+        while i < len(part):
+            j = i + 1
+            while j < len(part) and part[j][4] == part[i][4]:
+                j += 1
+            if not part[i][4]:
+                gone += [(i + a, i + b) for a, b in passages_of(part[i:j], how)]
+            i = j
+        for a, b in [*gone, (len(part), len(part))]:
+            if sum(x[1] for x in part[at:a]) >= how.run_words:
+                add(part[at:a], False)
+            if a < b:
+                add(part[a:b], True)
+            at = b
+    return out
 
 
 def repeated(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     """(doc_id, start, stop, kind, cluster_id, removed), a row for each repeated paragraph or passage.
 
-    start and stop count words. cluster_id is the smallest doc_id of the cluster; its first member (by doc_id, start)
-    stays, all others are removed. Clusters within one document count for paragraphs, not for passages. Documents
+    start and stop count words. cluster_id of a paragraph is the smallest doc_id of its cluster; the first member (by
+    doc_id, start) stays, all others are removed. Of a removed passage it is the document that has most of it first, of
+    one that stays its own. Clusters within one document count for paragraphs, not for passages. Documents
     without repeats give no rows, so null, empty and short texts give none; exact copies give all their paragraphs.
     """
     docs = docs.select("doc_id", "text").where("text is not null")
@@ -214,18 +287,9 @@ def repeated(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     roots = components(similar_classes(docs, paragraphs, how), "a", "b")
     lines = paragraphs.join(roots, paragraphs["class"] == roots["node"], "left").select("doc_id", "start", (F.col("start") + F.col("words")).alias("stop"), F.coalesce("root", "class").alias("class"))
     alike = lines.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    lines = lines.join(alike, "class").select("doc_id", "start", "stop", F.lit("paragraph").alias("kind"), F.array("class").alias("classes"))
-    runs = repeated_runs(cut(block_rows(docs, how)), how).withColumn("kind", F.lit("passage"))
-    nodes = cut(lines.unionByName(runs).withColumn("id", F.xxhash64("kind", "doc_id", "start", "stop")))
-    # copies of a run have the same blocks: they meet in one signature, and only that meets the blocks
-    sign = F.when(F.size("classes") == 1, F.col("classes")[0]).otherwise(F.xxhash64("classes"))
-    signed = nodes.select("id", sign.alias("sign"), "classes")
-    speaker = signed.groupBy("sign").agg(F.min("id").alias("_first"))
-    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
-    told = F.when(F.col("id") == F.col("_first"), F.transform("classes", lambda c: pair(F.col("sign"), c))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    edges = signed.join(speaker, "sign").select(F.explode(F.array_append(told, pair(F.col("id"), F.col("sign")))).alias("e"))
-    cluster = components(edges.select("e.a", "e.b"), "a", "b")
-    placed = nodes.join(cluster, nodes["id"] == cluster["node"], "left").select("doc_id", "start", "stop", "kind", F.coalesce("root", "id").alias("root"))
-    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "start", "kind", "stop")).alias("_f"))
-    same = (F.col("doc_id") == F.col("_f.doc_id")) & (F.col("start") == F.col("_f.start")) & (F.col("kind") == F.col("_f.kind"))
-    return placed.join(first, "root").select("doc_id", "start", "stop", "kind", F.col("_f.doc_id").alias("cluster_id"), (~same).alias("removed"))
+    lines = cut(lines.join(alike, "class"))
+    first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("_f"))
+    same = (F.col("doc_id") == F.col("_f.doc_id")) & (F.col("start") == F.col("_f.start"))
+    found = lines.join(first, "class").select("doc_id", "start", "stop", F.lit("paragraph").alias("kind"), F.col("_f.doc_id").alias("cluster_id"), (~same).alias("removed"))
+    runs = repeated_runs(cut(block_rows(docs, how)), how)
+    return found.union(runs.select("doc_id", "start", "stop", F.lit("passage").alias("kind"), "cluster_id", "removed"))
