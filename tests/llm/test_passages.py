@@ -23,3 +23,12 @@ def test_first_place_of_each_passage_stays(spark):
     assert covered(gone[0], 40, 144) == 0 and covered(gone[1], 40, 144) > 0.5
     assert covered(gone[2], 40, 120) == 0 and covered(gone[3], 40, 120) > 0.5
     assert not gone[4] and covered(gone[5], 40, 120) > 0.5 and covered(gone[5], 120, 200) == 0 and covered(gone[6], 40, 120) > 0.5
+
+
+def test_chance_blocks_hide_no_passage():
+    how = passages.Passages()
+    core = [(100 + 7 * k, 7) for k in range(5)]
+    assert passages.passages_of([(84, 6), *core, (145, 6)], how) == [(1, 6)]
+    assert passages.passages_of(core, how) == [(0, 5)] and passages.passages_of(core[:2], how) == []
+    edited = [(0, 15), (20, 15), (47, 5)]  # a gap inside stays bridged
+    assert passages.passages_of(edited, how) == [(0, 2)]
