@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from understory.llm import mixing, packing, pii, quality, queries, secrets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 LONG = "word " * 60_000 + "tail"
 TEXTS = [None, "", " \n\t ", "one", LONG, "same text here", "same text here", "x" * 200_000, "é ü ñ 中文 \x1f \xa0 b"]
 
@@ -171,7 +171,7 @@ def test_masked_secrets_are_gone(spark):
 
 def test_encoder_gives_the_tokenizers_ids():
     tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    r, own = random.Random(5), packing.Encoder(RANKS)
+    r, own = random.Random(5), packing.Encoder(*RANKS)
     texts = ["".join(r.choice([" ", "a", "'s", "1", "\n", ",", "é", "\xa0", "\x85", "中", "<|endoftext|>", "\r\n", "\t", "Word"]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     assert [own.encode(t) for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert packing.PATTERN == public_tokenizers.PATTERN
@@ -200,8 +200,8 @@ def test_plan_by_simulation():
 
 def test_packing_covers_every_token(spark):
     texts = [*TEXTS[:4], "word " * 3000, *TEXTS[5:7], "x y z " * 500, TEXTS[8]] * 2
-    got = packing.pack_documents(docs(spark, texts), RANKS).toPandas()
-    own = packing.Encoder(RANKS)
+    got = packing.pack_documents(docs(spark, texts), *RANKS).toPandas()
+    own = packing.Encoder(*RANKS)
     for i, t in enumerate(texts):
         ids = np.array([*own.encode(t or ""), 2], "<u4")
         mine = got[got.doc_id == i].sort_values("piece")
@@ -212,7 +212,7 @@ def test_packing_covers_every_token(spark):
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all() and got.groupby("sequence_id").length.sum().max() <= 1024
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 1024) + 1
-    assert packing.pack_documents(docs(spark, []), RANKS).count() == 0
+    assert packing.pack_documents(docs(spark, []), *RANKS).count() == 0
 
 
 # mixing
