@@ -27,6 +27,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[:\x20#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30}+)")
 SSN = re.compile(r"(?:\x20?(?:no\.?|number|#))?[:\x20]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 ACCOUNT = re.compile(r"(?:\x20?(?:no\.?|number|nr\.?|#))?[:\x20]{1,3}([0-9](?:[\x20-]?[0-9]){5,}+)")
+DATE = re.compile(r"(?:19|20)[0-9]{2}[\x20-](?:0[1-9]|1[0-2])[\x20-](?:0[1-9]|[12][0-9]|3[01])(?![0-9])")
 LOGIN = re.compile(r"[A-Za-z0-9._%+~-]++(?::[^\s/@]++)?@[A-Za-z0-9.-]+")
 #: Characters of an IBAN by country; those of other countries may end at any group.
 IBAN_LENGTHS = {
@@ -46,6 +47,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(part: str) -> bool:
+    """Whether a number is 255 at most; leading zeros, however many, do not count."""
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def iban_valid(code: str) -> bool:
     """Whether the number modulo 97 is 1 once letters stand for 10 to 35."""
     moved = code[4:] + code[:4]
@@ -85,7 +92,7 @@ def finder() -> Callable[[str], tuple[list[Span], list[Span]]]:
                 if at >= done["ip"]:
                     if m := IP.match(text, at):
                         done["ip"] = m.end()
-                        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+                        if all(octet(x) for x in m.groups()):
                             base.append(("ip", at, m.end()))
                     else:
                         done["ip"] = DIGITS.match(text, at).end()
@@ -118,7 +125,7 @@ def finder() -> Callable[[str], tuple[list[Span], list[Span]]]:
                 if (m := SSN.match(text, end + 1)) and m[1][:3] not in ("000", "666") and m[1][0] != "9" and m[1][4:6] != "00" and m[1][7:] != "0000":
                     extra.append(("ssn", *m.span(1)))
             elif kind == "account":
-                if m := ACCOUNT.match(text, end + 1):
+                if (m := ACCOUNT.match(text, end + 1)) and not DATE.match(m[1]) and len(set(m[1]) - {" ", "-"}) > 1:
                     extra.append(("account", *m.span(1)))
             elif m := LOGIN.match(text, end + 1):
                 extra.append(("login", *m.span()))
