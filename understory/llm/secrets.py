@@ -1,16 +1,19 @@
 """Secrets: key assignments, access keys and hex runs, and high-entropy strings by sliding windows.
 
-A candidate string is a maximal run of one character class (hex, base-36, base-64). A window slides over it; the
-Shannon entropy of the window follows from counts that are changed by one character in and one out. Allow-listed
-shapes (plain words, UUIDs, digests named as such, dates, paths) are suppressed.
+A candidate string is a maximal run of one character class: base-64, and in it base-36 and hex in either case. A
+window slides over it; the Shannon entropy of the window follows from counts that are changed by one character in and
+one out. Allow-listed shapes (words, UUIDs, digests named as such, dates, paths) are suppressed. Of nested runs
+that are both found the longer one is reported.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -24,25 +27,37 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x
 CUE = re.compile(r"[dDtTnNyY][\"']?\x20*[:=]")
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}+)={0,2}+(?![A-Za-z0-9+/_=-])")
+#: Classes in a base-64 run, by case; maximal runs of each are judged by themselves.
+FINER = tuple((("base36", re.compile(f"[0-9{z}]{{20,}}+")), ("hex", re.compile(f"[0-9{f}]{{20,}}+"))) for z, f in (("a-z", "a-f"), ("A-Z", "A-F")))
+DIGIT = re.compile(r"[0-9]")
+ONE_CASE = re.compile(r"[a-z]+|[A-Z]+")
 
 
 @dataclass(frozen=True)
 class Entropy:
-    """Window width, and the least entropy in bits a character of each class."""
+    """Window width, and the least entropy in bits a character of each class; strings without digits have limits of their own."""
 
     width: int = 20
     hex: float = 3.0
     base36: float = 3.6
     base64: float = 3.9
+    letters: float = 3.8  # of one case
+    mixed: float = 4.0  # letters of both cases, or letters and signs
     allow: tuple[str, ...] = (
-        r"[A-Za-z]+",  # plain words
+        r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+",  # words joined by capitals
         r"[0-9_/-]+",  # numbers and dates
-        r"[a-z]+(?:[-_/][a-z]+)+",  # slugs and paths
+        r"[A-Z]?[a-z]+(?:[-_/][A-Z]?[a-z]+)+",  # slugs and paths
         r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUIDs
         r"(?:sha(?:1|256|384|512)|md5)-.*",  # integrity digests
     )
 
+    def least(self, kind: str, run: str) -> float:
+        """The entropy that a run of a class needs."""
+        if kind == "hex" or DIGIT.search(run):
+            return getattr(self, kind)
+        return self.letters if ONE_CASE.fullmatch(run) else self.mixed
+
 
 def highest_entropy(text: str, width: int) -> float:
     """The highest entropy, in bits a character, of any window of ``width`` characters (or of all, if fewer)."""
@@ -69,6 +84,9 @@ def finder(rule: Entropy = Entropy()) -> Callable[[str], tuple[list[Span], list[
     """A function giving base and added spans of a text."""
     allowed = re.compile("|".join(f"(?:{x})" for x in rule.allow))
 
+    def secret(kind: str, run: str) -> bool:
+        return not allowed.fullmatch(run) and highest_entropy(run, rule.width) >= rule.least(kind, run)
+
     def find(text: str) -> tuple[list[Span], list[Span]]:
         base: list[Span] = []
         if CUE.search(text):
@@ -78,13 +96,23 @@ def finder(rule: Entropy = Entropy()) -> Callable[[str], tuple[list[Span], list[
         base += [("hex", *m.span()) for m in HEX.finditer(text)]
         extra: list[Span] = []
         for m in CANDIDATE.finditer(text):
-            word = m[0].rstrip("=")
             if allowed.fullmatch(m[0]):
                 continue
-            letters = set(word)
-            least = rule.hex if letters <= set("0123456789abcdef") or letters <= set("0123456789ABCDEF") else rule.base36 if letters <= set("0123456789abcdefghijklmnopqrstuvwxyz") or letters <= set("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") else rule.base64
-            if any(c.isdigit() for c in letters) and highest_entropy(word, rule.width) >= least:
+            if secret("base64", m[1]):
                 extra.append(("entropy", *m.span()))
+                continue
+            inner: set[tuple[int, int]] = set()
+            for case in FINER:
+                found: list[tuple[int, int]] = []  # of the wider class, in order
+                for kind, runs in case:
+                    new = []
+                    for r in runs.finditer(m[1]):
+                        at = bisect_right(found, r.start(), key=itemgetter(0)) - 1
+                        if (at < 0 or found[at][1] < r.end()) and secret(kind, r[0]):
+                            new.append(r.span())
+                    found = sorted(found + new)
+                inner.update(found)
+            extra += [("entropy", m.start() + a, m.start() + b) for a, b in sorted(inner)]
         return base, extra
 
     return find
