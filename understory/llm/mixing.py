@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .shared import cut
+from .shared import apart, cut, together
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANGE_ROWS = 4096  # documents in a key range, on average
@@ -69,10 +69,13 @@ def mix_plan(sized: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     before = F.sum("_words").over(Window.partitionBy("_place").orderBy("_range")) - F.col("_words")
     ends = sums.withColumn("_before", before).join(plan.select("_place", "_rest"), "_place").where("_before <= _rest")
     last = ends.groupBy("_place").agg(F.max(F.struct("_range", "_before", "_rest")).alias("_e")).select("_place", "_e.*")
-    inside = rows.join(last, ["_place", "_range"])
+    # rows that agree in key, id and size are one row here: however many, they are no window's burden
+    ties = rows.join(last, ["_place", "_range"]).groupBy("_place", "_before", "_rest", "_key", key, "_size").agg(F.count("*").alias("_ties"))
     order = Window.partitionBy("_place").orderBy("_key", key, "_size").rowsBetween(Window.unboundedPreceding, 0)
-    taken = inside.withColumn("_upto", F.col("_before") + F.sum("_size").over(order)).where("2 * _upto - _size <= 2 * _rest")
-    cuts = taken.groupBy("_place").agg(F.max(F.struct("_key", F.col(key).alias("_id"), "_size")).alias("_cut"))
+    room = F.col("_rest") - F.col("_before") - F.sum(F.col("_size") * F.col("_ties")).over(order) + F.col("_size") * F.col("_ties")
+    fit = F.when(room >= 0, F.least("_ties", F.coalesce(F.floor(F.try_divide(room, "_size") + 0.5), F.col("_ties"))))
+    taken = ties.withColumn("_fit", fit).where("_rest > 0 and _fit > 0")
+    cuts = taken.groupBy("_place").agg(F.max(F.struct(F.struct("_key", F.col(key).alias("_id"), "_size").alias("_cut"), "_fit", "_ties")).alias("_e")).select("_place", "_e.*")
     return cut(plan.join(last.select("_place", F.col("_range").alias("_last")), "_place", "left").join(cuts, "_place", "left"))
 
 
@@ -85,17 +88,31 @@ def sent(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def copies(sized: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``sized`` with its source's plan and _copies, the times the mix takes each row."""
-    at = _range(F.col("_key"), F.col("_docs"))
-    more = (at < F.col("_last")) | ((at == F.col("_last")) & (F.struct("_key", F.col(key).alias("_id"), "_size") <= F.col("_cut")))
-    return sent(sized, plan).withColumn("_copies", (F.col("_epochs") + F.coalesce(more, F.lit(False)).cast("bigint")).cast("bigint"))
+    """``sized`` with its source's plan and _copies, the times the mix takes each row.
+
+    Where only some of the rows that agree with the cut in key, id and size fit, they are numbered, partition by partition.
+    """
+    at, row = _range(F.col("_key"), F.col("_docs")), F.struct("_key", F.col(key).alias("_id"), "_size")
+    tied = F.coalesce((at == F.col("_last")) & row.eqNullSafe(F.col("_cut")), F.lit(False))
+    more = F.coalesce((at < F.col("_last")) | ((at == F.col("_last")) & (row < F.col("_cut"))), F.lit(False))
+    found = sent(sized, plan)
+    whole = found.withColumn("_copies", (F.col("_epochs") + (more | tied).cast("bigint")).cast("bigint"))
+    if plan.where("_fit < _ties").isEmpty():
+        return whole
+    some = tied & (F.col("_fit") < F.col("_ties"))
+    held = cut(found.where(some)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    before = held.groupBy("_place", "_part").agg(F.count("*").alias("_n")).select("_place", "_part", (F.sum("_n").over(Window.partitionBy("_place").orderBy("_part")) - F.col("_n")).alias("_earlier"))
+    number = F.col("_earlier") + F.row_number().over(Window.partitionBy("_place", "_part").orderBy("_at"))
+    chosen = held.join(before, ["_place", "_part"]).withColumn("_copies", (F.col("_epochs") + (number <= F.col("_fit")).cast("bigint")).cast("bigint"))
+    return whole.where(~some).unionByName(chosen.select(whole.columns))
 
 
 def mix(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row.
 
     Null texts have size zero, null sources are one source, the last; an empty table gives no rows. Taken words are
-    within half a document of the target; no document is taken more than twice. The same rows give the same result.
+    within half a document of the target; no row is taken more than twice, rows that repeat an id too. The same rows
+    give the same result.
     """
     sized = cut(keyed(docs.select(docs[key].alias("doc_id"), docs["source"].alias("source"), docs[text].alias("text")), seed).drop("text"))
     found = copies(sized, mix_plan(sized, **how))
@@ -103,11 +120,11 @@ def mix(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text",
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns. Texts are not shuffled."""
-    columns = docs.columns
+    """The documents as often as the mix takes them, with their own columns, whatever their names. Texts are not shuffled."""
+    columns, docs = docs.columns, apart(docs, "doc_id", "source", "text")
     plan = mix_plan(cut(keyed(docs, seed).select("doc_id", "source", "_size", "_key")), **how)
     found = copies(keyed(docs, seed), plan).where("_copies > 0")
-    return found.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*columns)
+    return together(found.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))), columns, "doc_id", "source", "text")
 
 
 ORACLE = r"""
