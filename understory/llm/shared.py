@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.checkpoint import cut
 
 
-__all__ = ["cut", "map_texts", "table"]
+__all__ = ["apart", "cut", "map_texts", "table", "together"]
+OTHERS = "_others"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apart(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with its columns ``own`` as they are and all others in one struct, where no name of theirs can clash."""
+    others = [docs[_quoted(c)].alias(c) for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*others).alias(OTHERS) if others else F.lit(None).alias(OTHERS))
+
+
+def together(parts: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """``columns`` in their order: ``own`` as they are, the others from where ``apart`` put them."""
+    return parts.select(*(F.col(c) if c in own else F.col(OTHERS)[c].alias(c) for c in columns))
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 def map_texts(df: DataFrame, key: str, text: str, schema: str, fn: Callable[[list, list], dict[str, list]], pack: int = 256) -> DataFrame:
     """Run ``fn(keys, texts)`` over small packs of rows of each Arrow batch, without any shuffle.
 

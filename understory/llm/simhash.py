@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, Window
 
 from ..operators.graph import components
-from .shared import cut, map_texts
+from .shared import apart, cut, map_texts, together
 from .similar import similar_texts
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift, bits
@@ -180,6 +180,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows go by id and text, so a repeated or null id does not join or drop rows of different groups; a null id stays
     only where its group has no other. The texts are shuffled once, to meet the rows that stay.
     """
+    columns, docs = docs.columns, apart(docs, "doc_id", "text")
     row = F.xxhash64(F.coalesce("text", F.lit("")))
     counts = docs.select("doc_id", row.alias("class")).groupBy("class", "doc_id").agg(F.count("*").alias("n"))
     least = lambda *more: F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *more))
@@ -190,6 +191,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     once = docs.join(stays.where("_count = 1").hint("shuffle_hash"), met, "left_semi")
     again = stays.where("_count > 1")
     if again.isEmpty():
-        return once
+        return together(once, columns, "doc_id", "text")
     more = docs.join(again.hint("shuffle_hash"), met, "left_semi")
-    return once.union(more.withColumn("_row", row).dropDuplicates(["doc_id", "_row"]).drop("_row"))
+    return together(once.union(more.withColumn("_row", row).dropDuplicates(["doc_id", "_row"]).drop("_row")), columns, "doc_id", "text")
