@@ -24,7 +24,8 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    # a page's path ends with the id of the document that it shows, and labels go by documents
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES, labelled=urls.document_in(F.col("url")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

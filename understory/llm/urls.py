@@ -35,39 +35,42 @@ def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 
 
 def tokens(url: Column) -> Column:
-    """Distinct items of a URL: scheme, words of the host, path segments, extension, query keys."""
+    """Distinct items of a URL: scheme, words of the host, path segments, extension (if any), query keys."""
     host, path = host_path(url)
     words = F.transform(F.split(host, r"[.-]"), lambda x: F.concat(F.lit("word:"), x))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), x))
-    kind = F.array(F.concat(F.lit("ext:"), F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)), F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1)))
+    kind = F.array(F.concat(F.lit("ext:"), F.nullif(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1), F.lit(""))), F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1)))
     keys = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)="), 1), lambda x: F.concat(F.lit("key:"), x))
-    return F.coalesce(F.array_distinct(F.concat(words, parts, kind, keys)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.array_compact(F.concat(words, parts, kind, keys))), F.array().cast("array<string>"))
 
 
 def mine(urls: DataFrame, labels: DataFrame, support: float = 0.01, confidence: float = 0.6, lift: float = 1.5, pages: int = 20) -> DataFrame:
-    """Rules (antecedent, confidence) from labelled URLs (id, url) and (id, bad): FP-growth over URL tokens and the label.
+    """Rules (antecedent, confidence, token) from labelled URLs (id, url) and (id, bad): FP-growth over tokens and label.
 
     A rule needs the support as a share of the labelled URLs and as a number of ``pages``: fewer prove nothing, and
-    at a support of a few URLs nearly every combination would be frequent. Kept are rules that lead to the bad label with the least confidence and lift, and of those none that holds a
-    kept rule's tokens and is no surer: what the shorter one blocks needs no longer one.
+    at a support of a few URLs nearly every combination would be frequent. Kept are rules that lead to the bad label
+    with the least confidence and lift, and of those none that holds a kept rule's tokens and is no surer: what the
+    shorter one blocks needs no longer one. ``token`` is the rule's rarest, under which it is indexed.
     """
     marked = urls.join(labels.groupBy("id").agg(F.max("bad").alias("bad")), "id").select(tokens(F.col("url")).alias("t"), "bad")
     baskets = cut(marked.select(F.when(F.col("bad"), F.array_append("t", F.lit(BLOCK))).otherwise(F.col("t")).alias("items")))
     total = baskets.count()
     if total < pages:
-        return baskets.where("false").select(F.col("items").alias("antecedent"), F.lit(1.0).alias("confidence"))
+        return baskets.where("false").select(F.col("items").alias("antecedent"), F.lit(1.0).alias("confidence"), F.lit("").alias("token"))
     model = FPGrowth(itemsCol="items", minSupport=max(support, pages / total), minConfidence=confidence).fit(baskets)
-    sure = cut(model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence"))
+    sure = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
+    often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
     # a rule falls to a shorter one that shares a token with it: found over tokens, not by pairing all rules
-    parts = sure.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
-    wider = parts.select(F.col("antecedent").alias("short"), F.col("confidence").alias("surer"), F.col("token").alias("first")).where(F.col("first") == F.col("short")[0])
-    fallen = parts.join(wider, (F.col("token") == F.col("first")) & (F.size("short") < F.size("antecedent")) & (F.col("surer") >= F.col("confidence"))).where(F.size(F.array_except("short", "antecedent")) == 0)
-    return sure.join(fallen.select("antecedent").distinct(), "antecedent", "left_anti")
+    parts = cut(sure.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(often, "item"))
+    indexed = parts.groupBy("antecedent").agg(F.max("confidence").alias("confidence"), F.min_by("item", F.struct("freq", "item")).alias("token"))
+    short = indexed.select(F.col("antecedent").alias("short"), F.col("confidence").alias("surer"), F.col("token").alias("item"))
+    fallen = parts.join(short, "item").where((F.size("short") < F.size("antecedent")) & (F.col("surer") >= F.col("confidence")) & (F.size(F.array_except("short", "antecedent")) == 0))
+    return indexed.join(fallen.select("antecedent").distinct(), "antecedent", "left_anti")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence) of the distinct ``url`` that hold all tokens of a rule, by an inverted index on one token of each rule."""
-    index = cut(rules.select(F.element_at("antecedent", 1).alias("token"), "antecedent", "confidence"))
+    """(url, confidence) of the distinct ``url`` that hold all tokens of a rule, by an inverted index on each rule's ``token``."""
+    index = cut(rules.select("token", "antecedent", "confidence"))
     if index.count() <= RULES_SENT:
         index = F.broadcast(index)
     held = urls.select("url", tokens(F.col("url")).alias("t"))
@@ -75,17 +78,22 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", label: str = "doc_id", **how) -> DataFrame:
+def document_in(url: Column) -> Column:
+    """The number that a URL's path ends with, an ending like ``.html`` and a slash apart; null if there is none."""
+    return F.regexp_extract(host_path(url)[1], r"/([0-9]+)(?:\.[A-Za-z0-9]{1,8})?/?$", 1).try_cast("bigint")
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", label: str = "doc_id", labelled: Column | None = None, **how) -> DataFrame:
     """(page_id, host, path, rule, verdict, confidence) of every row.
 
-    ``labels`` has ``label`` (the id of a page), ``quality`` and ``toxic``; a page is bad if toxic or of quality 0,
-    null labels say nothing. URLs are matched once however often they recur. Null URLs have empty host and path, fit
+    ``labels`` has ``label``, ``quality`` and ``toxic``; ``labelled`` is what of a page its labels go by, the page's
+    id if not given. A page is bad if toxic or of quality 0, null labels say nothing. URLs are matched once however often they recur. Null URLs have empty host and path, fit
     no rule and are allowed; without labels, or with labels that no tokens foretell, the method allows.
     """
-    rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"))
+    rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), (pages[key] if labelled is None else labelled).alias("_said"))
     bad = (F.coalesce(labels["toxic"], F.lit(0)) == 1) | (F.coalesce(labels["quality"], F.lit(1)) == 0)
     said = labels.where(labels["toxic"].isNotNull() | labels["quality"].isNotNull()).select(labels[label].alias("id"), bad.alias("bad"))
-    learnt = mine(rows.where("url is not null").select(F.col("page_id").alias("id"), "url"), said, **how)
+    learnt = mine(rows.where("url is not null").select(F.col("_said").alias("id"), "url"), said, **how)
     hits = matched(rows.select("url").where("url is not null").distinct(), learnt)
     host, path = host_path(F.col("url"))
     parsed = rows.join(hits, "url", "left").withColumn("host", host).withColumn("path", path).withColumn("_r", first_rule(F.col("host"), F.col("path"), rules))
