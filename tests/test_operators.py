@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from understory.operators import consensus, governance, graph, grid, kernels, labels, masks, metrics, raster, revision, spatial, votes
+from understory.operators import consensus, governance, graph, greedy, grid, kernels, labels, masks, metrics, raster, revision, spatial, votes
 
 
 def labelled(spark, truth, pred):
@@ -171,10 +171,10 @@ def ranked(spark, *scores):
 
 def test_greedy_claims(spark):
     mp = mask_table(spark, [range(16), range(16)], [1.0, 1.0])
-    got = rows(kernels.greedy_claims(mp, ranked(spark, 0.9, 0.8), least=4), "label")
+    got = rows(greedy.claims(mp, ranked(spark, 0.9, 0.8), least=4), "label")
     assert got == [(0,)] * 16
     mp = mask_table(spark, [range(10), range(5, 15)], [1.0, 1.0])
-    assert {r[0] for r in rows(kernels.greedy_claims(mp, ranked(spark, 0.9, 0.8), limit=0.2, least=4), "label")} == {0}
+    assert {r[0] for r in rows(greedy.claims(mp, ranked(spark, 0.9, 0.8), limit=0.2, least=4), "label")} == {0}
 
 
 def test_support_fusion_is_not_transitive(spark):
@@ -212,7 +212,7 @@ def test_consensus_codes(spark):
 def test_assign_masks(spark):
     def run(p, objects, least):
         mp = spark.createDataFrame([(0, q, i, float(v)) for q, row in enumerate(p) for i, v in enumerate(row) if v >= 0.5], "dataset_id int, mask_id long, pid long, score double")
-        return dict(rows(kernels.competing(mp, ranked(spark, *objects), least=least), "pid", "label"))
+        return dict(rows(greedy.competing(mp, ranked(spark, *objects), least=least), "pid", "label"))
 
     assert run([[0.95, 0.95, 0.7, 0.1, 0.1, 0.1], [0.1, 0.1, 0.75, 0.95, 0.95, 0.1]], (1.0, 1.0), 2) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1}
     assert run([[0.9, 0.9, 0.1], [0.8, 0.8, 0.1]], (1.0, 1.0), 2) == {0: 0, 1: 0}
@@ -227,14 +227,14 @@ def test_suppression_by_brute_force(spark):
     for i in sorted(conf, key=lambda k: -conf[k]):
         if not any((min(i, k), max(i, k)) in bad for k in kept):
             kept.append(i)
-    got = kernels.suppressed(spark.createDataFrame(pairs, "a long, b long, iou double"), spark.createDataFrame(list(conf.items()), "id long, confidence double"), 0.4)
+    got = greedy.suppressed(spark.createDataFrame(pairs, "a long, b long, iou double"), spark.createDataFrame(list(conf.items()), "id long, confidence double"), 0.4)
     assert sorted(r.id for r in got.collect()) == sorted(kept)
 
 
 def test_bounded_groups(spark):
     p = points(spark, [(0, 0, 0), (0.2, 0, 0), (1.2, 0, 0), (1.4, 0, 0)])
     e = spark.createDataFrame([(0, 1, 0.99), (1, 2, 0.99), (2, 3, 0.99)], "src long, dst long, probability double")
-    got = dict(rows(kernels.bounded_groups(p, e, 0.5, extent=0.6)))
+    got = dict(rows(greedy.bounded_groups(p, e, 0.5, extent=0.6)))
     assert got[0] == got[1] != got[2] == got[3]
 
 
@@ -294,12 +294,19 @@ def test_revision_splits_and_merges(spark):
 
 def test_shared_queries(spark):
     def run(*members):
-        data = [(m, p, p * 0.1, 0.0, 0.9, 0.8, 0.7 - m * 0.01) for m, ids in enumerate(members) for p in ids]
-        df = spark.createDataFrame(data, "mask_id long, pid long, x double, y double, score double, weight double, ranking double")
-        return revision.shared_queries(df).select("label").distinct().count()
+        data = [(m, p, p * 0.2, 0.0, z, 0.9, 0.8, 0.7 - m * 0.01) for m, ids in enumerate(members) for p in ids]
+        df = spark.createDataFrame(data, "mask_id long, pid long, x double, y double, z double, score double, weight double, ranking double")
+        return revision.shared_queries(df, how).select("label").distinct().count()
 
+    z, how = 5.0, revision.Shared()
     assert run(range(24), range(24)) == 1
     assert run(range(24), range(18, 48)) == 2
+    assert run(range(24), range(18, 48), range(0, 24), range(17, 48)) == 2
+    assert run(range(24), range(14, 40)) == 2
+    how = revision.Shared(area=1.1)
+    assert run(range(24), range(14, 40)) == 1
+    z, how = 1.0, revision.Shared()
+    assert run(range(24)) == 0
 
 
 def test_beam_returns_highest_first(spark):

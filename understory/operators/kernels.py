@@ -1,6 +1,6 @@
 """Order-dependent and geometric steps, as small NumPy helpers in Spark groups.
 
-A group is what the step itself cannot divide: masks connected by shared points, one label's cells, one plot. Spark
+A group is what the step itself cannot divide: pairs connected by shared shapes, one label's cells, one plot. Spark
 finds the groups (by joins and connected components), deals them out and puts their results together.
 """
 
@@ -12,129 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.checkpoint import cut
 from .graph import components
-from .masks import overlaps
-
-
-def blocks(mask_points: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(mask_id, block): masks of one block are connected by shared points; order matters only within a block."""
-    live = mask_points.join(ranked.select("mask_id"), "mask_id")
-    roots = components(overlaps(live), "a", "b")
-    return ranked.select("mask_id").join(roots, F.col("mask_id") == F.col("node"), "left").select("mask_id", F.coalesce("root", "mask_id").alias("block"))
-
-
-def _claim(pdf: pd.DataFrame, limit: float, least: int) -> pd.DataFrame:
-    """Masks in order of ranking take their free points, unless too much of them is taken already."""
-    taken: dict[int, int] = {}
-    out = []
-    for mask, rows in sorted(pdf.groupby("mask_id"), key=lambda g: (-g[1]["ranking"].iloc[0], g[0])):
-        free = ~rows["pid"].isin(taken.keys())
-        if 1 - free.mean() > limit or free.sum() < least:
-            continue
-        kept = rows[free]
-        taken.update(dict.fromkeys(kept["pid"], mask))
-        out.append(kept.assign(label=mask))
-    return pd.concat(out) if out else pdf.head(0).assign(label=0)
-
-
-def greedy_claims(mask_points: DataFrame, ranked: DataFrame, limit: float = 0.15, least: int = 12) -> DataFrame:
-    """(pid, label, confidence): greedy masks, label being the mask's id; masks claimed beyond ``limit`` fall whole.
-
-    ``ranked``: mask_id, ranking, object_score. One block of overlapping masks is one group.
-    """
-    grouped = mask_points.join(ranked, "mask_id").join(blocks(mask_points, ranked), "mask_id").select("block", "mask_id", "pid", "score", "ranking", "object_score")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _claim(pdf, limit, least)
-        return pd.DataFrame({"pid": got["pid"], "label": got["label"], "confidence": got["score"] * got["object_score"]})
-
-    return grouped.groupBy("block").applyInPandas(run, "pid bigint, label bigint, confidence double")
-
-
-def suppressed(pairs: DataFrame, scored: DataFrame, limit: float) -> DataFrame:
-    """(id, confidence) kept by non-maximum suppression: ids in order of confidence, unless one kept has an IoU of ``limit``.
-
-    ``pairs`` (a, b, iou) are the overlapping ones; ids that overlap none are kept without a group of their own.
-    """
-    close = pairs.where(F.col("iou") >= limit)
-    roots = components(close, "a", "b")
-    member = close.select(F.col("a").alias("id")).union(close.select("b")).distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("block"))
-    rows = member.join(scored, "id")
-    edges = close.join(member.withColumnRenamed("id", "a"), "a").select(F.col("block").alias("in_block"), "a", "b")
-
-    def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set] = {}
-        for a, b in zip(links["a"], links["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        kept: set[int] = set()
-        for i in nodes.sort_values(["confidence", "id"], ascending=[False, True])["id"]:
-            if not near.get(i, set()) & kept:
-                kept.add(i)
-        return nodes[nodes["id"].isin(kept)][["id", "confidence"]]
-
-    chosen = rows.groupBy("block").cogroup(edges.groupBy("in_block")).applyInPandas(run, "id bigint, confidence double")
-    return scored.join(member, "id", "left_anti").select("id", "confidence").unionByName(chosen)
-
-
-def competing(mask_points: DataFrame, ranked: DataFrame, least: int = 8, duplicate: float = 0.6) -> DataFrame:
-    """(pid, label, confidence): near-equal masks fall to the better one, then points go to the best offer.
-
-    Masks left with too few points fall and their points are offered again, until all have enough.
-    """
-    n = mask_points.join(ranked.select("mask_id", "object_score"), "mask_id").groupBy("mask_id").agg(F.count("*").alias("n"), (F.first("object_score") * F.avg("score")).alias("confidence"))
-    good = n.where(F.col("n") >= least)
-    side = lambda k: good.select(F.col("mask_id").alias(k), F.col("n").alias(f"n{k}"))
-    iou = overlaps(mask_points).join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
-    alive = suppressed(iou, good.select(F.col("mask_id").alias("id"), "confidence"), duplicate).select(F.col("id").alias("mask_id"))
-    while True:
-        offers = mask_points.join(alive, "mask_id").join(ranked.select("mask_id", "object_score"), "mask_id").withColumn("offer", F.col("score") * F.col("object_score"))
-        won = offers.groupBy("pid").agg(F.max_by(F.struct("mask_id", "offer"), F.struct("offer", -F.col("mask_id"))).alias("w")).select("pid", F.col("w.mask_id").alias("label"), F.col("w.offer").alias("confidence"))
-        enough = cut(won.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("label").alias("mask_id")))
-        if enough.count() == alive.count():
-            return won
-        alive = enough
-
-
-def bounded_groups(points: DataFrame, edges: DataFrame, threshold: float, extent: float = 1.0, most: int = 64, by: str = "dataset_id") -> DataFrame:
-    """(pid, group): edges in order of probability join groups, while a group stays small in points and extent.
-
-    ``edges``: src, dst, probability. Points connected by edges above the threshold are one Spark group.
-    """
-    live = edges.where(F.col("probability") >= threshold)
-    roots = components(live, "src", "dst")
-    placed = points.select("pid", "x", "y", "z").join(roots, F.col("pid") == F.col("node"), "left").select("pid", "x", "y", "z", F.coalesce("root", "pid").alias("block"))
-    marked = placed.join(live.select(F.col("dst").alias("pid")).union(live.select("src")).distinct().withColumn("_l", F.lit(True)), "pid", "left")
-    inside = live.join(placed.select(F.col("pid").alias("src"), "block"), "src").select(F.col("block").alias("in_block"), "src", "dst", "probability")
-
-    def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        at = {p: i for i, p in enumerate(nodes["pid"])}
-        low = nodes[["x", "y", "z"]].to_numpy()
-        high, size, root = low.copy(), np.ones(len(at), int), list(range(len(at)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for e in links.sort_values(["probability", "src", "dst"], ascending=[False, True, True]).itertuples():
-            a, b = find(at[e.src]), find(at[e.dst])
-            lo, hi = np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
-            if a == b or size[a] + size[b] > most or np.linalg.norm(hi - lo) > extent:
-                continue
-            root[b] = a
-            size[a] += size[b]
-            low[a], high[a] = lo, hi
-        first: dict[int, int] = {}
-        pids = nodes["pid"].to_numpy()
-        for i in np.argsort(pids):
-            first.setdefault(find(int(i)), int(pids[i]))
-        return pd.DataFrame({"pid": pids, "group": [first[find(i)] for i in range(len(pids))]})
-
-    grouped = marked.where("_l").drop("_l").groupBy("block").cogroup(inside.groupBy("in_block")).applyInPandas(run, "pid bigint, `group` bigint")
-    return grouped.unionByName(marked.where("_l IS NULL").select("pid", F.col("pid").alias("group")))
 
 
 def assigned(pairs: DataFrame, by: str, a: str, b: str, least: float = 0.5) -> DataFrame:
