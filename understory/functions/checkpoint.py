@@ -1,20 +1,32 @@
-"""Cutting lineage in the cluster's shared folder."""
+"""Cutting lineage, and scratch space, in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder so that its lineage ends here.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests) is a
-    temporary one made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where it is unset, one process alone gets a temporary folder; a cluster gets an error."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    held = sc._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder so that its lineage ends here."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path of its own in the shared folder; nothing is there yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

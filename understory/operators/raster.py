@@ -85,6 +85,30 @@ def fill_nearest(holes: DataFrame, known: DataFrame, value: str, by: str = "data
     return done if done is not None else holes.select(by, "row", "col").withColumn(value, F.lit(None).cast("double")).limit(0)
 
 
+def mosaic(tiles: DataFrame, value: str, height: int, width: int, by: str = "dataset_id", order: str = "tile") -> DataFrame:
+    """One grid of tiles (by, tile, tile_row, tile_col, row, col, value), cells counted within each tile.
+
+    Where tiles overlap the one that comes last in ``order`` is pasted last. Cells that no tile has are missing.
+    """
+    at = tiles.select(by, (F.col("tile_row") * height + F.col("row")).alias("row"), (F.col("tile_col") * width + F.col("col")).alias("col"), F.struct(order, value).alias("_v"))
+    return at.groupBy(by, "row", "col").agg(F.max("_v").alias("_v")).select(by, "row", "col", F.col(f"_v.{value}").alias(value))
+
+
+def padded_tiles(raster: DataFrame, size: int, halo: int, value: str, nodata: float, by: str = "dataset_id") -> DataFrame:
+    """(by, tile_row, tile_col, row, col, value, core): every tile that holds a cell, with its halo, whole.
+
+    Cells are sent to the tiles whose halo they lie in; cells that are missing get ``nodata``. A tile has a bounded
+    number of cells, so the padding is written out by a sequence.
+    """
+    span = lambda c: F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size))
+    sent_ = raster.withColumn("tile_row", F.explode(span("row"))).withColumn("tile_col", F.explode(span("col"))).select(by, "tile_row", "tile_col", "row", "col", value)
+    own = raster.select(by, F.floor(F.col("row") / size).alias("tile_row"), F.floor(F.col("col") / size).alias("tile_col")).distinct()
+    line = lambda c: F.explode(F.sequence(F.col(c) * size - halo, F.col(c) * size + size - 1 + halo))
+    grid = own.withColumn("row", line("tile_row")).withColumn("col", line("tile_col"))
+    core = (F.floor(F.col("row") / size) == F.col("tile_row")) & (F.floor(F.col("col") / size) == F.col("tile_col"))
+    return grid.join(sent_, [by, "tile_row", "tile_col", "row", "col"], "left").withColumn(value, F.coalesce(value, F.lit(nodata))).withColumn("core", core)
+
+
 def window_size(height: Column, low: float = 3.0, slope: float = 0.1, intercept: float = 2.0, floor: float = 2.0) -> Column:
     """Diameter of the local-maximum window at a height: constant below ``low``, then linear."""
     return F.when(height < low, floor).otherwise(height * slope + intercept)

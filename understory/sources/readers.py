@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MANIFEST = "dataset_id string, source_dataset string, collection string, official_split string, model_split string, source_las string, output string, bounds string, train_eligible string"
 
@@ -104,15 +106,65 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def same_stems(spark: SparkSession, left: str, right: str) -> DataFrame:
-    """(stem, status) of two folders' files paired by name without extension."""
+def same_stems(spark: SparkSession, left: str, right: str, pattern: str = r"([^/]+?)(?:\.[^./]*)?$", only: Sequence[str] | None = None) -> DataFrame:
+    """(stem, status) of two folders' files paired by name without extension, or by the first group of ``pattern``.
+
+    ``only``: names that are asked for; others are left out. Only file names are read.
+    """
     from ..operators.governance import paired
 
-    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem")
-    files = lambda p: spark.read.format("binaryFile").load(p).select(stem)
+    def files(path: str) -> DataFrame:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", pattern, 1).alias("stem")).distinct()
+        return found.where(F.col("stem").isin(*only)) if only is not None else found
+
     return paired(files(left), files(right), "stem")
 
 
+def all_paired(pairs: DataFrame) -> DataFrame:
+    """The stems of both sides; a stem that one side lacks is an error that names some."""
+    lone = [r["stem"] for r in pairs.where("status <> 'both'").orderBy("stem").limit(5).collect()]
+    if lone:
+        raise ValueError(f"without a partner: {', '.join(lone)}")
+    return pairs.select("stem")
+
+
+def sources_of(manifest_: DataFrame, files: DataFrame, splits: Sequence[str], key: str = "dataset_id", file: str = "source_las") -> DataFrame:
+    """(dataset_id, problem) of a manifest's rows: a split that is not expected, an id given twice, a file that is missing."""
+    rows = manifest_.select(F.col(key).alias("dataset_id"), "model_split", F.col(file).alias("_file"))
+    split = rows.where(~F.coalesce(F.col("model_split").isin(*splits), F.lit(False))).select("dataset_id", F.lit("unexpected split").alias("problem"))
+    twice = rows.groupBy("dataset_id").agg(F.count("*").alias("n")).where("n > 1").select("dataset_id", F.lit("ambiguous id").alias("problem"))
+    missing = rows.join(files.select(F.col(files.columns[0]).alias("_file")), "_file", "left_anti").select("dataset_id", F.lit("missing file").alias("problem"))
+    return split.union(twice).union(missing).distinct()
+
+
+def wkb_rings(content: Column) -> Column:
+    """Rings (arrays of struct(x, y)) of a little-endian WKB polygon, read with byte arithmetic in the JVM."""
+    text = F.hex(content)
+
+    def number(at: Column, bytes_: int) -> Column:
+        pairs = F.transform(F.sequence(F.lit(bytes_ - 1), F.lit(0)), lambda i: F.substring(text, (at + i) * 2 + 1, F.lit(2)))
+        return F.array_join(pairs, "")
+
+    def integer(at: Column) -> Column:
+        return F.conv(number(at, 4), 16, 10).cast("int")
+
+    def double(at: Column) -> Column:
+        # sign, exponent and fraction of the IEEE 754 layout
+        digits = number(at, 8)
+        head = F.conv(F.substring(digits, 1, 3), 16, 10).cast("int")
+        fraction = F.conv(F.substring(digits, 4, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+        power = head.bitwiseAND(2047)
+        value = F.when(power == 0, fraction * F.lit(2.0**-1022)).otherwise((1 + fraction) * F.pow(F.lit(2.0), power - 1023))
+        return F.when(head >= 2048, -value).otherwise(value)
+
+    def ring(at: Column, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(double(at + 16 * i).alias("x"), double(at + 16 * i + 8).alias("y")))
+
+    start = F.struct(F.lit(9).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("rings"))
+    places = F.aggregate(F.sequence(F.lit(1), integer(F.lit(5))), start, lambda s, _: F.struct((s["at"] + 4 + 16 * integer(s["at"])).alias("at"), F.array_append(s["rings"], F.struct((s["at"] + 4).alias("at"), integer(s["at"]).alias("n"))).alias("rings")))
+    return F.transform(places["rings"], lambda r: ring(r["at"], r["n"]))
+
+
 def shards(spark: SparkSession, paths: Sequence[str], key: str = "pid") -> DataFrame:
     """Union of shards by name; a key that two shards give is an error."""
     out = spark.read.option("mergeSchema", True).parquet(*paths)
@@ -142,7 +194,7 @@ def las_header(raw: bytes) -> dict:
 def las_points(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """(file, x, y, z, intensity, classification) of LAS files; those whose header lies outside the half-open box are not decoded.
 
-    A file is one task's batches of 100,000 points, so files, not their points, set the parallelism.
+    For any store that Spark reads: a file of up to 2 GB is one task's batches of 100,000 points. ``las_ranges`` has no such bound.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,21 +202,84 @@ def las_points(spark: SparkSession, path: str, box: tuple[float, float, float, f
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = data.as_buffer()
                 h = las_header(bytes(raw[:375]))
-                if box and (h["low"][0] >= box[2] or h["high"][0] < box[0] or h["low"][1] >= box[3] or h["high"][1] < box[1]):
-                    continue
-                at = {"names": ["x", "y", "z", "i", "c"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, 16 if h["kind"] > 5 else 15], "itemsize": h["width"]}
-                rows = np.frombuffer(raw, np.dtype(at), h["count"], h["first"])
-                for start in range(0, len(rows), 100_000):
-                    part = rows[start : start + 100_000]
-                    xyz = [part[c] * s + o for c, s, o in zip("xyz", h["scale"], h["offset"], strict=True)]
-                    keep = np.ones(len(part), bool) if not box else (xyz[0] >= box[0]) & (xyz[0] < box[2]) & (xyz[1] >= box[1]) & (xyz[1] < box[3])
-                    label = part["c"] & (255 if h["kind"] > 5 else 31)
-                    columns = [pa.array([name] * int(keep.sum())), *(pa.array(v[keep]) for v in xyz), pa.array(part["i"][keep].astype("i4")), pa.array(label[keep].astype("i4"))]
-                    yield pa.RecordBatch.from_arrays(columns, ["file", "x", "y", "z", "intensity", "classification"])
+                if not las_outside(h, box):
+                    rows = np.frombuffer(raw, las_layout(h), h["count"], h["first"])
+                    for start in range(0, len(rows), 100_000):
+                        yield las_batch(name, rows[start : start + 100_000], h, box)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, x double, y double, z double, intensity int, classification int")
 
 
+class LasSource(DataSource):
+    """Format ``las``: uncompressed LAS files on a folder that driver and executors mount, by ranges of points.
+
+    Options: ``box`` ("left bottom right top", half-open) and ``points`` (of a range). Only headers are read to plan:
+    files outside the box give no task, and a file of any size is read in ranges of bounded memory.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "las"
+
+    def schema(self) -> str:
+        return "file string, x double, y double, z double, intensity int, classification int"
+
+    def reader(self, schema) -> DataSourceReader:
+        return LasReader(self.options)
+
+
+class LasReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        path = options["path"].removeprefix("file:")
+        self.files = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".las")) if os.path.isdir(path) else [path]
+        self.box = tuple(map(float, options["box"].split())) if options.get("box") else None
+        self.step = int(options.get("points", 1_000_000))
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for name in self.files:
+            with open(name, "rb") as f:
+                head = las_header(f.read(375))
+            if not las_outside(head, self.box):
+                out += [InputPartition((name, head, at, min(self.step, head["count"] - at))) for at in range(0, head["count"], self.step)]
+        return out or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition.value is None:
+            return
+        name, head, at, n = partition.value
+        with open(name, "rb") as f:
+            f.seek(head["first"] + at * head["width"])
+            for start in range(0, n, 100_000):
+                k = min(100_000, n - start)
+                yield las_batch(name, np.frombuffer(f.read(k * head["width"]), las_layout(head), k), head, self.box)
+
+
+def las_outside(head: dict, box: tuple | None) -> bool:
+    """Whether a file's bounds do not meet the half-open box."""
+    return bool(box) and (head["low"][0] >= box[2] or head["high"][0] < box[0] or head["low"][1] >= box[3] or head["high"][1] < box[1])
+
+
+def las_layout(head: dict) -> np.dtype:
+    return np.dtype({"names": ["x", "y", "z", "i", "c"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, 16 if head["kind"] > 5 else 15], "itemsize": head["width"]})
+
+
+def las_batch(name: str, part: np.ndarray, head: dict, box: tuple | None) -> pa.RecordBatch:
+    """Points of a file as columns, those in the half-open box only."""
+    xyz = [part[c] * s + o for c, s, o in zip("xyz", head["scale"], head["offset"], strict=True)]
+    keep = np.ones(len(part), bool) if not box else (xyz[0] >= box[0]) & (xyz[0] < box[2]) & (xyz[1] >= box[1]) & (xyz[1] < box[3])
+    label = part["c"] & (255 if head["kind"] > 5 else 31)
+    columns = [pa.array([name] * int(keep.sum()), pa.string()), *(pa.array(v[keep]) for v in xyz), pa.array(part["i"][keep].astype("i4")), pa.array(label[keep].astype("i4"))]
+    return pa.RecordBatch.from_arrays(columns, ["file", "x", "y", "z", "intensity", "classification"])
+
+
+def las_ranges(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, points: int = 1_000_000) -> DataFrame:
+    """(file, x, y, z, intensity, classification) of LAS files in a mounted folder, by ranges of points; see ``LasSource``."""
+    spark.dataSource.register(LasSource)
+    reader = spark.read.format("las").option("points", points)
+    return (reader.option("box", " ".join(map(repr, map(float, box)))) if box else reader).load(path)
+
+
 def ply_points(spark: SparkSession, path: str) -> DataFrame:
     """Vertices of a little-endian or ASCII PLY file whose vertex properties are scalars, all as doubles."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("h")).first()
