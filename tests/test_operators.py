@@ -204,7 +204,9 @@ def test_consensus_codes(spark):
     df = spark.createDataFrame(data, "pid long, dataset_id int, x double, y double, z double, vx double, vy double, p double, anchor long, other long")
     got = {r.pid: (r.label, r.source) for r in consensus.fuse(df).collect()}
     assert all(got[p] == (1, 1) for p in range(24))
-    assert got[24] == (1, 2) and got[95] == (2, 3) and got[50] == (0, 0)
+    assert got[24] == (1, 2) and got[95] == (13, 3) and got[50] == (0, 0)
+    narrow = consensus.fuse(df, consensus.Consensus(new_area=1000.0))
+    assert narrow.where("source = 3").isEmpty()
     with pytest.raises(ValueError):
         consensus.Consensus(dominance=0.4)
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from ..functions.chance import unit
 from .graph import components
 
 
@@ -66,7 +67,7 @@ def bootstrap(values: DataFrame, stratum: str, value: str, rounds: int = 2000) -
     numbered = values.select(stratum, value).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
     sizes = numbered.groupBy(stratum).agg(F.count("*").alias("_n"))
     draws = sizes.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-    picked = draws.withColumn("_i", F.pmod(F.xxhash64("_r", stratum, "_k"), F.col("_n")).cast("int")).join(numbered, [stratum, "_i"])
+    picked = draws.withColumn("_i", F.floor(unit("_r", stratum, "_k") * F.col("_n")).cast("int")).join(numbered, [stratum, "_i"])
     means = picked.groupBy("_r", stratum).agg(F.avg(value).alias("m")).groupBy("_r").agg(F.avg("m").alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"))
 
@@ -94,6 +95,5 @@ def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def weighted_sample(rows: DataFrame, weight: Column, count: int, stratum: str, id: str, seed: int = 0) -> DataFrame:
     """``count`` rows of each stratum without replacement, by exponential keys from a hash of the id."""
-    unit = (F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    keyed = rows.withColumn("_k", -F.log(unit) / weight)
+    keyed = rows.withColumn("_k", -F.log(unit(id, F.lit(seed))) / weight)
     return keyed.withColumn("_p", F.row_number().over(Window.partitionBy(stratum).orderBy("_k", id))).where(F.col("_p") <= count).drop("_k", "_p")

@@ -56,12 +56,23 @@ def neighbourhood(raster: DataFrame, radius: int, *agg: Column, value: str, by:
     return sent.groupBy(by, "row", "col").agg(*agg, here).where("_here").drop("_here")
 
 
-def gaussian(sigma: float) -> tuple[int, Column]:
-    """Radius and weight of a neighbour at (dr, dc); the kernel is cut at four sigma and sums to one."""
+def by_lines(raster: DataFrame, radius: int, combine, value: str, by: str = "dataset_id") -> DataFrame:
+    """``combine(value, offset)``, an aggregate, over the square around each known cell, first along rows, then columns.
+
+    For aggregates that divide into lines (sums of products, maxima): 2 (2r + 1) copies of a cell, not (2r + 1)^2.
+    """
+    out = raster.select(by, "row", "col", value, F.lit(True).alias("_k"))
+    for axis in ("row", "col"):
+        sent_ = out.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(axis, F.col(axis) + F.col("_d"))
+        out = sent_.groupBy(by, "row", "col").agg(combine(F.col(value), F.col("_d")).alias(value), F.bool_or(F.col("_k") & (F.col("_d") == 0)).alias("_k"))
+    return out.where("_k").drop("_k")
+
+
+def smoothed(raster: DataFrame, sigma: float, value: str, by: str = "dataset_id") -> DataFrame:
+    """Gaussian smoothing of known cells, missing ones counting as zero; the kernel is cut at four sigma and sums to one."""
     radius = int(4 * sigma + 0.5)
-    total = sum(math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-radius, radius + 1)) ** 2
-    d2 = F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")
-    return radius, F.exp(-d2 / (2 * sigma * sigma)) / total
+    total = sum(math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-radius, radius + 1))
+    return by_lines(raster, radius, lambda v, o: F.sum(v * F.exp(-(o * o) / (2 * sigma * sigma)) / total), value, by)
 
 
 def fill_nearest(holes: DataFrame, known: DataFrame, value: str, by: str = "dataset_id", reach: int = 4) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import kernels, metrics, raster, spatial, votes
 from ..sources import views
 from .governing import EDGES, GROUPS, grouped
 from .gridding import CELLS, canopy
+from .geometry import hulls_sql
 from .neighbours import TOPS, tops
 from .registry import query
 from .scoring import rounded
@@ -33,7 +34,12 @@ def vote_centres(spark, d):
     return votes.peaks(voting(spark, d), VOTING).select("dataset_id", "x", "y")
 
 
-@query()
+ASSIGNED = """, q AS (SELECT *, CAST((CAST(y - 0.5 AS BIGINT) + 1073741824) * 2147483648 + CAST(x - 0.5 AS BIGINT) + 1073741824 AS BIGINT) AS peak FROM peaks),
+a AS (SELECT p.dataset_id, p.pid, arg_min(q.peak, ((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y), q.peak)) AS label FROM points p JOIN q ON q.dataset_id = p.dataset_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 9 WHERE 1 - discount * 5 >= 0.5 AND z >= 0.5 GROUP BY ALL),
+held AS (SELECT a.*, dataset_id || ':' || label AS g, p.x, CAST(p.y AS DOUBLE) AS y, p.z FROM a JOIN points p USING (dataset_id, pid)), good AS (SELECT g FROM held GROUP BY 1 HAVING count(*) >= 8 AND max(z) >= 2), hp AS (SELECT g, x, y FROM held JOIN good USING (g)), """ + hulls_sql("hv", "hp")
+
+
+@query(PEAKS + ASSIGNED + " SELECT dataset_id, pid, label FROM held JOIN hv USING (g) WHERE area >= 0.75")
 def vote_instances(spark, d):
     return votes.instances(voting(spark, d), VOTING)
 
@@ -69,7 +75,9 @@ def footprint_scores(spark, d):
     return rounded(metrics.footprint_metrics(c("truth"), c("pred"), pairs, kernels.assigned(pairs, "dataset_id", "a", "b"), raster.ignore_mask(p, 1.0)))
 
 
-@query()
+@query("WITH {points}, " + TOPS + """, e AS (SELECT tree, k, x + k * a AS x, y + k * b AS y, x + k * a2 AS x2, y + k * b2 AS y2 FROM tops, (VALUES (2), (3)) s(k), (VALUES (-1, -1, 1, -1), (1, -1, 1, 1), (1, 1, -1, 1), (-1, 1, -1, -1)) v(a, b, a2, b2)),
+i AS (SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(ceil(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) / 0.5), 1) AS BIGINT) AS n FROM e)), s AS (SELECT tree, k, x + (x2 - x) * i / n AS x, y + (y2 - y) * i / n AS y FROM i), d AS (SELECT p.tree, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) AS d FROM s p JOIN s q ON p.tree = q.tree AND p.k <> q.k GROUP BY p.tree, p.k, p.x, p.y)
+SELECT tree AS a, tree AS b, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.95), 6) AS p95 FROM d GROUP BY tree""")
 def boundary_distances(spark, d):
     v = lambda k, a, b: F.struct((F.col("x") + a * k).alias("x"), (F.col("y") + b * k).alias("y"))
     ring = lambda k: F.array(v(k, -1, -1), v(k, 1, -1), v(k, 1, 1), v(k, -1, 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import consensus, masks
 from ..operators.spatial import near_own_group
 from ..sources import views
+from .geometry import hulls_sql
 from .registry import query
 from .scoring import nudged, rounded
 
@@ -99,7 +100,8 @@ free AS (SELECT * FROM b WHERE anchor = 0 AND other > 0 AND p >= 0.5), off AS (S
 comp AS (SELECT DISTINCT o.pid, o.label FROM off o JOIN b a ON a.anchor = o.label AND (o.x - a.x) * (o.x - a.x) + (o.y - a.y) * (o.y - a.y) + (o.z - a.z) * (o.z - a.z) <= 16),
 alone AS (SELECT dataset_id, other FROM b WHERE other > 0 GROUP BY ALL HAVING avg(CASE WHEN anchor > 0 THEN 1.0::DOUBLE ELSE 0 END) <= 0.05 AND other NOT IN (SELECT other FROM best)),
 new AS (SELECT f.dataset_id, other, median(vx) AS x, median(vy) AS y FROM free f JOIN alone USING (other) GROUP BY ALL HAVING count(*) >= 12 AND max(z) >= 2),
-ids AS (SELECT other, (SELECT max(anchor) FROM b) + row_number() OVER (ORDER BY other) AS label FROM new n WHERE NOT EXISTS (SELECT 1 FROM mid m WHERE m.dataset_id = n.dataset_id AND (m.cx - n.x) * (m.cx - n.x) + (m.cy - n.y) * (m.cy - n.y) < 1)),
+far AS (SELECT other FROM new n WHERE NOT EXISTS (SELECT 1 FROM mid m WHERE m.dataset_id = n.dataset_id AND (m.cx - n.x) * (m.cx - n.x) + (m.cy - n.y) * (m.cy - n.y) < 1)), hp AS (SELECT other AS g, x, CAST(y AS DOUBLE) AS y FROM free JOIN alone USING (other) JOIN far USING (other)), HULLS,
+ids AS (SELECT g AS other, (SELECT max(anchor) FROM b) + g AS label FROM hv WHERE area >= 0.75),
 f3 AS (SELECT b.*, CASE WHEN anchor > 0 THEN anchor WHEN comp.label IS NOT NULL THEN comp.label WHEN ids.label IS NOT NULL AND p >= 0.5 THEN ids.label ELSE 0 END AS label,
   CASE WHEN anchor > 0 THEN 1 WHEN comp.label IS NOT NULL THEN 2 WHEN ids.label IS NOT NULL AND p >= 0.5 THEN 3 ELSE 0 END AS source FROM b LEFT JOIN comp USING (pid) LEFT JOIN ids USING (other)),
 cen AS (SELECT dataset_id, label, median(vx) AS cx, median(vy) AS cy FROM f3 WHERE label > 0 GROUP BY ALL),
@@ -110,7 +112,7 @@ grown AS (SELECT DISTINCT s.pid, s.label FROM safe s JOIN f3 f USING (pid) JOIN
 SELECT f.pid, f.dataset_id, coalesce(g.label, f.label)::BIGINT AS label, CASE WHEN g.label IS NOT NULL THEN 4 ELSE f.source END AS source FROM f3 f LEFT JOIN grown g USING (pid)"""
 
 
-@query(CONSENSUS)
+@query(CONSENSUS.replace("HULLS", hulls_sql("hv", "hp")))
 def dual_consensus(spark, d):
     anchor = F.when(F.expr("truth > 0 AND y <= 30 AND truth % 3 <> 0"), F.col("truth")).otherwise(0)
     other = F.when(F.col("pred") > 0, F.col("pred") + 5000).otherwise(0)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window
 
+from ..functions.chance import unit_sql
 from ..operators import governance, labels, spatial
 from ..sources import views
 from .registry import query
-from .scoring import PLOT, plot_metrics, rounded
+from .scoring import GROUPED, PLOT, plot_metrics, rounded
 
 
 @query("""WITH {points} SELECT pid, CAST(CASE WHEN classification = 3 THEN -1 WHEN classification IN (1, 2) OR (truth = 0 AND abs(z) <= 0.05) OR truth IN (7, 9) THEN 0 WHEN truth > 0 THEN truth ELSE -1 END AS BIGINT) AS instance,
@@ -104,10 +105,12 @@ def hard_example_weights(spark, d):
     return c.join(med, "dataset_id").join(close, "truth", "left").select("truth", F.round(w, 6).alias("weight"))
 
 
-@query()
+@query(GROUPED + f""", v AS (SELECT source, tp / greatest(tp + 0.5 * (fp + fn), 1) AS f1 FROM r), i AS (SELECT source, f1, row_number() OVER (PARTITION BY source ORDER BY f1) - 1 AS i FROM v), n AS (SELECT source, count(*) AS n FROM v GROUP BY 1),
+dr AS (SELECT source, n, r, unnest(range(1, n + 1)) AS k FROM n, range(1, 2001) t(r)), pk AS (SELECT source, r, CAST(floor({unit_sql("r", "source", "k")} * n) AS BIGINT) AS i FROM dr),
+ms AS (SELECT r, avg(m) AS m FROM (SELECT r, source, avg(f1) AS m FROM pk JOIN i USING (source, i) GROUP BY ALL) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(m), 6) AS mean FROM ms""")
 def bootstrap_interval(spark, d):
     p = plot_metrics(spark, d).withColumn("f1", F.col("tp") / F.greatest(F.expr("tp + 0.5 * (fp + fn)"), F.lit(1.0)))
-    return governance.bootstrap(p, "source", "f1")
+    return rounded(governance.bootstrap(p, "source", "f1"))
 
 
 @query("SELECT user_id, event_id, event_type, \"value\" FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -164,7 +167,7 @@ def even_subsample(spark, d):
     return t.where("n <= 16 OR floor((i + 1) * 16 / n) > floor(i * 16 / n)").select("truth", "pid")
 
 
-@query()
+@query(f"WITH {{points}}, k AS (SELECT truth, pid, row_number() OVER (PARTITION BY truth ORDER BY -ln({unit_sql('pid', '0')}) / (z + 0.1), pid) AS k FROM points WHERE truth > 0) SELECT truth, pid FROM k WHERE k <= 32")
 def weighted_point_sample(spark, d):
     p = views.points(spark, d).where("truth > 0")
     return governance.weighted_sample(p, F.col("z") + 0.1, 32, "truth", "pid").select("truth", "pid")

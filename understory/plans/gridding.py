@@ -90,8 +90,7 @@ def focal_statistics(spark, d):
 @query(CHM + """ SELECT a.dataset_id, a.row, a.col, round(sum(b.chm * exp(-((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)) / 2.0::DOUBLE) / pow((SELECT sum(exp(-i * i / 2.0::DOUBLE)) FROM range(-4, 5) t(i)), 2)), 6) AS smooth
 FROM m a JOIN m b ON a.dataset_id = b.dataset_id AND b.row BETWEEN a.row - 4 AND a.row + 4 AND b.col BETWEEN a.col - 4 AND a.col + 4 GROUP BY ALL""")
 def gaussian_smoothing(spark, d):
-    radius, w = raster.gaussian(1.0)
-    return rounded(raster.neighbourhood(canopy(spark, d), radius, F.sum(F.col("chm") * w).alias("smooth"), value="chm"))
+    return rounded(raster.smoothed(canopy(spark, d), 1.0, "chm").withColumnRenamed("chm", "smooth"))
 
 
 @query(CHM + """, h AS (SELECT dataset_id, row, col, chm AS h, (CASE WHEN chm < 3 THEN 2.0::DOUBLE ELSE chm * 0.1::DOUBLE + 2 END) / 2 AS r FROM m WHERE chm >= 2)
@@ -101,7 +100,13 @@ def local_maxima(spark, d):
     return raster.highest_within(canopy(spark, d), 1.0, 2.0, raster.window_size(F.col("h")), 5.0)
 
 
-@query()
+@query("WITH RECURSIVE" + CHM.removeprefix("WITH") + """, h AS (SELECT dataset_id, row, col, chm AS h, (CASE WHEN chm < 3 THEN 2.0::DOUBLE ELSE chm * 0.1::DOUBLE + 2 END) / 2 AS r FROM m WHERE chm >= 2),
+t AS (SELECT a.* FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.dataset_id = b.dataset_id AND b.row BETWEEN a.row - 3 AND a.row + 3 AND b.col BETWEEN a.col - 3 AND a.col + 3 AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= a.r * a.r + 1e-9 AND b.h > a.h)),
+o AS (SELECT *, row * 100000 + col AS id, row_number() OVER (PARTITION BY dataset_id ORDER BY row, col) AS k FROM t),
+n AS (SELECT a.dataset_id, a.k, a.id, list(b.id) FILTER (b.id IS NOT NULL) AS near FROM o a LEFT JOIN o b ON a.dataset_id = b.dataset_id AND a.h = b.h AND b.k < a.k AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= a.r * a.r + 1e-9 GROUP BY ALL),
+g AS (SELECT DISTINCT dataset_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM o UNION ALL SELECT g.dataset_id, n.k, CASE WHEN list_has_any(coalesce(n.near, []), g.kept) THEN g.kept ELSE list_append(g.kept, n.id) END FROM g JOIN n ON n.dataset_id = g.dataset_id AND n.k = g.k + 1),
+f AS (SELECT dataset_id, unnest(arg_max(kept, k)) AS id FROM g GROUP BY 1)
+SELECT dataset_id, o.row, o.col, o.h, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY o.row DESC, o.col) AS INT) AS tree_id FROM f JOIN o USING (dataset_id, id)""")
 def variable_window_treetops(spark, d):
     return raster.numbered(raster.treetops(canopy(spark, d), 1.0, 2.0, raster.window_size(F.col("h")), 5.0))
 

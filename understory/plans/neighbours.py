@@ -29,8 +29,9 @@ def nearest_top(spark, d):
     return rounded(spatial.nearest(views.points(spark, d).select("dataset_id", "pid", "x", "y"), tops(spark, d), 6.0, "pid", "tree"))
 
 
-@query("WITH {points}, " + TOPS + """, c AS (SELECT p.pid, t.tree, (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) AS d2, row_number() OVER (PARTITION BY pid ORDER BY (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y), tree) AS k FROM points p JOIN tops t USING (dataset_id))
-SELECT a.pid, a.tree FROM c a LEFT JOIN c b ON a.pid = b.pid AND b.k = 2 WHERE a.k = 1 AND a.d2 <= 36 AND (b.d2 IS NULL OR sqrt(b.d2) - sqrt(a.d2) >= 0.5)""")
+@query("WITH {points}, " + TOPS + """, c AS (SELECT p.pid, t.tree, (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) AS d2 FROM points p JOIN tops t USING (dataset_id)),
+two AS (SELECT pid, arg_min(tree, (d2, tree)) AS tree, min(d2) AS a, list_sort(list(d2))[2] AS b FROM c GROUP BY pid)
+SELECT pid, tree FROM two WHERE a <= 36 AND (b IS NULL OR sqrt(b) - sqrt(a) >= 0.5)""")
 def nearest_top_with_margin(spark, d):
     return spatial.nearest_with_margin(views.points(spark, d).select("dataset_id", "pid", "x", "y"), tops(spark, d), 6.0, 0.5, "pid", "tree")
 
