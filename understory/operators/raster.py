@@ -168,3 +168,47 @@ def treetops(raster: DataFrame, size: float, least: float, window: Column, most:
 def numbered(tops: DataFrame, by: str = "dataset_id") -> DataFrame:
     """Tree ids from north to south, then west to east, within each group."""
     return tops.withColumn("tree_id", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("row"), "col")))
+
+
+def mirrored(raster: DataFrame, radius: int, by: str = "dataset_id") -> DataFrame:
+    """Whole grids with ``radius`` more cells at each side, mirrored at the edge (the edge cell twice); one mirroring only."""
+    for axis in ("row", "col"):
+        ends = raster.groupBy(by).agg(F.min(axis).alias("_a"), F.max(axis).alias("_b"))
+        at = F.col(axis)
+        places = F.array_compact(F.array(at, F.when(at < F.col("_a") + radius, 2 * F.col("_a") - 1 - at), F.when(at > F.col("_b") - radius, 2 * F.col("_b") + 1 - at)))
+        raster = raster.join(F.broadcast(ends), by).withColumn(axis, F.explode(places)).drop("_a", "_b")
+    return raster
+
+
+def envelope(points: DataFrame, size: float, by: str = "dataset_id") -> DataFrame:
+    """(by, row, col, dtm): the lower envelope of plots without ground, over their whole grids.
+
+    Lowest points, holes filled from the nearest cell, least of five by five, median of nine by nine.
+    """
+    low = cells(points, size).groupBy(by, "row", "col").agg(F.min("z").alias("dtm"))
+    box = low.groupBy(by).agg(*(f(c).alias(f"_{c}{i}") for c in ("row", "col") for i, f in ((0, F.min), (1, F.max))))
+    grid = box.withColumn("row", F.explode(F.sequence("_row0", "_row1"))).withColumn("col", F.explode(F.sequence("_col0", "_col1"))).select(by, "row", "col")
+    full = low.unionByName(fill_nearest(grid.join(low, [by, "row", "col"], "left_anti"), low, "dtm", by))
+    least = cut(by_lines(full, 2, lambda v, _: F.min(v), "dtm", by))
+    wide = neighbourhood(mirrored(least, 4, by), 4, F.median("dtm").alias("dtm"), value="dtm", by=by)
+    return wide.join(least.select(by, "row", "col"), [by, "row", "col"], "left_semi")
+
+
+def ground(points: DataFrame, size: float, zero_first: bool = False, low: float = 2.0, by: str = "dataset_id", ground_class: int = 2) -> DataFrame:
+    """(by, row, col, dtm, method) of every cell that holds points.
+
+    Plots with ground points have their mean per cell, holes from the nearest cell (``class2``); others whose lowest
+    point is at most ``low`` are normalised already (``zero``); the rest get the lower ``envelope``. ``zero_first``
+    asks for the lowest point before it asks for ground.
+    """
+    is_ground = F.col("classification") == ground_class
+    stats = points.groupBy(by).agg(F.bool_or(is_ground).alias("_g"), F.min("z").alias("_z"))
+    flat, has = F.when(F.col("_z") <= low, "zero"), F.when(F.col("_g"), "class2")
+    kind = cut(stats.select(by, F.coalesce(*((flat, has) if zero_first else (has, flat)), F.lit("envelope")).alias("method")))
+    own = cut(cells(points, size).select(by, "row", "col").distinct().join(kind, by))
+    known = terrain(points.join(kind.where("method = 'class2'"), by, "left_semi"), size, by, ground_class)
+    asked = own.where("method = 'class2'").join(known, [by, "row", "col"], "left_anti")
+    filled = known.unionByName(fill_nearest(asked, known, "dtm", by))
+    under = envelope(points.join(kind.where("method = 'envelope'"), by, "left_semi"), size, by)
+    found = own.join(filled.unionByName(under), [by, "row", "col"], "left")
+    return found.select(by, "row", "col", F.when(F.col("method") == "zero", 0.0).otherwise(F.col("dtm")).alias("dtm"), "method")
