@@ -27,13 +27,13 @@ from .shared import cut
 class Projection:
     """directions: dimensions of the projection (even); sure: chance at the stop; the rest bounds what a task holds."""
 
-    directions: int = 8
-    sure: float = 0.98
+    directions: int = 12
+    sure: float = 0.9
     seed: int = 7
     sample: int = 20_000  # vectors that the top tree is fitted on; every row is indexed
     cell_rows: int = 16_384
     most_cells: int = 4096
-    block: int = 4096  # queries searched together in a cell
+    block: int = 16_384  # queries searched together in a cell
     leaf: int = 48
 
     def matrix(self, size: int) -> np.ndarray:
@@ -120,9 +120,13 @@ class Shard:
         new = np.ones(len(ids), bool)
         new[1:] = (vectors[1:] != vectors[:-1]).any(1)
         self.first = np.append(np.flatnonzero(new), len(ids))
-        self.ids, self.vectors = ids, vectors[new]
-        self.points = self.vectors @ how.matrix(vectors.shape[1])
-        self.tree, self.held = grow(self.points, how.leaf)
+        self.ids, vectors = ids, vectors[new]
+        points = vectors @ how.matrix(vectors.shape[1])
+        self.tree, held = grow(points, how.leaf)
+        self.row = np.concatenate(held)  # rows in order of leaves, so that a leaf is a slice
+        self.ends = np.cumsum([len(h) for h in held])
+        self.starts = self.ends - [len(h) for h in held]
+        self.vectors, self.points = vectors[self.row], points[self.row]
         self.stop = how.quantile()
 
     def search(self, query: int, vector: np.ndarray, point: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +139,7 @@ class Shard:
             more = order[at : at + step]
             if len(more):
                 at, step = at + len(more), min(2 * step, 256)
-                new = np.concatenate([self.held[i] for i in more])
+                new = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in more])
                 rows = np.concatenate([rows, new])
                 away = np.concatenate([away, ((self.points[new] - point) ** 2).sum(1)])
             frontier = gaps[order[at]] if at < len(order) else np.inf
@@ -143,9 +147,13 @@ class Shard:
             ready = away <= min(frontier, limit)
             if ready.any():
                 found = rows[ready]
-                far = np.sqrt(((self.vectors[found] - vector) ** 2).sum(1))
+                off = self.vectors[found]
+                off -= vector
+                far = np.sqrt(np.einsum("ij,ij->i", off, off))
                 near = far <= reach
-                each = [self.ids[self.first[i] : self.first[i + 1]] for i in found[near]]
+                if len(best) < k and near.sum() > 4 * k:  # of the first ones only the nearest can count
+                    near &= far <= np.partition(far[near], 2 * k)[2 * k]
+                each = [self.ids[self.first[i] : self.first[i + 1]] for i in self.row[found[near]]]
                 each = [x[x != query][:k] for x in each]  # of equal vectors only the k smallest ids can be among the k nearest
                 if each:
                     best_ids = np.concatenate([best_ids, *each])
@@ -216,24 +224,29 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id
         right = wide.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks))
 
         def answer(near: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            out: list[tuple] = []
             if len(near) and len(queries):
                 shard = Shard(near["vec_id"].to_numpy(), np.frombuffer(b"".join(near["v"]), float).reshape(-1, size), how)
                 asked = np.frombuffer(b"".join(queries["q"]), float).reshape(-1, size)
                 for query, v, p, reach in zip(queries["query_id"], asked, asked @ matrix, queries["reach"], strict=True):
                     ids, far = shard.search(query, v, p, k, reach)
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": far}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append((np.full(len(ids), query), ids, far))
+            names = ("query_id", "vec_id", "score")
+            return pd.DataFrame({n: np.concatenate([o[k] for o in out]) if out else [] for k, n in enumerate(names)})
 
         by = ("cell", "salt", "block")
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(answer, "query_id bigint, vec_id bigint, score double")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for query, q, reach, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                to = np.flatnonzero(tree.gaps(np.frombuffer(q, float) @ matrix) <= stop * reach * reach)
-                to = to[to != home]
-                yield pa.RecordBatch.from_arrays([pa.array([query] * len(to), pa.int64()), pa.array([q] * len(to), pa.binary()), pa.array([reach] * len(to), pa.float64()), pa.array(to, pa.int64())], ["query_id", "q", "reach", "cell"])
+            at, to = [], []
+            for i, (q, reach, home) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                cells_ = np.flatnonzero(tree.gaps(np.frombuffer(q, float) @ matrix) <= stop * reach * reach)
+                to.append(cells_[cells_ != home])
+                at.append(np.full(len(to[-1]), i))
+            if to:
+                asked_ = batch.take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*asked_.columns[:3], pa.array(np.concatenate(to), pa.int64())], ["query_id", "q", "reach", "cell"])
 
     # a repeated query id asks once, with its smallest vector
     asked = dealt.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("v", "cell")).alias("_q")).select("query_id", F.col("_q.v").alias("q"), F.lit(float("inf")).alias("reach"), F.col("_q.cell").alias("cell"))
