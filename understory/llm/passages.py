@@ -1,6 +1,6 @@
 """Repeated passages: paragraph MinHash banding, verified by Jaccard, and exact blocks for passages inside paragraphs.
 
-Lines of enough words are paragraphs. Each has one-row MinHash bands over five-word shingles, as many as the wanted
+Lines of enough words are paragraphs. Each has MinHash bands of two rows over five-word shingles, as many as the wanted
 recall needs; colliding paragraphs are verified by exact Jaccard similarity of their shingle sets.
 
 A passage pasted into the middle of a paragraph leaves both paragraphs unlike. So texts are also cut where the hash
@@ -34,6 +34,7 @@ class Passages:
     similarity: float = 0.8
     width: int = 5  # words of a shingle
     recall: float = 0.99  # of the bands, at the similarity
+    rows: int = 2  # of a band: at one, a shingle that many texts have would be a band of all of them
     paragraph_words: int = 20  # shorter lines recur by chance
     around: int = 4  # words to each side that a cut is the least of
     block_words: int = 5
@@ -44,7 +45,7 @@ class Passages:
 
     @property
     def bands(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.similarity))
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.similarity**self.rows))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,12 +67,17 @@ def _shingle_hashes(word: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def paragraph_rows(docs: DataFrame, how: Passages) -> DataFrame:
-    """(doc_id, line, start, words, class, keys): paragraphs with the words before them, a hash of the line and its bands."""
-    salts = _mix(np.arange(1, how.bands + 1, dtype=np.uint64) * MULTIPLIER)
+def _row(text: str, twice: bool) -> int:
+    """What tells rows of equal id apart: a hash of the text where ids repeat, else nothing."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).astype(np.int64)) if twice else 0
+
+
+def paragraph_rows(docs: DataFrame, how: Passages, twice: bool = False) -> DataFrame:
+    """(doc_id, row, line, start, words, class, keys): paragraphs with the words before them, a hash of the line and its bands."""
+    salts = _mix(np.arange(1, how.bands * how.rows + 1, dtype=np.uint64) * MULTIPLIER)
 
     def run(keys: list, texts: list) -> dict[str, list]:
-        out: dict[str, list] = {n: [] for n in ("doc_id", "line", "start", "words", "class", "keys")}
+        out: dict[str, list] = {n: [] for n in ("doc_id", "row", "line", "start", "words", "class", "keys")}
         for key, text in zip(keys, texts, strict=True):
             lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
             words: list[bytes] = []
@@ -85,20 +91,24 @@ def paragraph_rows(docs: DataFrame, how: Passages) -> DataFrame:
                 continue
             shingles = _shingle_hashes(_word_hashes(words), how.width)
             ends = np.array([(a, a + n - how.width + 1) for _, a, n in kept]).ravel()  # of the shingles within each line
-            least = [np.minimum.reduceat(np.append(_mix(shingles ^ s), s), ends)[::2] ^ s for s in salts]
+            least = np.stack([np.minimum.reduceat(np.append(_mix(shingles ^ s), s), ends)[::2] ^ s for s in salts]).reshape(how.bands, how.rows, -1)
+            bands = least[:, 0]
+            for k in range(1, how.rows):
+                bands = _mix(bands + least[:, k])
             out["doc_id"] += [key] * len(kept)
+            out["row"] += [_row(text, twice)] * len(kept)
             out["line"] += [i for i, _, _ in kept]
             out["start"] += [a for _, a, _ in kept]
             out["words"] += [n for _, _, n in kept]
             out["class"] += [np.uint64(xxhash.xxh64_intdigest(lines[i], 42)).astype(np.int64) for i, _, _ in kept]
-            out["keys"] += list(np.stack(least, axis=1).view(np.int64))
+            out["keys"] += list(bands.T.copy().view(np.int64))
         return out
 
-    return map_texts(docs, "doc_id", "text", "doc_id bigint, line int, start int, words int, class bigint, keys array<bigint>", run)
+    return map_texts(docs, "doc_id", "text", "doc_id bigint, row bigint, line int, start int, words int, class bigint, keys array<bigint>", run)
 
 
-def block_rows(docs: DataFrame, how: Passages) -> DataFrame:
-    """(doc_id, start, words, class): the blocks of every text; class is a hash of the block's words."""
+def block_rows(docs: DataFrame, how: Passages, twice: bool = False) -> DataFrame:
+    """(doc_id, row, start, words, class): the blocks of every text; class is a hash of the block's words."""
 
     def run(keys: list, texts: list) -> dict[str, list]:
         out = []
@@ -117,11 +127,11 @@ def block_rows(docs: DataFrame, how: Passages) -> DataFrame:
             total = np.concatenate(([np.uint64(0)], np.cumsum(h * power)))
             inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
             back = np.cumprod(np.full(len(h), inverse))
-            out.append((np.full(len(a), key), a, b - a, _mix((total[b] - total[a]) * back[a]).view(np.int64)))
-        names = ("doc_id", "start", "words", "class")
-        return {n: np.concatenate(c) if out else [] for n, c in zip(names, zip(*out, strict=True) if out else ([],) * 4, strict=True)}
+            out.append((np.full(len(a), key), np.full(len(a), _row(text, twice)), a, b - a, _mix((total[b] - total[a]) * back[a]).view(np.int64)))
+        names = ("doc_id", "row", "start", "words", "class")
+        return {n: np.concatenate(c) if out else [] for n, c in zip(names, zip(*out, strict=True) if out else ([],) * 5, strict=True)}
 
-    return map_texts(docs, "doc_id", "text", "doc_id bigint, start int, words int, class bigint", run)
+    return map_texts(docs, "doc_id", "text", "doc_id bigint, row bigint, start int, words int, class bigint", run)
 
 
 def similar_classes(docs: DataFrame, paragraphs: DataFrame, how: Passages) -> DataFrame:
@@ -198,10 +208,11 @@ def repeated_runs(blocks: DataFrame, how: Passages) -> DataFrame:
     The first place of a block, by (doc_id, start), always stays: only stretches of later places that are passages by
     themselves are removed, so text that meets elsewhere text of its own cluster is not lost with it.
     """
-    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "start"))
-    many = blocks.groupBy("class").agg(F.min(place).alias("_f"), F.max("doc_id").alias("_b")).where("_f.doc_id <> _b")
-    first = many.select("class", F.col("_f.doc_id").alias("origin"), F.col("_f.start").alias("_s"))
-    hit = blocks.join(first, "class").select("doc_id", "start", "words", "class", "origin", (F.col("doc_id").eqNullSafe(F.col("origin")) & (F.col("start") == F.col("_s"))).alias("first"))
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "start"))
+    many = blocks.groupBy("class").agg(F.min(place).alias("_f"), F.max(place).alias("_b")).where("_f.doc_id <> _b.doc_id OR _f.row <> _b.row")
+    first = many.select("class", F.col("_f.doc_id").alias("origin"), F.col("_f.row").alias("_o"), F.col("_f.start").alias("_s"))
+    own = F.col("doc_id").eqNullSafe(F.col("origin")) & (F.col("row") == F.col("_o")) & (F.col("start") == F.col("_s"))
+    hit = blocks.join(first, "class").select("doc_id", "row", "start", "words", "class", "origin", own.alias("first"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("doc_id", "start", "stop", "cluster_id", "removed")
@@ -214,16 +225,16 @@ def repeated_runs(blocks: DataFrame, how: Passages) -> DataFrame:
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != doc:
-                    out += _spans(doc, held, how)
+                if held and row[:2] != doc:
+                    out += _spans(doc[0], held, how)
                     held = []
-                doc = row[0]
-                if not held or held[-1] != row[1:]:  # repeated rows
-                    held.append(row[1:])
+                doc = row[:2]
+                if not held or held[-1] != row[2:]:  # repeated rows
+                    held.append(row[2:])
             yield table(out)
-        yield table(_spans(doc, held, how))
+        yield table(_spans(doc[0] if doc else None, held, how))
 
-    return hit.repartition("doc_id").sortWithinPartitions("doc_id", "start", "class").mapInArrow(judge, "doc_id bigint, start int, stop int, cluster_id bigint, removed boolean")
+    return hit.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start", "class").mapInArrow(judge, "doc_id bigint, start int, stop int, cluster_id bigint, removed boolean")
 
 
 def passages_of(blocks: list[tuple], how: Passages) -> list[tuple[int, int]]:
@@ -281,15 +292,17 @@ def repeated(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     doc_id, start) stays, all others are removed. Of a removed passage it is the document that has most of it first, of
     one that stays its own. Clusters within one document count for paragraphs, not for passages. Documents
     without repeats give no rows, so null, empty and short texts give none; exact copies give all their paragraphs.
+    Rows that repeat an id with another text are documents of their own, those that repeat both are one.
     """
     docs = docs.select("doc_id", "text").where("text is not null")
-    paragraphs = cut(paragraph_rows(docs, how))
+    twice = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    paragraphs = cut(paragraph_rows(docs, how, twice))
     roots = components(similar_classes(docs, paragraphs, how), "a", "b")
-    lines = paragraphs.join(roots, paragraphs["class"] == roots["node"], "left").select("doc_id", "start", (F.col("start") + F.col("words")).alias("stop"), F.coalesce("root", "class").alias("class"))
+    lines = paragraphs.join(roots, paragraphs["class"] == roots["node"], "left").select("doc_id", "row", "start", (F.col("start") + F.col("words")).alias("stop"), F.coalesce("root", "class").alias("class"))
     alike = lines.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
     lines = cut(lines.join(alike, "class"))
-    first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("_f"))
-    same = (F.col("doc_id") == F.col("_f.doc_id")) & (F.col("start") == F.col("_f.start"))
+    first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "row", "start")).alias("_f"))
+    same = F.col("doc_id").eqNullSafe(F.col("_f.doc_id")) & (F.col("row") == F.col("_f.row")) & (F.col("start") == F.col("_f.start"))
     found = lines.join(first, "class").select("doc_id", "start", "stop", F.lit("paragraph").alias("kind"), F.col("_f.doc_id").alias("cluster_id"), (~same).alias("removed"))
-    runs = repeated_runs(cut(block_rows(docs, how)), how)
+    runs = repeated_runs(cut(block_rows(docs, how, twice)), how)
     return found.union(runs.select("doc_id", "start", "stop", F.lit("passage").alias("kind"), "cluster_id", "removed"))
