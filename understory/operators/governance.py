@@ -46,6 +46,18 @@ def hash_split(groups: DataFrame, stratum: str, seed: int, test: float = 0.15, v
     return groups.withColumn("model_split", F.when(n < 2, "train").when(place <= take(test), "test").when(place <= take(test) + vals, "val").otherwise("train"))
 
 
+def official_split(groups: DataFrame, stratum: str, seed: int, val: float = 0.2) -> DataFrame:
+    """``groups`` (group_id, stratum, official) with model_split: groups that hold officially held-out rows (``official``) are test.
+
+    Of the others in a stratum, two or more, the first share in hash order is val, one group at least; all else is train.
+    """
+    free = Window.partitionBy(stratum, "official")
+    n = F.count("*").over(free)
+    place = F.row_number().over(free.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "group_id"), 256)))
+    val_ = (n >= 2) & (place <= F.greatest(F.lit(1), F.rint(n * val)))
+    return groups.withColumn("model_split", F.when(F.col("official"), "test").when(val_, "val").otherwise("train"))
+
+
 def sampling_weights(rows: DataFrame, real: Column, group: Sequence[str], parent: str, share: float = 0.75) -> DataFrame:
     """``rows`` with weight: real rows share ``share`` evenly over groups and then rows, the others the rest over parents."""
     if not 0 < share < 1:

@@ -7,6 +7,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.checkpoint import cut
+
+
+SENT = 1_000_000  # rows of a table of groups that may be broadcast
+
+
+def small(groups: DataFrame) -> DataFrame:
+    """A table of one row a group, counted: broadcast if it is small, so that points need not be shuffled by a few keys."""
+    held = cut(groups)
+    return F.broadcast(held) if held.count() <= SENT else held
+
 
 def finite(df: DataFrame, *names: str) -> DataFrame:
     """Rows whose named columns are all finite numbers."""
@@ -47,7 +58,7 @@ def voxels(points: DataFrame, size: float, by: str = "dataset_id", snapped: bool
     """``points`` with gx, gy, gz counted from each group's least coordinates (snapped down to whole voxels if asked)."""
     least = points.groupBy(by).agg(*(F.min(c).alias(f"_{c}") for c in "xyz"))
     start = (lambda c: F.floor(F.col(f"_{c}") / size) * size) if snapped else (lambda c: F.col(f"_{c}"))
-    joined = points.join(least, by)
+    joined = points.join(small(least), by)
     return joined.withColumns({f"g{c}": cell(F.col(c), start(c), size).cast("int") for c in "xyz"}).drop("_x", "_y", "_z")
 
 

@@ -1,4 +1,4 @@
-"""Spatial joins by grid buckets: the bucket side is the radius, so three buckets an axis hold every neighbour."""
+"""Spatial joins by grid buckets of twice the radius: a row is sent to the one or two buckets an axis that its reach touches."""
 
 from __future__ import annotations
 
@@ -15,17 +15,23 @@ def _square(axes: Sequence[str]) -> Column:
     return sum(((F.col(f"l.{a}") - F.col(f"r.{a}")) * (F.col(f"l.{a}") - F.col(f"r.{a}")) for a in axes[1:]), (F.col(f"l.{axes[0]}") - F.col(f"r.{axes[0]}")) * (F.col(f"l.{axes[0]}") - F.col(f"r.{axes[0]}")))
 
 
+def _dealt(left: DataFrame, right: DataFrame, radius: float, axes: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides as structs l and r with their buckets: the left ones in their own, the right ones in all in reach."""
+    keys, size, reach = [f"_b{a}" for a in axes], 2 * radius, radius * (1 + 1e-9)
+    a = left.select(*by, F.struct(*left.columns).alias("l"), *(_bucket(x, size).alias(k) for x, k in zip(axes, keys, strict=True)))
+    b = right.select(*by, F.struct(*right.columns).alias("r"))
+    for x, k in zip(axes, keys, strict=True):
+        b = b.withColumn(k, F.explode(F.sequence(F.floor((F.col(f"r.{x}") - reach) / size), F.floor((F.col(f"r.{x}") + reach) / size))))
+    return a, b, keys
+
+
 def near(left: DataFrame, right: DataFrame, radius: float, axes: Sequence[str] = ("x", "y"), by: Sequence[str] = ("dataset_id",), inclusive: bool = True) -> DataFrame:
     """Pairs within ``radius`` as structs l and r with squared distance d2; an equi-join on ``by`` and buckets.
 
-    The smaller side should be ``right``: it is sent to its neighbouring buckets. Keys hold the bucket, so a dense
-    group is spread over its buckets, and AQE splits a bucket that is still too full.
+    The smaller side should be ``right``: it is sent to all buckets in reach, two an axis on average. Keys hold the
+    bucket, so a dense group is spread over its buckets, and AQE splits a bucket that is still too full.
     """
-    keys = [f"_b{a}" for a in axes]
-    a = left.select(*by, F.struct(*left.columns).alias("l"), *(_bucket(x, radius).alias(k) for x, k in zip(axes, keys, strict=True)))
-    b = right.select(*by, F.struct(*right.columns).alias("r"), *(_bucket(x, radius).alias(k) for x, k in zip(axes, keys, strict=True)))
-    for k in keys:
-        b = b.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
+    a, b, keys = _dealt(left, right, radius, axes, by)
     d2 = _square(axes)
     keep = F.col("d2") <= radius * radius if inclusive else F.col("d2") < radius * radius
     return a.join(b, [*by, *keys]).select(*by, "l", "r", d2.alias("d2")).where(keep)
@@ -59,10 +65,13 @@ def neighbour_edges(points: DataFrame, radius: float, k: int, id: str = "pid", a
     return kept.select(*by, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
-def near_own_group(candidates: DataFrame, members: DataFrame, radius: float, group: str, axes: Sequence[str] = ("x", "y", "z"), id: str = "pid") -> DataFrame:
-    """Candidates (with their ``group``) that have a member of that group within the radius."""
-    pairs = near(candidates, members, radius, axes, (group,))
-    return candidates.join(pairs.select(F.col(f"l.{id}").alias(id), group).distinct(), [id, group], "left_semi")
+def near_own_group(candidates: DataFrame, members: DataFrame, radius: float, group: str, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Candidates (with their ``group``) that have a member of that group within the radius: a semi-join that stops at the first."""
+    a, b, keys = _dealt(candidates, members.select(group, *axes), radius, axes, (group,))
+    met = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (_square(axes) <= radius * radius)
+    for k in keys:
+        met &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    return a.alias("a").join(b.alias("b"), met, "left_semi").select("l.*")
 
 
 def radius_percentile(tops: DataFrame, points: DataFrame, radius: float, value: str, share: float, id: str, **how) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.sql import functions as F, Window
 
+from ..functions.chance import unit, unit_sql
 from ..operators import kernels, metrics, raster, spatial, votes
 from ..sources import views
 from .governing import EDGES, GROUPS, grouped
@@ -114,12 +115,17 @@ def sparse_offsets(spark, d):
 @query(GROUPS + EDGES + """, k AS (SELECT CASE WHEN p.truth > 0 AND p.truth = q.truth THEN 'inside' WHEN p.truth > 0 AND q.truth > 0 THEN 'between trees' WHEN (p.truth > 0 AND q.truth = 0) OR (p.truth = 0 AND q.truth > 0) THEN 'tree and ground' ELSE 'other' END AS kind
 FROM e JOIN g p ON p.pid = src JOIN g q ON q.pid = dst) SELECT kind, count(*) AS edges FROM k GROUP BY 1""")
 def edge_kinds(spark, d):
+    return edges_of_kinds(spark, d).groupBy("kind").agg(F.count("*").alias("edges"))
+
+
+def edges_of_kinds(spark, d):
+    """Neighbour edges by what they join."""
     p = views.points(spark, d)
     side = lambda k: p.select(F.col("pid").alias(k), F.col("truth").alias(f"{k}_t"))
     e = spatial.neighbour_edges(p, 1.0, 6).join(side("src"), "src").join(side("dst"), "dst")
     a, b = F.col("src_t"), F.col("dst_t")
     kind = F.when((a > 0) & (a == b), "inside").when((a > 0) & (b > 0), "between trees").when(((a > 0) & (b == 0)) | ((a == 0) & (b > 0)), "tree and ground").otherwise("other")
-    return e.groupBy(kind.alias("kind")).agg(F.count("*").alias("edges"))
+    return e.select("src", "dst", kind.alias("kind"))
 
 
 @query(GROUPS + EDGES + """, m2 AS (SELECT e.src, e.dst, exp(-0.5::DOUBLE * ((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) / 0.25) AS w, abs(p.intensity - q.intensity) AS f, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS s
@@ -145,13 +151,31 @@ def budgeted_cell_size(spark, d):
     return n.withColumn("chosen", off == F.min(off).over(Window.partitionBy())).select("size", "groups", F.round("compression", 6).alias("compression"), "chosen")
 
 
+#: Window diameter and least height that a route asks for.
+ROUTES = ((2.0, 2.0), (2.5, 3.0), (3.0, 5.0))
+
+
 @query()
 def canopy_routing(spark, d):
-    """Plots routed by k-means on robustly scaled canopy statistics."""
-    f = canopy(spark, d).groupBy("dataset_id", F.floor(F.col("row") / 10).alias("r"), F.floor(F.col("col") / 10).alias("c")).agg(F.avg("chm").alias("mean"), F.percentile("chm", F.lit(0.95)).alias("p95"), F.count("*").alias("n"))
-    vector = VectorAssembler(inputCols=["mean", "p95", "n"], outputCol="v").transform(f.withColumn("n", F.col("n").cast("double")))
-    scaled = RobustScaler(inputCol="v", outputCol="s", withCentering=True).fit(vector).transform(vector)
-    return KMeans(k=3, seed=1, featuresCol="s", predictionCol="route").fit(scaled).transform(scaled).select("dataset_id", "r", "c", "route")
+    """Cells routed by k-means on robustly scaled canopy statistics, both fitted on training plots only; routes go by height."""
+    f = canopy(spark, d).groupBy("dataset_id", F.floor(F.col("row") / 10).alias("r"), F.floor(F.col("col") / 10).alias("c")).agg(F.avg("chm").alias("mean"), F.percentile("chm", F.lit(0.95)).alias("p95"), F.count("*").cast("double").alias("n"))
+    vector = VectorAssembler(inputCols=["mean", "p95", "n"], outputCol="v").transform(f.join(views.plots(spark, d).select("dataset_id", "model_split"), "dataset_id"))
+    scaler = RobustScaler(inputCol="v", outputCol="s", withCentering=True).fit(vector.where("model_split = 'train'"))
+    scaled = scaler.transform(vector)
+    model = KMeans(k=3, seed=1, featuresCol="s", predictionCol="cluster").fit(scaled.where("model_split = 'train'"))
+    order = sorted(range(3), key=lambda k: model.clusterCenters()[k][0])  # three centres
+    route = F.create_map(*(F.lit(x) for i, k in enumerate(order) for x in (k, i)))[F.col("cluster")]
+    pick = lambda i: F.element_at(F.array(*(F.lit(r[i]) for r in ROUTES)), F.col("route") + 1)
+    return model.transform(scaled).withColumn("route", route).select("dataset_id", "r", "c", "route", pick(0).alias("window"), pick(1).alias("least"))
+
+
+@query(GROUPS + EDGES + f""", k AS (SELECT src, dst, CASE WHEN p.truth > 0 AND p.truth = q.truth THEN 'inside' WHEN p.truth > 0 AND q.truth > 0 THEN 'between trees' WHEN (p.truth > 0 AND q.truth = 0) OR (p.truth = 0 AND q.truth > 0) THEN 'tree and ground' ELSE 'other' END AS kind
+FROM e JOIN g p ON p.pid = src JOIN g q ON q.pid = dst), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {unit_sql('src', 'dst')}, src, dst) AS i FROM k) SELECT kind, src, dst FROM r WHERE i <= 500""")
+def balanced_edges(spark, d):
+    """Up to 500 edges of each kind, drawn by a hash of their ends: the sample that an affinity model is trained on."""
+    e = edges_of_kinds(spark, d)
+    order = Window.partitionBy("kind").orderBy(unit("src", "dst"), "src", "dst")
+    return e.withColumn("_i", F.row_number().over(order)).where("_i <= 500").select("kind", "src", "dst")
 
 
 @query(GROUPS + " SELECT CAST(grp AS BIGINT) AS grp, count(DISTINCT CASE WHEN truth > 0 THEN truth END) AS trees, max(truth) > 0 AS any_tree FROM g GROUP BY grp")

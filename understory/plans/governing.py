@@ -88,6 +88,14 @@ def leakage_safe_split(spark, d):
     return governance.hash_split(named.groupBy("group_id").agg((F.min("crs") % 4).alias("stratum")), "stratum", 42)
 
 
+@query(LINKED + """, g AS (SELECT group_id, min(crs) % 4 AS stratum, bool_or(id % 7 = 0) AS official FROM c JOIN n USING (root) JOIN boxes USING (id) GROUP BY 1), o AS (SELECT *, count(*) OVER w AS k, row_number() OVER (w ORDER BY sha256('42:' || group_id)) AS p FROM g WINDOW w AS (PARTITION BY stratum, official))
+SELECT group_id, stratum, official, CASE WHEN official THEN 'test' WHEN k >= 2 AND p <= greatest(1, round_even(k * 0.2, 0)) THEN 'val' ELSE 'train' END AS model_split FROM o""")
+def official_split(spark, d):
+    b = boxes(spark, d)
+    named = governance.leakage_groups(b, "id", governance.close_boxes(b, "id", "crs", 20.0, 40.0))
+    return governance.official_split(named.groupBy("group_id").agg((F.min("crs") % 4).alias("stratum"), F.bool_or(F.col("id") % 7 == 0).alias("official")), "stratum", 42)
+
+
 @query("""WITH r AS (SELECT s_suppkey AS id, s_nationkey % 5 < 3 AS real, CAST(s_nationkey AS VARCHAR) AS g, CAST(s_suppkey % 11 AS VARCHAR) AS p FROM supplier),
 k AS (SELECT *, CASE WHEN real THEN g ELSE p END AS key FROM r), n AS (SELECT *, count(*) OVER (PARTITION BY real, key) AS c FROM k) SELECT id, round(CASE WHEN real THEN 0.75::DOUBLE ELSE 0.25 END / (SELECT count(DISTINCT key) FROM k q WHERE q.real = n.real) / c, 9) AS weight FROM n""")
 def domain_sampling_weights(spark, d):

@@ -117,7 +117,7 @@ def percentile_normalisation(spark, d):
     p = views.points(spark, d)
     q = p.groupBy("dataset_id").agg(F.percentile("z", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).select("dataset_id", F.col("q")[0].alias("a"), F.col("q")[1].alias("b0"))
     q = q.withColumn("b", F.when(F.col("b0") == F.col("a"), F.col("a") + 1).otherwise(F.col("b0")))
-    return p.join(q, "dataset_id").select("pid", "dataset_id", F.round(F.least(F.greatest((F.col("z") - F.col("a")) / (F.col("b") - F.col("a")), F.lit(0)), F.lit(1)), 6).alias("value"))
+    return p.join(grid.small(q), "dataset_id").select("pid", "dataset_id", F.round(F.least(F.greatest((F.col("z") - F.col("a")) / (F.col("b") - F.col("a")), F.lit(0)), F.lit(1)), 6).alias("value"))
 
 
 @query("""WITH {points} SELECT dataset_id, floor(min(x) / 0.5) * 0.5 AS "left", floor(min(y) / 0.5) * 0.5 AS bottom, ceil(max(x) / 0.5) * 0.5 AS "right", ceil(max(y) / 0.5) * 0.5 AS top,
