@@ -107,3 +107,52 @@ def test_ply_files(spark, tmp_path):
     (tmp_path / "t.ply").write_text(head.format("ascii 1.0") + "1.5 2.5 3\n4 5 6\n")
     for name in ("b.ply", "t.ply"):
         assert rows(readers.ply_points(spark, str(tmp_path / name)), "x", "y", "label") == [(1.5, 2.5, 3.0), (4.0, 5.0, 6.0)]
+
+
+def test_las_by_ranges_and_round_trip(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") * 0.25).alias("x"), (F.col("id") % 7 + 0.5).alias("y"), (F.col("id") * 0.01).alias("z"), (F.col("id") % 300).cast("int").alias("intensity"), (F.col("id") % 9).cast("int").alias("classification"), F.col("id").alias("tree"))
+    out = rows(sinks.binary_files(df.repartition(3), str(tmp_path / "las"), lambda t: sinks.las_bytes(t, extra=("tree",)), ".las"))
+    assert len(out) == 3 and sum(n for _, n in out) == 1000
+    want = rows(df.drop("tree"))
+    got = readers.las_ranges(spark, str(tmp_path / "las"), points=77).select(*(F.round(c, 3).alias(c) for c in "xyz"), "intensity", "classification")
+    assert sorted(tuple(map(float, r)) for r in rows(got)) == sorted(tuple(round(float(v), 3) for v in r) for r in want)
+    assert readers.las_points(spark, str(tmp_path / "las")).count() == 1000
+    box = readers.las_ranges(spark, str(tmp_path / "las"), (10, 0, 20, 4), points=50)
+    assert {(10 <= r.x < 20, r.y < 4) for r in box.collect()} == {(True, True)}
+    assert readers.las_ranges(spark, str(tmp_path / "las"), (9000, 0, 9001, 4)).count() == 0
+
+
+def test_wkb_rings(spark):
+    ring = [(0.5, -2.0), (3.25, 1e-9), (-1e6, 7.0), (0.5, -2.0)]
+    hole = [(1.0, 1.0), (2.0, 1.0), (1.0, 1.0)]
+    wkb = struct.pack("<BII", 1, 3, 2) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in (ring, hole))
+    got = spark.createDataFrame([(bytearray(wkb),)], "g binary").select(readers.wkb_rings(F.col("g")).alias("r")).first().r
+    assert [[tuple(p) for p in r] for r in got] == [ring, hole]
+
+
+def test_published_tables_are_whole(spark, tmp_path):
+    to, df = str(tmp_path / "t"), spark.range(10).withColumn("v", F.when(F.col("id") == 3, float("nan")).otherwise(1.0))
+    for n in (10, 4):
+        sinks.atomic(df.limit(n), to)
+        assert spark.read.json(to).count() == n
+    assert spark.read.json(to).where("v IS NULL").count() <= 1
+    sinks.pair(df, to + "a", df.limit(2), to + "b")
+    with pytest.raises(ZeroDivisionError):
+        sinks.aside(df, to + "a", lambda d, p: 1 / 0)
+    assert spark.read.parquet(to + "a").count() == 10 and spark.read.parquet(to + "b").count() == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.publish(spark, (to + "a", to + "c"), (to + "missing", to + "d"))
+    assert spark.read.parquet(to + "a").count() == 10
+    log = spark.createDataFrame([(1, "x", 1), (2, "y", 1)], "id int, s string, at int")
+    sinks.upsert(log, to + "log", "id", "at")
+    assert rows(sinks.upsert(log.where("id = 2").withColumn("s", F.lit("z")).withColumn("at", F.lit(2)), to + "log", "id", "at")) == [(1, "x", 1), (2, "z", 2)]
+    with sinks.locked(spark, to), pytest.raises(TimeoutError), sinks.locked(spark, to, wait=0.2):
+        pass
+
+
+def test_sources_and_pairs(spark, tmp_path):
+    m = spark.createDataFrame([("a", "train", "a.las"), ("b", "odd", "b.las"), ("a", "val", "a.las"), ("c", None, "x.las")], "dataset_id string, model_split string, source_las string")
+    files = spark.createDataFrame([("a.las",), ("b.las",)], "f string")
+    assert rows(readers.sources_of(m, files, ("train", "val"))) == [("a", "ambiguous id"), ("b", "unexpected split"), ("c", "missing file"), ("c", "unexpected split")]
+    with pytest.raises(ValueError, match="y"):
+        readers.all_paired(spark.createDataFrame([("x", "both"), ("y", "left")], "stem string, status string"))

@@ -389,3 +389,70 @@ def test_hash_split_keeps_shares(spark):
     g = spark.createDataFrame([(f"g{i}", "a" if i < 20 else "b" if i < 22 else "c") for i in range(23)], "group_id string, s string")
     n = {(r.s, r.model_split): r["count"] for r in governance.hash_split(g, "s", 1).groupBy("s", "model_split").count().collect()}
     assert n == {("a", "test"): 3, ("a", "val"): 3, ("a", "train"): 14, ("b", "test"): 1, ("b", "train"): 1, ("c", "train"): 1}
+
+
+def grouped_in_order(masks_, how):
+    """Grouping of proposals one after the other: (mask, label) of those that found or join a group."""
+    groups, out = [], []
+    for m, (rank, pids, xy) in sorted(masks_.items(), key=lambda t: (-t[1][0], t[0])):
+        mid, own = np.median(xy, axis=0), set(pids)
+        around = [g for g in groups if ((g["mid"] - mid) ** 2).sum() <= how.around**2]
+        like = [g for g in around if ((g["mid"] - mid) ** 2).sum() <= how.distance**2 and (len(own & g["own"]) / len(own | g["own"]) >= how.iou or len(own & g["own"]) / min(len(own), len(g["own"])) >= how.containment)]
+        if like:
+            like[0]["own"] |= own
+            out.append((m, like[0]["id"]))
+            continue
+        free = own - set().union(*(g["own"] for g in around))
+        if len(free) >= how.points and len(free) / len(own) >= how.unique:
+            groups.append({"id": m, "mid": mid, "own": own})
+            out.append((m, m))
+    return sorted(out)
+
+
+def test_grouped_queries_by_brute_force(spark):
+    rng, how = np.random.default_rng(3), revision.Shared(points=4, area=0.0, distance=1.5, around=4.0)
+    cloud = rng.random((160, 2)) * 12
+    masks_ = {}
+    for m in range(40):
+        c = cloud[rng.integers(160)]
+        pids = np.flatnonzero(((cloud - c) ** 2).sum(1) <= rng.uniform(1.0, 2.2) ** 2)
+        masks_[m] = (float(rng.integers(12)), pids.tolist(), cloud[pids])
+    data = [(0, m, int(p), *map(float, cloud[p]), rank) for m, (rank, pids, _) in masks_.items() for p in pids]
+    df = spark.createDataFrame(data, "dataset_id int, mask_id long, pid long, x double, y double, ranking double")
+    got = rows(revision.grouped_queries(df, how))
+    assert sorted(got) == grouped_in_order(masks_, how) and len({g for _, g in got}) < len(got)
+
+
+def test_bounded_groups_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    xyz = rng.random((60, 3)) * 3
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(60, size=(260, 2)) if a != b})
+    edges = [(a, b, float(rng.integers(40, 100)) / 100) for a, b in pairs]
+    at = {i: {i} for i in range(60)}
+    for a, b, p in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if p >= 0.5 and at[a] is not at[b]:
+            both = at[a] | at[b]
+            if len(both) <= 6 and np.linalg.norm(np.ptp(xyz[sorted(both)], axis=0)) <= 2.5:
+                for i in both:
+                    at[i] = both
+    got = dict(rows(greedy.bounded_groups(points(spark, xyz.tolist()), spark.createDataFrame(edges, "src long, dst long, probability double"), 0.5, extent=2.5, most=6)))
+    assert got == {i: min(g) for i, g in at.items()} and len(set(got.values())) < 60
+
+
+def test_windows_write_each_point_once(spark):
+    from understory.operators.predict import by_windows
+
+    p = points(spark, [(float(i), float(i % 5), 0.0) for i in range(50)])
+    got = rows(by_windows(p, 7.0, 2.0, lambda pdf: pdf["x"] + len(pdf) * 0, ("x",)), "pid", "score")
+    assert got == sorted([(i, float(i)) for i in range(50)], key=str)
+    with pytest.raises(ValueError, match="once"):
+        by_windows(p.union(p), 7.0, 2.0, lambda pdf: pdf["x"], ("x",))
+
+
+def test_terrain_without_ground(spark):
+    def run(z, kind, **how):
+        p = points(spark, [(x + 0.5, y + 0.5, z + (4 if (x, y) == (2, 2) else 0)) for x in range(6) for y in range(6)], classification=[kind] * 36)
+        return {(round(r.dtm, 6), r.method) for r in raster.ground(p, 1.0, **how).collect()}
+
+    assert run(1.0, 5) == {(0.0, "zero")} and run(9.0, 5) == {(9.0, "envelope")}
+    assert run(1.0, 2, zero_first=True) == {(0.0, "zero")} and run(1.0, 2) == {(1.0, "class2"), (5.0, "class2")}

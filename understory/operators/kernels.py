@@ -187,12 +187,13 @@ def watershed(raster: DataFrame, tops: DataFrame, least: float, value: str = "ch
     """(by, row, col, tree_id): crowns that grow from the tops over cells of ``least`` height, highest cells first.
 
     Priority flooding over eight neighbours; of equal heights the cell queued first is flooded first, and it takes the
-    label of its nearest flooded neighbour's top. One plot or tile is one group: flooding has no smaller unit.
+    label of its nearest flooded neighbour's top. Heights are compared in single precision. A group of ``by`` is one
+    task: for scenes deal cells to tiles with a halo first, as ``classical_tiles`` does, so that a tile bounds it.
     """
 
     def run(pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf[value] >= least]
-        height = dict(zip(zip(pdf["row"], pdf["col"], strict=True), pdf[value], strict=True))
+        height = dict(zip(zip(pdf["row"], pdf["col"], strict=True), pdf[value].astype("float32"), strict=True))
         top, label, queue, queued, n = {}, {}, [], set(), 0
         near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
