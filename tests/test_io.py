@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 
 import pytest
@@ -156,3 +157,11 @@ def test_sources_and_pairs(spark, tmp_path):
     assert rows(readers.sources_of(m, files, ("train", "val"))) == [("a", "ambiguous id"), ("b", "unexpected split"), ("c", "missing file"), ("c", "unexpected split")]
     with pytest.raises(ValueError, match="y"):
         readers.all_paired(spark.createDataFrame([("x", "both"), ("y", "left")], "stem string, status string"))
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.stdout.strip() == "True", out.stderr

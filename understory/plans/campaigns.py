@@ -31,7 +31,10 @@ def dealt_sql(sql: str, *labels: str, points: str = "points") -> str:
     return sql.replace("k AS (SELECT * FROM points WHERE truth >= 0)", f"dealt AS ({union}), k AS (SELECT * FROM dealt WHERE truth >= 0)")
 
 
-CONFIG = F.col("dataset_id") % 100
+def config() -> Column:
+    return F.col("dataset_id") % 100
+
+
 F1 = "tp / greatest(tp + 0.5 * (fp + fn), 1)"
 
 
@@ -63,10 +66,10 @@ def vote_grid(spark, d, probabilities, variants):
     base = p.select("dataset_id", "pid", "truth", "x", "y", "z", F.col("x").alias("vx"), F.col("y").alias("vy"), (1 - F.col("discount") * 5).alias("p"))
     out = None
     for v, how in enumerate(variants):
-        each = dealt(base, [F.when(F.col("p") >= q, 1).otherwise(0) for q in probabilities]).withColumn("pid", F.col("pid") * 100 + CONFIG)
+        each = dealt(base, [F.when(F.col("p") >= q, 1).otherwise(0) for q in probabilities]).withColumn("pid", F.col("pid") * 100 + config())
         found = votes.instances(each.where("pred = 1"), how).select("dataset_id", "pid", F.col("label").alias("_l"))
         scored = metrics.instance_metrics(each.drop("pred").join(found, ["dataset_id", "pid"], "left").withColumn("pred", F.coalesce("_l", F.lit(0))))
-        rows = metrics.totals(scored.withColumn("config", CONFIG + v * len(probabilities)), "config")
+        rows = metrics.totals(scored.withColumn("config", config() + v * len(probabilities)), "config")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -131,7 +134,7 @@ def held_out_comparison(spark, d):
     other = F.when((F.col("y") <= 40) & (F.col("pred") > 0), F.col("supp") + 1).otherwise(0)
     m = metrics.instance_metrics(dealt(views.points(spark, d), [F.col("pred"), other]))
     _, _, f1, pq, _ = metrics.ratios(*map(F.col, ("tp", "fp", "fn", "iou_sum")))
-    s = m.select(F.floor(F.col("dataset_id") / 100).cast("int").alias("dataset_id"), CONFIG.alias("model"), f1, pq)
+    s = m.select(F.floor(F.col("dataset_id") / 100).cast("int").alias("dataset_id"), config().alias("model"), f1, pq)
     one = lambda c, k: F.max(F.when(F.col("model") == k, F.col(c)))
     t = s.join(views.plots(spark, d).where("model_split = 'test'"), "dataset_id", "left_semi").groupBy("dataset_id").agg(one("pq", 0).alias("pq_a"), one("pq", 1).alias("pq_b"), (one("f1", 1) - one("f1", 0)).alias("f1_gain"))
     a, b = F.round("pq_a", 9), F.round("pq_b", 9)
@@ -143,7 +146,7 @@ def normalisation_diagnostic(spark, d):
     """Mean matched IoU of each collection under two modes of prediction."""
     other = F.when((F.col("y") <= 40) & (F.col("pred") > 0), F.col("supp") + 1).otherwise(0)
     hit = metrics.matches(metrics.ious(metrics.contingency(metrics.known(dealt(views.points(spark, d), [F.col("pred"), other])))))
-    s = hit.select(F.floor(F.col("dataset_id") / 100).cast("int").alias("dataset_id"), CONFIG.alias("mode"), "iou").join(views.plots(spark, d), "dataset_id")
+    s = hit.select(F.floor(F.col("dataset_id") / 100).cast("int").alias("dataset_id"), config().alias("mode"), "iou").join(views.plots(spark, d), "dataset_id")
     return rounded(s.groupBy("collection", "mode").agg(F.count("*").alias("matched"), F.avg("iou").alias("mean_iou")))
 
 
@@ -182,7 +185,7 @@ def support_ablation(spark, d):
     for name, how in (("b", (0.8, 4.0)), ("c", (0.6, 2.0))):
         own = own.join(fuse(*how).withColumnRenamed("label", name), "pid", "left")
     labels = [F.coalesce("a", F.lit(0)), F.coalesce("a", "b", F.lit(0)), F.coalesce("a", "c", F.lit(0))]
-    t = metrics.totals(metrics.instance_metrics(dealt(own, labels).drop("a", "b", "c")).withColumn("config", CONFIG), "config")
+    t = metrics.totals(metrics.instance_metrics(dealt(own, labels).drop("a", "b", "c")).withColumn("config", config()), "config")
     pq = F.round("pq", 6)
     base = F.max(F.when(F.col("config") == 0, pq)).over(Window.partitionBy())  # a row a configuration
     return t.select("config", "tp", "fp", "fn", pq.alias("pq"), (pq >= base).alias("accepted"))
@@ -402,7 +405,7 @@ s9 AS (SELECT model, model_split, round({F1}, 6) AS f1, round(iou_sum / greatest
 def consolidated_report(spark, d):
     """Runs logged as JSON, one record a model and split, read together into one table."""
     other = F.when((F.col("y") <= 40) & (F.col("pred") > 0), F.col("supp") + 1).otherwise(0)
-    m = metrics.instance_metrics(dealt(views.points(spark, d), [F.col("pred"), other])).withColumn("model", CONFIG).withColumn("dataset_id", F.floor(F.col("dataset_id") / 100).cast("int"))
+    m = metrics.instance_metrics(dealt(views.points(spark, d), [F.col("pred"), other])).withColumn("model", config()).withColumn("dataset_id", F.floor(F.col("dataset_id") / 100).cast("int"))
     t = metrics.totals(m.join(views.plots(spark, d), "dataset_id"), "model", "model_split")
     to = scratch(spark, "report")
     sinks.atomic(rounded(t.select("model", "model_split", "f1", "pq")), to)
