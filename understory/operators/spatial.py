@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 
+SIDE = 2.0  # of a bucket, in radii: larger ones copy fewer rows and compare more
+
+
 def _bucket(axis: str, radius: float) -> Column:
     return F.floor(F.col(axis) / radius)
 
@@ -17,7 +20,7 @@ def _square(axes: Sequence[str]) -> Column:
 
 def _dealt(left: DataFrame, right: DataFrame, radius: float, axes: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides as structs l and r with their buckets: the left ones in their own, the right ones in all in reach."""
-    keys, size, reach = [f"_b{a}" for a in axes], 2 * radius, radius * (1 + 1e-9)
+    keys, size, reach = [f"_b{a}" for a in axes], SIDE * radius, radius * (1 + 1e-9)
     a = left.select(*by, F.struct(*left.columns).alias("l"), *(_bucket(x, size).alias(k) for x, k in zip(axes, keys, strict=True)))
     b = right.select(*by, F.struct(*right.columns).alias("r"))
     for x, k in zip(axes, keys, strict=True):
@@ -29,12 +32,14 @@ def near(left: DataFrame, right: DataFrame, radius: float, axes: Sequence[str] =
     """Pairs within ``radius`` as structs l and r with squared distance d2; an equi-join on ``by`` and buckets.
 
     The smaller side should be ``right``: it is sent to all buckets in reach, two an axis on average. Keys hold the
-    bucket, so a dense group is spread over its buckets, and AQE splits a bucket that is still too full.
+    bucket, so a dense group is spread over its buckets, and AQE splits a bucket that is still too full. The left
+    rows of a shuffle partition are hashed, not sorted: buckets match many rows to many, where sorting costs most of
+    the time. They are narrow; ``spark.sql.shuffle.partitions`` has to be such that a partition of them fits in memory.
     """
     a, b, keys = _dealt(left, right, radius, axes, by)
     d2 = _square(axes)
     keep = F.col("d2") <= radius * radius if inclusive else F.col("d2") < radius * radius
-    return a.join(b, [*by, *keys]).select(*by, "l", "r", d2.alias("d2")).where(keep)
+    return a.hint("shuffle_hash").join(b, [*by, *keys]).select(*by, "l", "r", d2.alias("d2")).where(keep)
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, id: str, target: str, **how) -> DataFrame:
