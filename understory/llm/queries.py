@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, nearest, packing, passages, pii, quality, quotes, secrets, simhash, urls
+from . import merkle, mixing, nearest, packing, passages, pii, quality, quotes, secrets, simhash, tokens, urls, variants
 from .shared import table
 
 
@@ -56,8 +56,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op7_substring_dedup, op8_quotation_linking, op9_pii, op10_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_nearest_neighbours, op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op7_substring_dedup,
+        op8_quotation_linking, op9_pii, op10_secret_scan, op11_token_counts, op12_spelling_variants, op13_merkle_manifest,
+    )
 }
 
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op8_quotation_linking": quotes.ORACLE}
