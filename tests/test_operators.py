@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from understory.operators import consensus, governance, graph, greedy, grid, kernels, labels, masks, metrics, raster, revision, spatial, votes
+from understory.operators import consensus, flooding, governance, graph, greedy, grid, kernels, labels, masks, metrics, raster, revision, spatial, votes
 
 
 def labelled(spark, truth, pred):
@@ -271,7 +271,7 @@ def test_footprints(spark):
 def test_watershed_divides_two_hills(spark):
     chm = spark.createDataFrame([(0, 0, c, float(h)) for c, h in enumerate([5, 4, 3, 4, 6, 5])], "dataset_id int, row long, col long, chm double")
     tops = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 4, 2)], "dataset_id int, row long, col long, tree_id long")
-    got = dict(rows(kernels.watershed(chm, tops, 2.0), "col", "tree_id"))
+    got = dict(rows(flooding.watershed(chm, tops, 2.0), "col", "tree_id"))
     assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2, 5: 2}
 
 

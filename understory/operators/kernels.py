@@ -6,8 +6,6 @@ finds the groups (by joins and connected components), deals them out and puts th
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -181,44 +179,3 @@ def cleaned_footprints(cells: DataFrame, label: str, parts: str = "largest", by:
 
     kinds = dict(cells.dtypes)
     return cells.groupBy(by, label).applyInPandas(run, f"{by} {kinds[by]}, {label} {kinds[label]}, row bigint, col bigint")
-
-
-def watershed(raster: DataFrame, tops: DataFrame, least: float, value: str = "chm", by: str = "dataset_id") -> DataFrame:
-    """(by, row, col, tree_id): crowns that grow from the tops over cells of ``least`` height, highest cells first.
-
-    Priority flooding over eight neighbours; of equal heights the cell queued first is flooded first, and it takes the
-    label of its nearest flooded neighbour's top. Heights are compared in single precision. A group of ``by`` is one
-    task: for scenes deal cells to tiles with a halo first, as ``classical_tiles`` does, so that a tile bounds it.
-    """
-
-    def run(pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[value] >= least]
-        height = dict(zip(zip(pdf["row"], pdf["col"], strict=True), pdf[value].astype("float32"), strict=True))
-        top, label, queue, queued, n = {}, {}, [], set(), 0
-        near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-
-        def push(cell: tuple) -> None:
-            nonlocal n
-            for a, b in near:
-                q = (cell[0] + a, cell[1] + b)
-                if q in height and q not in label and q not in queued:
-                    queued.add(q)
-                    heapq.heappush(queue, (-height[q], n, q))
-                    n += 1
-
-        for s in seeds.sort_values(["col", "row"]).itertuples():
-            if (s.row, s.col) in height:
-                label[s.row, s.col] = s.tree_id
-                top[s.tree_id] = (s.row, s.col)
-        for cell in list(label):
-            push(cell)
-        while queue:
-            _, _, cell = heapq.heappop(queue)
-            around = [label[q] for a, b in near if (q := (cell[0] + a, cell[1] + b)) in label]
-            label[cell] = min(around, key=lambda t: ((cell[0] - top[t][0]) ** 2 + (cell[1] - top[t][1]) ** 2, t))
-            push(cell)
-        plot = (pdf if len(pdf) else seeds)[by]
-        return pd.DataFrame([(plot.iloc[0], r, c, t) for (r, c), t in label.items()], columns=[by, "row", "col", "tree_id"])
-
-    kind = dict(raster.dtypes)[by]
-    return raster.select(by, "row", "col", value).groupBy(by).cogroup(tops.select(by, "row", "col", "tree_id").groupBy(by)).applyInPandas(run, f"{by} {kind}, row bigint, col bigint, tree_id bigint")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.checkpoint import cut, scratch
-from ..operators import grid, kernels, masks, metrics, raster, spatial, votes
+from ..operators import flooding, grid, kernels, masks, metrics, raster, spatial, votes
 from ..operators.predict import by_windows
 from ..sources import readers, sinks, views
 from .fusion import ANCHOR, FUSED, M, reconciled, tables
@@ -355,15 +355,15 @@ def raster_dataset(spark, d):
 
 @query()
 def classical_tiles(spark, d):
-    """Tile by tile with a halo: smoothing, tree tops, those of the core, stem diameters and crowns, published in pairs."""
-    t = grid.tiles(canopy(spark, d), 25.0, 8.0, "col", "row").withColumn("tile", (F.col("dataset_id") * 4096 + F.col("tile_y") + 1024) * 4096 + F.col("tile_x") + 1024)
-    smooth = cut(raster.smoothed(t.select("tile", "row", "col", "chm"), 0.6, "chm", "tile"))
-    tops = raster.treetops(smooth, 1.0, 2.0, raster.window_size(F.col("h")), 5.0, by="tile").join(t.where("owner").select("tile", "row", "col"), ["tile", "row", "col"], "left_semi")
-    own = cut(raster.numbered(tops, "tile").withColumn("dbh", spatial.dbh(F.col("h"))))
+    """Smoothing, tree tops, stem diameters and crowns of scenes in tiles, published in pairs by the tile that a top lies in."""
+    smooth = cut(raster.smoothed(canopy(spark, d), 0.6, "chm"))
+    tops = raster.numbered(raster.treetops(smooth, 1.0, 2.0, raster.window_size(F.col("h")), 5.0)).withColumn("dbh", spatial.dbh(F.col("h")))
+    own = cut(tops.withColumn("tile", (F.col("dataset_id") * 4096 + F.floor(F.col("row") / 25) + 1024) * 4096 + F.floor(F.col("col") / 25) + 1024))
     crowns, points = scratch(spark, "crowns"), scratch(spark, "tops")
-    sinks.pair(kernels.watershed(smooth, own, 2.0, by="tile"), crowns, own, points, by="tile")
-    n = spark.read.parquet(crowns).groupBy("tile", "tree_id").agg(F.count("*").alias("cells"))
-    return rounded(spark.read.parquet(points).join(n, ["tile", "tree_id"]).select(F.col("tile").cast("bigint").alias("tile"), "tree_id", "row", "col", "h", "dbh", "cells"), "h", "dbh")
+    found, _ = flooding.scene(smooth, own, 25.0, 8.0, 2.0)
+    sinks.pair(found.join(own.select("dataset_id", "tree_id", "tile"), ["dataset_id", "tree_id"]), crowns, own, points, by="tile")
+    n = spark.read.parquet(crowns).groupBy("dataset_id", "tree_id").agg(F.count("*").alias("cells"))
+    return rounded(spark.read.parquet(points).join(n, ["dataset_id", "tree_id"]).select(F.col("tile").cast("bigint").alias("tile"), "dataset_id", "tree_id", "row", "col", "h", "dbh", "cells"), "h", "dbh")
 
 
 @query("WITH {points} SELECT pid, round(x * 2 + z, 6) AS score FROM points")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composed, fusion, governing, gridding, kernelled, neighbours, revising, scoring, storing, campaigns  # noqa: F401
+from . import composed, fusion, governing, gridding, kernelled, neighbours, revising, scoring, shaping, storing, campaigns  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
