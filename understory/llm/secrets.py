@@ -2,7 +2,8 @@
 
 A candidate string is a maximal run of one character class: base-64, and in it base-36 and hex in either case. A
 window slides over it; the Shannon entropy of the window follows from counts that are changed by one character in and
-one out. Allow-listed shapes (words, UUIDs, digests named as such, dates, paths) are suppressed. Of nested runs
+one out. Allow-listed shapes (joined words, UUIDs, digests named as such, dates, and slugs and paths whose parts are all
+ordinary) are suppressed. Of nested runs
 that are both found the longer one is reported.
 """
 
@@ -31,6 +32,9 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}+)={0,2}+(?![A
 #: Classes in a base-64 run, by case; maximal runs of each are judged by themselves.
 FINER = tuple((("base36", re.compile(f"[0-9{z}]{{20,}}+")), ("hex", re.compile(f"[0-9{f}]{{20,}}+"))) for z, f in (("a-z", "a-f"), ("A-Z", "A-F")))
 DIGIT = re.compile(r"[0-9]")
+#: What parts of slugs and paths are: words (also with a short number), words joined by capitals, initials, numbers, ordinals.
+SEGMENT = r"(?:[A-Z]?+[a-z]++[0-9]{0,4}+|[A-Z]?+[a-z]++(?:[A-Z][a-z]++)+|[A-Z]++[0-9]{0,4}+|[0-9]{1,12}+(?:[a-z]{1,2}+)?)(?![A-Za-z0-9])"
+DIGEST = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5)[:=]\x20?$", re.I | re.A)
 ONE_CASE = re.compile(r"[a-z]+|[A-Z]+")
 
 
@@ -47,7 +51,7 @@ class Entropy:
     allow: tuple[str, ...] = (
         r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+",  # words joined by capitals
         r"[0-9_/-]+",  # numbers and dates
-        r"[A-Z]?[a-z]+(?:[-_/][A-Z]?[a-z]+)+",  # slugs and paths
+        f"[/_-]*+{SEGMENT}(?:[/_-]++{SEGMENT})+[/_-]*+",  # slugs and paths, each part of which is ordinary
         r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUIDs
         r"(?:sha(?:1|256|384|512)|md5)-.*",  # integrity digests
     )
@@ -96,7 +100,7 @@ def finder(rule: Entropy = Entropy()) -> Callable[[str], tuple[list[Span], list[
         base += [("hex", *m.span()) for m in HEX.finditer(text)]
         extra: list[Span] = []
         for m in CANDIDATE.finditer(text):
-            if allowed.fullmatch(m[0]):
+            if allowed.fullmatch(m[0]) or DIGEST.search(text[max(0, m.start() - 10) : m.start()]):
                 continue
             if secret("base64", m[1]):
                 extra.append(("entropy", *m.span()))
@@ -127,7 +131,11 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rule:
 
 
 def mask_secrets(docs: DataFrame, rule: Entropy = Entropy()) -> DataFrame:
-    """The documents with every secret in the text replaced by its kind; nulls stay null, n_chars follows the text."""
+    """The documents with every secret in the text replaced by its kind; nulls stay null, n_chars follows the text.
+
+    Rows are mapped one by one: repeated rows give repeated results, an empty table an empty one, and all other columns,
+    of any name, stay.
+    """
 
     @pandas_udf("string")
     def clean(texts):
