@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
+def mounted(path: str) -> str:
+    """``path`` as the driver's and the executors' own file systems name it; an error if it lies in another one."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    if scheme and scheme[1] != "file":
+        raise ValueError(f"{path} is not in a folder that driver and executors mount")
+    return re.sub(r"^file:(?://(?=/))?", "", path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder so that its lineage ends here."""
     shared_folder(df.sparkSession)

@@ -52,7 +52,7 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, id: str, target: s
 def nearest_with_margin(left: DataFrame, right: DataFrame, radius: float, margin: float, id: str, target: str, **how) -> DataFrame:
     """(id, target): the nearest right row within the radius, if the second nearest is farther by at least ``margin``.
 
-    Two aggregates in one pass keep the two least distances; the second is looked for within radius + margin.
+    A window over each row's pairs keeps the two least distances; the second is looked for within radius + margin.
     """
     pairs = near(left, right, radius + margin, **how).select(F.col(f"l.{id}").alias(id), F.col(f"r.{target}").alias("t"), "d2")
     order = Window.partitionBy(id).orderBy("d2", "t")

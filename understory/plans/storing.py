@@ -58,10 +58,10 @@ def line(*names: str):
     return F.concat_ws(" ", *(F.col(n).cast("string") for n in names)).alias("value")
 
 
-@query("WITH {points} SELECT pid, round(x, 6) AS x, y + 0.0::DOUBLE AS y, z, truth AS tree_id FROM points WHERE truth BETWEEN 1 AND 20")
+@query("WITH {points} SELECT pid, round(x, 6) AS x, y + 0.0::DOUBLE AS y, z, truth AS tree_id FROM points WHERE truth > 0")
 def text_tree_scan(spark, d):
     to = scratch(spark, "trees")
-    views.points(spark, d).where("truth BETWEEN 1 AND 20").select("truth", line("pid", "x", "y", "z")).write.partitionBy("truth").text(to)
+    views.points(spark, d).where("truth > 0").select("truth", line("pid", "x", "y", "z")).repartition("truth").write.partitionBy("truth").text(to)
     return rounded(readers.text_points(spark, to, ("pid", "x", "y", "z"), r"truth=(\d+)").withColumn("pid", F.col("pid").cast("bigint")), "x")
 
 
@@ -111,10 +111,10 @@ def ply_bytes(table: pa.Table) -> bytes:
     return head.encode() + out.tobytes()
 
 
-@query("WITH {points} SELECT x, CAST(y AS DOUBLE) AS y, round(z, 4) AS z, CAST(truth AS DOUBLE) AS tree FROM points WHERE truth > 0 AND dataset_id = 2")
+@query("WITH {points} SELECT x, CAST(y AS DOUBLE) AS y, round(z, 4) AS z, CAST(truth AS DOUBLE) AS tree FROM points WHERE truth > 0")
 def ply_scan(spark, d):
     to = scratch(spark, "ply")
-    p = views.points(spark, d).where("truth > 0 AND dataset_id = 2").select("x", F.col("y").cast("double").alias("y"), "z", F.col("truth").alias("tree"))
+    p = views.points(spark, d).where("truth > 0").select("x", F.col("y").cast("double").alias("y"), "z", F.col("truth").alias("tree"))
     sinks.binary_files(p, to, ply_bytes, ".ply").count()
     return readers.ply_points(spark, to).withColumn("z", F.round("z", 4))
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.checkpoint import mounted
+
 MANIFEST = "dataset_id string, source_dataset string, collection string, official_split string, model_split string, source_las string, output string, bounds string, train_eligible string"
 
 
@@ -230,7 +232,7 @@ class LasSource(DataSource):
 
 class LasReader(DataSourceReader):
     def __init__(self, options) -> None:
-        path = options["path"].removeprefix("file:")
+        path = mounted(options["path"])
         self.files = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".las")) if os.path.isdir(path) else [path]
         self.box = tuple(map(float, options["box"].split())) if options.get("box") else None
         self.step = int(options.get("points", 1_000_000))

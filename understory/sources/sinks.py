@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, Window
 
+from ..functions.checkpoint import mounted
 
 def _files(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a path."""
@@ -104,11 +105,20 @@ def pending(jobs: DataFrame, spark: SparkSession, path: str, signature: str, key
 
 
 @contextmanager
-def locked(spark: SparkSession, path: str, wait: float = 60.0) -> Iterator[None]:
-    """Hold ``path``.lock, a file that only one can create; wait for whoever holds it."""
+def locked(spark: SparkSession, path: str, wait: float = 60.0, lease: float = 600.0) -> Iterator[None]:
+    """Hold ``path``.lock, a file that only one can create; wait for whoever holds it.
+
+    A lock older than ``lease`` seconds was left by a crash and is taken down. Holders must be done within the lease.
+    """
     fs, at = _files(spark, path + ".lock")
     until = time.time() + wait
     while not fs.createNewFile(at):
+        if fs.exists(at) and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > lease:
+            # renamed before it is deleted: of several that wait only one can take it down
+            old = _files(spark, f"{path}.lock-{uuid.uuid4().hex}")[1]
+            if fs.rename(at, old):
+                fs.delete(old, False)
+            continue
         if time.time() > until:
             raise TimeoutError(f"{path} is locked")
         time.sleep(0.1)
@@ -138,9 +148,10 @@ def copy_without(collections: DataFrame, parts: DataFrame, links: DataFrame, key
 def binary_files(df: DataFrame, path: str, encode: Callable[[pa.Table], bytes], suffix: str) -> DataFrame:
     """(file, n): one file a partition, made of the partition's rows by ``encode``; ``path`` is a folder that executors mount.
 
-    A file is renamed into place when it is whole, so a task that runs again leaves no half file.
+    A file is renamed into place when it is whole, so a task that runs again leaves no half file. A path in another
+    file system is an error. A partition is one file, so a task holds it: repartition to files of the wanted size.
     """
-    folder = path.removeprefix("file:")
+    folder = mounted(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
