@@ -1,0 +1,90 @@
+"""Crowded bands: no link is lost, and copies of a template take linear work."""
+
+from __future__ import annotations
+
+import random
+import time
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from understory.llm import meeting, passages
+from understory.operators.graph import components
+
+
+def template_lines(seed, n, words, changes):
+    """Copies of two templates with some words replaced, by words of their own or of a few."""
+    r = random.Random(seed)
+    base = [[f"w{k}x{i}" for i in range(words)] for k in range(2)]
+    out = set()
+    for i in range(n):
+        line = list(r.choice(base))
+        for _ in range(r.choice(changes)):
+            line[r.randrange(words)] = r.choice([f"own{i}", f"few{r.randrange(4)}"])
+        out.add(" ".join(line))
+    return sorted(out)
+
+
+def linked(a, b):
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return n >= 0.8 * (len(a) + len(b) - n)
+
+
+def brute_roots(sets):
+    root = list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if root[i] != root[j] and linked(sets[i], sets[j]):
+                old, new = root[j], root[i]
+                root = [new if x == old else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize(("words", "changes", "group"), [(60, [0, 1, 1, 2], 7), (25, [0, 1, 1, 2, 3], 7), (40, [1, 2, 3], 30)])
+def test_crowded_bands_keep_all_links(spark, words, changes, group):
+    lines = template_lines(words, 160, words, changes)
+    how = passages.Passages(group=group)
+    sets = [passages.shingles(t, 5) for t in lines]
+    data = spark.createDataFrame([(i, t, [k]) for i, t in enumerate(lines) for k in (1, 2 + i % 2)], "class long, line string, keys array<long>")
+    edges = meeting.met_classes(data, data.select("class", "line"), how, lambda t: t, lambda g: passages._similar(g, how), lambda t: passages.shingles(t, 5))
+    got = {r.node: r.root for r in components(edges, "a", "b").collect()}
+    mine = [got.get(i, i) for i in range(len(lines))]
+    want = brute_roots(sets)
+    same = lambda roots: {tuple(i for i, x in enumerate(roots) if x == r) for r in set(roots)}
+    assert same(mine) == same(want)
+    assert len(set(want)) > 1
+
+
+@pytest.mark.parametrize("words", [30, 60])
+def test_lines_that_differ_in_an_id_take_linear_work(spark, words, monkeypatch):
+    sent = []
+    real = meeting._compared
+
+    def counted(tasks, *rest):
+        sent.append(tasks.count())
+        return real(tasks, *rest)
+
+    monkeypatch.setattr(meeting, "_compared", counted)
+    took = []
+    for n in (1000, 8000):
+        head = " ".join(f"t{i}" for i in range(words))
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(head), F.lit(" id"), F.col("id").cast("string"), F.lit(" tail of the line")).alias("text"))
+        began = time.time()
+        found = passages.repeated(docs).where("kind = 'paragraph'")
+        removed = found.where("removed").count()
+        took.append(time.time() - began)
+        # 30 words: 26 + 4 shingles, 5 of which hold the id, 25 / 35; 60 words: 55 / 65
+        assert removed == (n - 1 if words == 60 else 0)
+    assert took[1] < 6 * took[0]
+    # a line goes to tasks of pairs less than once: leaders settled it, or its rare shingles meet no other
+    assert sent[1] <= 8000
+
+
+def test_one_leader_is_held_at_a_time(spark):
+    lines = [f"{' '.join(f'a{i}' for i in range(50))} {k}" for k in range(100)] + ["quite another line"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "class long, line string")
+    band = texts.select("class", F.lit(1).cast("long").alias("key"), F.lit(101).cast("long").alias("n"), F.lit(0).cast("long").alias("low"))
+    led = meeting._led(band, texts, passages.Passages(group=9), lambda t: passages.shingles(t, 5)).collect()
+    assert sorted((r["class"], r.role) for r in led) == [(k, "star") for k in range(100)] + [(100, "far")]

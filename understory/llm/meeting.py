@@ -1,0 +1,151 @@
+"""Which texts that share a band are similar, without comparing all pairs of a crowded band.
+
+Bands of few texts are compared whole. In a crowded one every text is first compared with a single leader, which is
+linear: by the triangle inequality of the Jaccard distance, a text that is linked to the leader can be linked to
+another only if that one is near the leader too, within twice the distance. So texts near enough are settled as its
+star, and if none lies in the fringe around it, only the others remain. What remains meets again by its rarest
+shingles: two sets of similarity t share one that is among the size - t size + 1 rarest of the larger and among the
+size - 2 t / (1 + t) size + 1 rarest of the smaller. Copies of a template that differ too much do not meet again. Only in bands that are crowded still, where many texts have only common shingles, are
+chunks compared with chunks, without the pairs within a star. No link is lost by any of this.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .shared import cut
+
+
+def met_classes(keyed: DataFrame, lines: DataFrame, how, read: Callable, judge: Callable, shingled: Callable[[str], np.ndarray]) -> DataFrame:
+    """Edges (a, b) that ``judge`` finds among classes that share one of their ``keys``; ``lines``: class, line.
+
+    ``how``: similarity, group (texts compared together), sent (classes that are broadcast). A task gives edges that
+    join what it found similar, not every pair, and holds each line as ``read`` makes it, two chunks at most.
+    ``shingled`` gives the distinct shingle hashes of a line.
+    """
+    met = cut(_bands(keyed.select("class", F.explode("keys").alias("key")).distinct()))
+    tasks = met.where(F.col("n") <= how.group).select("class", F.col("key").alias("task"))
+    stars = None
+    crowded = met.where(F.col("n") > how.group)
+    if not crowded.isEmpty():
+        texts = cut(_texts(lines, crowded.select("class").distinct(), how))
+        led = _led(crowded, texts, how, shingled)
+        stars = _star(led)
+        sizes = led.groupBy("key").agg(F.count_if(F.col("role") == "fringe").alias("fringe"), F.count_if(F.col("role") == "far").alias("far"))
+        members = led.join(sizes.withColumn("open", (F.col("fringe") > 0) | (F.col("far") > how.group)), "key")
+        again = cut(_bands(_rarest(members.where("open").select("key", "class"), texts, how, shingled)))
+        tasks = tasks.unionByName(members.where("NOT open AND role = 'far'").select("class", F.xxhash64("key", F.lit("far")).alias("task")))
+        tasks = tasks.unionByName(again.where(F.col("n") <= how.group).select("class", F.col("key").alias("task")))
+        still = again.where(F.col("n") > how.group)
+        if not still.isEmpty():
+            led = _led(still, texts, how, shingled)
+            stars = stars.unionByName(_star(led))
+            tasks = tasks.unionByName(_chunks(led, how))
+    edges = _compared(tasks, lines, how, read, judge)
+    return (edges if stars is None else edges.unionByName(stars)).distinct()
+
+
+def _bands(keys: DataFrame) -> DataFrame:
+    """(class, key, n, low) of bands that several classes share; of bands that hold the same classes one stays."""
+    sets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.bit_xor(F.xxhash64("class")).alias("mark")).where("n > 1")
+    once = sets.groupBy("n", "low", "high", "mark").agg(F.min("key").alias("key")).select("key", "n", "low")
+    return keys.join(once, "key").select("class", "key", "n", "low")
+
+
+def _texts(lines: DataFrame, wanted: DataFrame, how) -> DataFrame:
+    if wanted.count() <= how.sent:
+        wanted = F.broadcast(wanted)
+    return lines.join(wanted, "class").groupBy("class").agg(F.min("line").alias("line"))
+
+
+def _led(crowded: DataFrame, texts: DataFrame, how, shingled: Callable) -> DataFrame:
+    """(class, key, low, role) of crowded bands (class, key, n, low): star, fringe or far, as the leader ``low`` sees it.
+
+    A band's texts go to as many tasks as chunks, each with the leader's; a task holds two texts at a time.
+    """
+    chunks = F.ceil(F.col("n") / how.group).cast("bigint")
+    own = crowded.select("key", "low", "class", F.pmod(F.xxhash64("class"), chunks).alias("chunk"), (F.col("class") == F.col("low")).alias("leads"))
+    leaders = crowded.where("class = low").select("key", "low", "class", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), F.lit(True).alias("leads"))
+    rows = own.where("NOT leads").unionByName(leaders).join(texts, "class").select("key", "chunk", "leads", "class", "low", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader = np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for key, _, leads, own, low, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = shingled(line)
+                if leads:
+                    leader = mine
+                    continue
+                both = len(leader) + len(mine) - len(np.union1d(leader, mine))
+                every = len(leader) + len(mine) - both
+                role = "star" if both >= how.similarity * every else "fringe" if both >= (2 * how.similarity - 1 - 1e-9) * every else "far"
+                out.append((own, key, low, role))
+            names, types = ("class", "key", "low", "role"), (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+    dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("leads"))
+    return cut(dealt.mapInArrow(run, "class bigint, key bigint, low bigint, role string").unionByName(crowded.where("class = low").select("class", "key", "low", F.lit("star").alias("role"))))
+
+
+def _star(led: DataFrame) -> DataFrame:
+    return led.where("role = 'star' AND class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()
+
+
+def _rarest(members: DataFrame, texts: DataFrame, how, shingled: Callable) -> DataFrame:
+    """(class, key): members (key, class) under new keys, one for each of a text's rarest shingles within their old band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingled(line).view(np.int64) for line in batch.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
+
+    wanted = texts.join(members.select("class").distinct(), "class", "left_semi").select("class", "line")
+    each = cut(wanted.mapInArrow(run, "class bigint, shingles array<bigint>")).select("class", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("n"))
+    # in one order for all: the rarest first, of equals by hash
+    ranked = each.join(common, "s").groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("ranked"))
+    t = how.similarity
+    upto = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int")
+    first = F.posexplode(F.slice("ranked", 1, upto(t))).alias("at", "f")
+    rare = ranked.select("class", upto(2 * t / (1 + t)).alias("short"), first).where("f.n > 1").select("class", "f.s", (F.col("at") < F.col("short")).alias("shorter"))
+    keyed = members.join(rare, "class").select("class", F.xxhash64("key", "s").alias("key"), "shorter")
+    # the smaller set of a pair has the shingle among fewer still; where no set has, no pair does
+    some = keyed.groupBy("key").agg(F.bool_or("shorter").alias("some")).where("some")
+    return keyed.join(some, "key").select("class", "key").distinct()
+
+
+def _chunks(led: DataFrame, how) -> DataFrame:
+    """(class, task) for all pairs of a crowded band but those within the star, and those of the star with what is far."""
+    sizes = led.groupBy("key").agg(*(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("star", "fringe", "far")))
+    parts = lambda n: F.greatest(F.ceil(n / how.group), F.lit(1)).cast("bigint")
+    held = led.join(sizes, "key").select("key", "class", "role", "n_fringe", parts(F.col("n_fringe") + F.col("n_far")).alias("rest"), parts(F.col("n_fringe")).alias("fringes"), parts(F.col("n_star")).alias("stars"))
+    place, upto = (lambda n: F.pmod(F.xxhash64("class"), F.col(n))), (lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)))
+    rest = held.where("role <> 'star'").withColumn("_x", place("rest")).withColumn("_y", upto("rest"))
+    task = lambda kind, i, j: F.xxhash64("key", F.lit(kind), i, j).alias("task")
+    out = rest.select("class", task("rest", F.least("_x", "_y"), F.greatest("_x", "_y")))
+    fringe = held.where("role = 'fringe'").withColumn("_x", place("fringes")).withColumn("_y", upto("stars"))
+    star = held.where("role = 'star' AND n_fringe > 0").withColumn("_y", place("stars")).withColumn("_x", upto("fringes"))
+    return out.unionByName(fringe.select("class", task("star", "_x", "_y"))).unionByName(star.select("class", task("star", "_x", "_y")))
+
+
+def _compared(tasks: DataFrame, lines: DataFrame, how, read: Callable, judge: Callable) -> DataFrame:
+    """Edges (a, b) that ``judge`` finds within each task (class, task)."""
+    held = tasks.join(_texts(lines, tasks.select("class").distinct(), how), "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, group = None, []
+        for batch in batches:
+            for t, c, line in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if t != task and group:
+                    yield judge(group)
+                    group = []
+                task = t
+                group.append((c, read(line)))
+        yield judge(group)
+
+    return held.select("task", "class", "line").repartition("task").sortWithinPartitions("task", "class").mapInArrow(run, "a bigint, b bigint")

@@ -14,7 +14,7 @@ first place stays and stretches of later ones are to be removed, so that chance
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
+from .meeting import met_classes
 from .shared import cut, map_texts
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -137,42 +138,12 @@ def block_rows(docs: DataFrame, how: Passages, twice: bool = False) -> DataFrame
 def similar_classes(docs: DataFrame, paragraphs: DataFrame, how: Passages) -> DataFrame:
     """Edges (a, b) between classes of different lines whose shingle sets are similar enough."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("class"), "line")
-    return met_classes(paragraphs, lines, how, lambda line: line, lambda group: _similar(group, how))
+    return met_classes(paragraphs, lines, how, lambda line: line, lambda group: _similar(group, how), lambda line: shingles(line, how.width))
 
 
-def met_classes(keyed: DataFrame, lines: DataFrame, how, read: Callable, judge: Callable) -> DataFrame:
-    """Edges (a, b) that ``judge`` finds among classes that share one of their ``keys``; ``lines``: class, line.
-
-    Groups of a band are compared whole; larger ones chunk against chunk, so that no task holds more than two chunks
-    and no link is lost. A task gives edges that join what it found similar, not every pair. It holds each line as
-    ``read`` makes it.
-    """
-    keys = keyed.select("class", F.explode("keys").alias("key")).distinct()
-    sets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.bit_xor(F.xxhash64("class")).alias("mark")).where("n > 1")
-    # near copies meet in most of their bands: of bands that hold the same classes one is compared
-    shared = sets.groupBy("n", "low", "high", "mark").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / how.group).cast("bigint").alias("chunks"))
-    met = cut(keys.join(shared, "key"))
-    wanted = met.select("class").distinct()
-    if wanted.count() <= how.sent:
-        wanted = F.broadcast(wanted)
-    texts = lines.join(wanted, "class").groupBy("class").agg(F.min("line").alias("line"))
-    mine = F.pmod(F.xxhash64("class"), F.col("chunks"))
-    pairs = met.withColumn("_x", mine).withColumn("_y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    tasks = pairs.select("class", "key", F.least("_x", "_y").alias("i"), F.greatest("_x", "_y").alias("j"))
-    held = tasks.join(texts, "class").withColumn("task", F.xxhash64("key", "i", "j"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, group = None, []
-        for batch in batches:
-            for t, c, line in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if t != task and group:
-                    yield judge(group)
-                    group = []
-                task = t
-                group.append((c, read(line)))
-        yield judge(group)
-
-    return held.select("task", "class", "line").repartition("task").sortWithinPartitions("task", "class").mapInArrow(compare, "a bigint, b bigint").distinct()
+def shingles(text: str, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; a text of fewer words is one shingle."""
+    return np.unique(_shingle_hashes(_word_hashes(text.encode("utf-8", "surrogatepass").lower().split()), width))
 
 
 def shingle_set(line: str, width: int) -> frozenset:
