@@ -116,7 +116,14 @@ def _spans(e: np.ndarray, y: float) -> np.ndarray:
 
 
 def _meetings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Heights at which a side of one shape crosses a side of the other."""
+    """Heights at which a side of one shape crosses a side of the other. Two upright sides never do."""
+    upright = a[:, 0] == a[:, 2]
+    return np.concatenate([_crossings(a[~upright], b), _crossings(a[upright], b[b[:, 0] != b[:, 2]])])
+
+
+def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if not len(a) or not len(b):
+        return np.zeros(0)
     p, q = a[:, None, :], b[None, :, :]
     slope_p, slope_q = (p[..., 2] - p[..., 0]) / (p[..., 3] - p[..., 1]), (q[..., 2] - q[..., 0]) / (q[..., 3] - q[..., 1])
     with np.errstate(divide="ignore", invalid="ignore"):
