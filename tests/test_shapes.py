@@ -195,3 +195,26 @@ def test_clipping_to_a_convex_window_by_a_fine_grid(spark):
         assert abs(got[i].area - want) < 0.15
         # clipping and measuring agree
         assert polygons.shared_area(polygons.edges(g), polygons.edges([window])) == pytest.approx(got[i].area)
+
+
+def test_first_come_labels_equal_a_pass_in_order(spark):
+    from understory.operators import grid, votes
+
+    r = random.Random(12)
+    data = [(1, i, r.randint(1, 9), r.uniform(0, 60), r.uniform(0, 60), float(r.randint(0, 20))) for i in range(900)]
+    p = spark.createDataFrame(data, "dataset_id int, pid long, label long, x double, y double, z double")
+    got = {x.pid: (x.tile_x, x.tile_y, x.label) for x in votes.first_come(grid.tiles(p, 20.0, 5.0).drop("owner"), 20.0).collect()}
+    want = {}
+    for ty in range(-1, 4):
+        for tx in range(-1, 4):
+            near = [d for d in data if 20 * tx - 5 <= d[3] < 20 * tx + 25 and 20 * ty - 5 <= d[4] < 20 * ty + 25]
+            found = []
+            for label in {d[2] for d in near}:
+                mine = [d for d in near if d[2] == label]
+                top = max(mine, key=lambda d: (d[5], -d[1]))
+                if len(mine) >= 8 and top[5] >= 2 and 20 * tx <= top[3] < 20 * tx + 20 and 20 * ty <= top[4] < 20 * ty + 20:
+                    found.append((-top[4], top[3], label, mine))
+            for _, _, label, mine in sorted(found, key=lambda f: f[:3]):
+                for d in mine:
+                    want.setdefault(d[1], (tx, ty, label))
+    assert got == want and len(set(want.values())) > 20

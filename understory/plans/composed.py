@@ -7,7 +7,7 @@ from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.sql import functions as F, Window
 
 from ..functions.chance import unit, unit_sql
-from ..operators import kernels, metrics, raster, spatial, votes
+from ..operators import grid, kernels, metrics, raster, spatial, votes
 from ..sources import views
 from .governing import EDGES, GROUPS, grouped
 from .gridding import CELLS, canopy
@@ -51,6 +51,15 @@ def core_tile_filter(spark, d):
     return votes.in_core_tiles(views.points(spark, d).select("dataset_id", "pid", "x", "y", "z", F.col("truth").alias("label")), (20.0, 10.0, 80.0, 45.0))
 
 
+@query("""WITH {points}, a AS (SELECT dataset_id, pid, pred, x, CAST(y AS DOUBLE) AS y, z, unnest(range(CAST(floor((x - 5) / 25) AS BIGINT), CAST(floor((x + 5) / 25) AS BIGINT) + 1)) AS tx FROM points WHERE pred > 0), m AS (SELECT *, unnest(range(CAST(floor((y - 5) / 25) AS BIGINT), CAST(floor((y + 5) / 25) AS BIGINT) + 1)) AS ty FROM a),
+i AS (SELECT dataset_id, tx, ty, pred, arg_max({'x': x, 'y': y}, (z, -pid)) AS t FROM m GROUP BY ALL HAVING count(*) >= 8 AND max(z) >= 2), c AS (SELECT * FROM i WHERE floor(t.x / 25) = tx AND floor(t.y / 25) = ty)
+SELECT dataset_id, pid, tx AS tile_x, ty AS tile_y, pred AS label FROM (SELECT m.*, row_number() OVER (PARTITION BY dataset_id, pid ORDER BY ty, tx, -c.t.y, c.t.x, pred) AS k FROM m JOIN c USING (dataset_id, tx, ty, pred)) WHERE k = 1""")
+def first_come_labels(spark, d):
+    """Instances of overlapping tiles of 25 m with halos of 5 m: kept by the tile of their top, points to the first that claims them."""
+    p = views.points(spark, d).where("pred > 0").select("dataset_id", "pid", F.col("pred").alias("label"), "x", F.col("y").cast("double").alias("y"), "z")
+    return votes.first_come(grid.tiles(p, 25.0, 5.0).drop("owner"), 25.0)
+
+
 @query("WITH {points}, " + TOPS + """, i AS (SELECT t.tree, p.pid, p.x - t.x AS x, p.y - t.y AS y, p.z FROM points p JOIN tops t USING (dataset_id) WHERE p.x >= t.x - 5 AND p.x < t.x + 5 AND p.y >= t.y - 5 AND p.y < t.y + 5),
 g AS (SELECT tree, floor(x / 2) AS a, floor(y / 2) AS b, floor(z / 2) AS c, min(pid) AS pid FROM i GROUP BY ALL) SELECT tree AS anchor, least(count(*), 64) AS kept FROM g GROUP BY tree""")
 def training_crops(spark, d):
