@@ -5,8 +5,9 @@ linear: by the triangle inequality of the Jaccard distance, a text that is linke
 another only if that one is near the leader too, within twice the distance. So texts near enough are settled as its
 star, and if none lies in the fringe around it, only the others remain. What remains meets again by its rarest
 shingles: two sets of similarity t share one that is among the size - t size + 1 rarest of the larger and among the
-size - 2 t / (1 + t) size + 1 rarest of the smaller. Copies of a template that differ too much do not meet again. Only in bands that are crowded still, where many texts have only common shingles, are
-chunks compared with chunks, without the pairs within a star. No link is lost by any of this.
+size - 2 t / (1 + t) size + 1 rarest of the smaller. Copies of a template that differ too much do not meet again. Where that would compare more pairs than are left, and
+in bands that stay crowded, where many texts have common shingles only, chunks are compared with chunks, without the
+pairs within a star. No link is lost by any of this.
 """
 
 from __future__ import annotations
@@ -37,8 +38,16 @@ def met_classes(keyed: DataFrame, lines: DataFrame, how, read: Callable, judge:
         stars = _star(led)
         sizes = led.groupBy("key").agg(F.count_if(F.col("role") == "fringe").alias("fringe"), F.count_if(F.col("role") == "far").alias("far"))
         members = led.join(sizes.withColumn("open", (F.col("fringe") > 0) | (F.col("far") > how.group)), "key")
-        again = cut(_bands(_rarest(members.where("open").select("key", "class"), texts, how, shingled)))
         tasks = tasks.unionByName(members.where("NOT open AND role = 'far'").select("class", F.xxhash64("key", F.lit("far")).alias("task")))
+        opened = cut(members.where("open").select("class", "key", "low", "role"))
+        rare = cut(_rarest(opened.select("key", "class"), texts, how, shingled))
+        # both ways find all links: a band goes the one that compares fewer pairs, by counts alone
+        roles = opened.groupBy("key").agg(*(F.count_if(F.col("role") == r).cast("double").alias(r) for r in ("star", "fringe", "far")))
+        whole = roles.select("key", ((F.col("fringe") + F.col("far")) * (F.col("fringe") + F.col("far")) / 2 + F.col("fringe") * F.col("star")).alias("whole"))
+        within = rare.groupBy("key", "s").agg(F.count("*").cast("double").alias("_m")).groupBy("key").agg(F.sum(F.col("_m") * F.col("_m") / 2).alias("within"))
+        ways = cut(whole.join(within, "key", "left").select("key", (F.coalesce("within", F.lit(0.0)) < F.col("whole")).alias("apart")))
+        tasks = tasks.unionByName(_chunks(opened.join(ways.where("NOT apart"), "key", "left_semi"), how))
+        again = cut(_bands(rare.join(ways.where("apart"), "key", "left_semi").select("class", F.xxhash64("key", "s").alias("key")).distinct()))
         tasks = tasks.unionByName(again.where(F.col("n") <= how.group).select("class", F.col("key").alias("task")))
         still = again.where(F.col("n") > how.group)
         if not still.isEmpty():
@@ -97,7 +106,7 @@ def _star(led: DataFrame) -> DataFrame:
 
 
 def _rarest(members: DataFrame, texts: DataFrame, how, shingled: Callable) -> DataFrame:
-    """(class, key): members (key, class) under new keys, one for each of a text's rarest shingles within their old band."""
+    """(class, key, s): members (key, class) with each of a text's rarest shingles, where a pair of a band may share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,10 +122,10 @@ def _rarest(members: DataFrame, texts: DataFrame, how, shingled: Callable) -> Da
     upto = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int")
     first = F.posexplode(F.slice("ranked", 1, upto(t))).alias("at", "f")
     rare = ranked.select("class", upto(2 * t / (1 + t)).alias("short"), first).where("f.n > 1").select("class", "f.s", (F.col("at") < F.col("short")).alias("shorter"))
-    keyed = members.join(rare, "class").select("class", F.xxhash64("key", "s").alias("key"), "shorter")
-    # the smaller set of a pair has the shingle among fewer still; where no set has, no pair does
-    some = keyed.groupBy("key").agg(F.bool_or("shorter").alias("some")).where("some")
-    return keyed.join(some, "key").select("class", "key").distinct()
+    keyed = members.join(rare, "class")
+    # the smaller set of a pair has the shingle among fewer still; where no set of a band has, no pair does
+    some = keyed.groupBy("key", "s").agg(F.bool_or("shorter").alias("some"), F.count("*").alias("_m")).where("some AND _m > 1").select("key", "s")
+    return keyed.join(some, ["key", "s"]).select("class", "key", "s")
 
 
 def _chunks(led: DataFrame, how) -> DataFrame:
