@@ -119,6 +119,23 @@ def hulls(points: DataFrame, label: str, margin: float = 0.0, by: str = "dataset
     return ends.groupBy(by, label).applyInPandas(run, f"{by} {kinds[by]}, {label} {kinds[label]}, area double, corners int")
 
 
+def outlines(points: DataFrame, label: str, by: str = "dataset_id") -> DataFrame:
+    """(by, label, corners): each label's hull as an array of (x, y), counter-clockwise; labels on one line have none.
+
+    As in ``hulls`` only the ends of each x are shuffled.
+    """
+    ends = points.where(F.col(label) > 0).groupBy(by, label, "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = hull(np.concatenate([pdf[["x", "low"]].to_numpy(), pdf[["x", "high"]].to_numpy()]))
+        corners = [{"x": float(x), "y": float(y)} for x, y in h] if len(h) > 2 else []
+        return pd.DataFrame({by: [pdf[by].iloc[0]], label: [pdf[label].iloc[0]], "corners": [corners]})
+
+    kinds = dict(points.dtypes)
+    found = ends.groupBy(by, label).applyInPandas(run, f"{by} {kinds[by]}, {label} {kinds[label]}, corners array<struct<x double, y double>>")
+    return found.where(F.size("corners") > 0)
+
+
 def flood(free: np.ndarray, starts: list[tuple[int, int]], eight: bool) -> np.ndarray:
     """Cells reachable over ``free`` ones from the starts."""
     seen, todo = np.zeros_like(free), [s for s in starts if free[s]]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
+from .kernels import outlines
 
 
 def candidates(mask_points: DataFrame, masks: DataFrame, object_threshold: float = 0.1, mask_threshold: float = 0.5, least: int = 12, height: float | None = None) -> DataFrame:
@@ -92,7 +93,8 @@ def fuse_support(anchors: DataFrame, ranked: DataFrame, mask_points: DataFrame,
 
     ``anchors`` (pid, label > 0) never change; ``ranked`` (mask_id, n, object_score, ranking) are candidates. A mask
     bridging anchors (dominance) or unlike its anchor (IoU) offers nothing. ``near_own(points)`` keeps offered points
-    (pid, label, x, y, z) that lie near their anchor. The best offer wins, of equals that of the higher ranking.
+    (pid, label, x, y, z, and vx, vy if the masks have votes) that lie near their anchor; it may go on to ``inside_hull``
+    and ``voting_near``. The best offer that is kept wins, of equals that of the higher ranking.
     """
     held = mask_points.join(ranked, "mask_id").join(anchors.select("pid", F.col("label").alias("held")), "pid", "left")
     shares = held.where("held IS NOT NULL").groupBy("mask_id", F.col("held").alias("label")).agg(F.count("*").alias("n"))
@@ -100,6 +102,27 @@ def fuse_support(anchors: DataFrame, ranked: DataFrame, mask_points: DataFrame,
     won = dominant(shares, "mask_id", "label").withColumnRenamed("n", "shared").join(sizes, "label").join(ranked.select("mask_id", F.col("n").alias("mask_n")), "mask_id")
     won = won.withColumn("affinity", F.col("shared") / (F.col("mask_n") + F.col("size") - F.col("shared"))).where((F.col("shared") / F.col("total") >= dominance) & (F.col("affinity") >= least_iou))
     offers = held.where((F.col("held").isNull()) & (F.col("score") >= probability)).drop("n").join(won.select("mask_id", "label", "affinity"), "mask_id").withColumn("offer", F.col("score") * F.col("object_score") * F.col("affinity"))
-    close = near_own(offers.select("pid", "label", "x", "y", "z").distinct()).select("pid", "label")
+    close = near_own(offers.select("pid", "label", "x", "y", "z", *(c for c in ("vx", "vy") if c in offers.columns)).distinct()).select("pid", "label")
     kept = offers.join(close, ["pid", "label"])
     return kept.groupBy("pid").agg(F.max_by(F.struct("label", "offer"), F.struct("offer", "ranking", -F.col("mask_id"))).alias("_o")).select("pid", "_o.label", "_o.offer")
+
+
+def inside_hull(offered: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Offered points (pid, label, x, y, ...) in the convex hull of the anchor they are offered to, its boundary included.
+
+    One row of corners a label is joined, so no point meets the points of its anchor. An anchor on one line has no hull
+    and keeps no offer; its own points do not change.
+    """
+    shapes = outlines(anchors.withColumn("_plot", F.lit(0)), "label", "_plot").select("label", "corners")
+    after = F.concat(F.slice("corners", 2, F.size("corners") - 1), F.slice("corners", 1, 1))
+    left = lambda a, b: (b["x"] - a["x"]) * (F.col("y") - a["y"]) - (b["y"] - a["y"]) * (F.col("x") - a["x"]) >= -1e-9
+    return offered.join(shapes, "label").where(F.forall(F.zip_with("corners", after, left), lambda ok: ok)).select(*offered.columns)
+
+
+def voting_near(offered: DataFrame, anchors: DataFrame, distance: float) -> DataFrame:
+    """Offered points (pid, label, vx, vy, ...) whose vote is within ``distance`` of the median vote (vx, vy) of the anchor."""
+    if distance <= 0:
+        raise ValueError("the vote distance must be positive")
+    middle = anchors.groupBy("label").agg(F.median("vx").alias("_x"), F.median("vy").alias("_y"))
+    dx, dy = F.col("vx") - F.col("_x"), F.col("vy") - F.col("_y")
+    return offered.join(middle, "label").where(dx * dx + dy * dy <= distance**2).select(*offered.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composed, fusion, governing, gridding, kernelled, neighbours, protocols, revising, scoring, searching, shaping, storing, campaigns  # noqa: F401
+from . import composed, fusion, governing, gridding, kernelled, neighbours, options, protocols, revising, scoring, searching, shaping, storing, campaigns  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -56,12 +56,15 @@ def mask_reconcile(spark, d):
     return rounded(fused.groupBy("group").agg(F.count("*").alias("points"), F.sum("score").alias("score")).join(n, "group"))
 
 
-@query(FUSED + """, lo AS (SELECT grp, min(x) AS mx, min(y) AS my FROM fused GROUP BY 1), b AS (SELECT f.*, floor((x - mx) / 0.5) AS bx, floor((y - my) / 0.5) AS by_ FROM fused f JOIN lo USING (grp)),
+#: Parts of the fourteen features, before they are rounded.
+FEATURES = FUSED + """, lo AS (SELECT grp, min(x) AS mx, min(y) AS my FROM fused GROUP BY 1), b AS (SELECT f.*, floor((x - mx) / 0.5) AS bx, floor((y - my) / 0.5) AS by_ FROM fused f JOIN lo USING (grp)),
 g AS (SELECT grp, count(*) AS n, count(DISTINCT (bx, by_)) AS cells, max(z) AS hi, stddev_pop(z) AS hs, avg(score) AS ms, stddev_pop(score) AS ss, (max(bx) + 1) * (max(by_) + 1) AS box, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c,
   avg(x) AS ax, avg(y) AS ay, arg_max(x, (z, -pid)) AS tx, arg_max(y, (z, -pid)) AS ty FROM b GROUP BY 1),
 v AS (SELECT grp, max(object_score) AS mo, avg(object_score) AS ao, count(*) AS k, sum(n)::BIGINT AS total FROM members JOIN nodes USING (mask_id) GROUP BY 1),
-r AS (SELECT *, greatest((vx + vy) / 2 - sqrt((vx - vy) * (vx - vy) / 4 + c * c), 1e-6) AS e0, greatest((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + c * c), 1e-6) AS e1 FROM g JOIN v USING (grp))
-SELECT grp AS "group", round(ln(1 + n), 6) AS log_points, round(ln(1 + cells), 6) AS log_area_cells, hi AS max_height, round(hs, 6) AS height_std, round(ms + 1e-9, 6) AS mean_mask, round(ss + 1e-9, 6) AS std_mask, mo AS max_object, round(ao + 1e-9, 6) AS mean_object, round(ln(1 + k), 6) AS log_votes,
+r AS (SELECT *, greatest((vx + vy) / 2 - sqrt((vx - vy) * (vx - vy) / 4 + c * c), 1e-6) AS e0, greatest((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + c * c), 1e-6) AS e1 FROM g JOIN v USING (grp))"""
+
+
+@query(FEATURES + """ SELECT grp AS "group", round(ln(1 + n), 6) AS log_points, round(ln(1 + cells), 6) AS log_area_cells, hi AS max_height, round(hs, 6) AS height_std, round(ms + 1e-9, 6) AS mean_mask, round(ss + 1e-9, 6) AS std_mask, mo AS max_object, round(ao + 1e-9, 6) AS mean_object, round(ln(1 + k), 6) AS log_votes,
 round(cells / box, 6) AS xy_compactness, round(sqrt(e0 / e1), 6) AS xy_aspect, round(sqrt((tx - ax) * (tx - ax) + (ty - ay) * (ty - ay)) / greatest(sqrt(e0 + e1), 0.25), 6) AS top_offset, round(n / cells, 6) AS point_density, round(total / n, 6) AS member_agreement FROM r""")
 def proposal_features(spark, d):
     return rounded(nudged(masks.features(*reconciled(spark, d)), "mean_mask", "std_mask", "mean_object"))
