@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from understory.operators import kernels, masks, scorer
+from understory.operators import crowns, kernels, masks, scorer
 
 from conftest import rows
 
@@ -67,3 +67,47 @@ def test_fit_without_examples_of_a_class(spark):
     assert fit.first()["_w_a"] == 0.0
     assert [r[0] for r in scorer.scored(data.where("a IS NOT NULL"), fit, ["a"]).select("score").collect()] == pytest.approx([0.75, 0.75])
     assert scorer.fitted(data.limit(0), ["a"]).count() == 1 and scorer.scored(data.where(F.lit(False)), fit, ["a"]).count() == 0
+
+
+def cut_by(ring, side):
+    """What is left of a convex ring on the inner side of an upright or level line (axis, place, sign)."""
+    axis, at, sign = side
+    out = []
+    for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+        a, b = sign * (p[axis] - at), sign * (q[axis] - at)
+        if a >= 0:
+            out.append(p)
+        if a * b < 0:
+            out.append(tuple(p[i] + (q[i] - p[i]) * a / (a - b) for i in (0, 1)))
+    return out
+
+
+def area(ring):
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True)) / 2 if len(ring) > 2 else 0.0
+
+
+def test_crown_modes_cell_by_cell(spark):
+    rng = np.random.default_rng(11)
+    size = 0.5
+    support = [(0, k, float(x), float(y)) for k in (1, 2, 3) for x, y in rng.uniform(0, 6, (14, 2)) + 5 * k] + [(0, 5, 1.0, 1.0)]
+    at = {k: {(int(r), int(c)) for r, c in rng.integers(10 * k + 4, 10 * k + 16, (70, 2))} for k in (1, 2)} | {3: {(0, 0), (0, 1)}, 4: {(7, 7)}}
+    cells = [(0, k, r, c) for k, of in at.items() for r, c in of] + [(0, 4, 7, 7)]
+    points = spark.createDataFrame(support, "dataset_id int, label long, x double, y double")
+    grid = spark.createDataFrame(cells, "dataset_id int, label long, row long, col long")
+    got = {r["label"]: r for r in crowns.crown_areas(points, grid, "label", size).collect()}
+    cleaned = kernels.cleaned_footprints(grid.distinct(), "label").collect()
+    assert sorted(got) == [1, 2, 3, 4]  # 5 has one point and no cell
+    for k in (1, 2, 3):
+        ring = [tuple(p) for p in kernels.hull(np.array([[x, y] for _, label, x, y in support if label == k])).tolist()]
+        own = [(r["row"] * size, r["col"] * size) for r in cleaned if r["label"] == k]
+        shared = 0.0
+        for bottom, left in own:
+            part = ring
+            for side in ((0, left, 1), (0, left + size, -1), (1, bottom, 1), (1, bottom + size, -1)):
+                part = cut_by(part, side)
+            shared += area(part)
+        hull, head = area(ring), len(own) * size * size
+        union = hull + head - shared if shared else max(hull, head)
+        assert [got[k][n] for n in ("support_hull", "head", "head_union_support")] == pytest.approx([hull, head, union], abs=1e-9)
+    assert [got[4][n] for n in ("support_hull", "head", "head_union_support")] == [0.25, 0.25, 0.25]
+    assert crowns.crown_areas(points.limit(0), grid.limit(0), "label", size).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks, scorer
+from ..operators import crowns, masks, raster, scorer
 from ..operators.spatial import near_own_group
 from ..sources import views
 from .fusion import ANCHOR, FEATURES, M, reconciled, tables
@@ -87,3 +87,11 @@ def fitted_verifier(spark, d):
     at = scorer.scored(x.where("NOT fit AND target >= 0"), model, NAMES).withColumn("threshold", F.explode(F.transform(F.sequence(F.lit(3), F.lit(17)), lambda i: i / 20.0)))
     sure, good = F.col("score") >= F.col("threshold"), F.col("target") == 1
     return at.groupBy("threshold").agg(F.count_if(sure).alias("kept"), F.count_if(sure & good).alias("good"), F.count_if(good).alias("targets"), F.count("*").alias("proposals"))
+
+
+@query()
+def crown_modes(spark, d):
+    """Areas of fused proposals' crowns: the hull of their surest points, the cells of all their points, and both together."""
+    fused = reconciled(spark, d)[0].withColumn("label", F.col("group") + 1)
+    cells = raster.cells(fused, 4.0).select("dataset_id", "label", "row", "col")
+    return rounded(crowns.crown_areas(fused.where("score >= 0.75"), cells, "label", 4.0))
