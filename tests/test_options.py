@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from understory.operators import crowns, kernels, masks, scorer
+from understory.operators import crowns, kernels, masks, revision, scorer
 
 from conftest import rows
 
@@ -111,3 +111,21 @@ def test_crown_modes_cell_by_cell(spark):
         assert [got[k][n] for n in ("support_hull", "head", "head_union_support")] == pytest.approx([hull, head, union], abs=1e-9)
     assert [got[4][n] for n in ("support_hull", "head", "head_union_support")] == [0.25, 0.25, 0.25]
     assert crowns.crown_areas(points.limit(0), grid.limit(0), "label", size).count() == 0
+
+
+def test_small_additions_in_order(spark):
+    rng = np.random.default_rng(2)
+    data, spots, sure = [], {}, {}
+    for k in range(1, 25):
+        x, y = rng.integers(0, 7, 2)
+        spots[k] = {(int(x + i), int(y + j)) for i in range(3) for j in range(2 + k % 2)}
+        sure[k] = round(0.3 + 0.02 * (k % 5), 2)  # ties
+        data += [(len(data) + i, 0, c * 0.5 + 0.1, r * 0.5 + 0.1, 3.0, 0, k, sure[k]) for i, (r, c) in enumerate(sorted(spots[k]) * 2)]
+    points = spark.createDataFrame(data, "pid long, dataset_id int, x double, y double, z double, anchor long, proposal long, p double")
+    kept: list = []
+    for k in sorted(spots, key=lambda k: (-sure[k], k)):
+        if all(len(spots[k] & spots[a]) / len(spots[k]) <= 0.3 for a in kept):
+            kept.append(k)
+    got = {r["proposal"] for r in revision.small_additions(points).select("proposal").distinct().collect()}
+    assert got == set(kept) and 1 < len(kept) < 24
+    assert revision.small_additions(points.limit(0)).count() == 0
