@@ -120,7 +120,11 @@ def mix(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text",
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns, whatever their names. Texts are not shuffled."""
+    """The documents as often as the mix takes them, with their own columns, whatever their names. Texts are not shuffled.
+
+    Null and empty texts have size 0. Rows that agree in id, source, size and key are
+    taken together or in part. An empty table stays empty.
+    """
     columns, docs = docs.columns, apart(docs, "doc_id", "source", "text")
     plan = mix_plan(cut(keyed(docs, seed).select("doc_id", "source", "_size", "_key")), **how)
     found = copies(keyed(docs, seed), plan).where("_copies > 0")

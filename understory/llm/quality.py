@@ -105,7 +105,8 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    The verdict is computed beside the row in one pass (no join back), so repeated ids are judged row by row.
+    The verdict is computed beside the row in one pass (no join back), so repeated ids are judged row by row. Null and
+    empty texts have no words and go; an empty table stays empty.
     """
     @pandas_udf("boolean")
     def passes(texts):

@@ -51,6 +51,7 @@ def link(messages: DataFrame) -> DataFrame:
     the conversation has it, else null. Sorting by conversation, reply_to (null first) and turn puts every message
     after the one it answers. Null texts stay null and quote nothing; rows that repeat a conversation and turn each
     give a row, and own lines of either can be quoted; null ids or turns are never linked; other columns are not read.
+    An empty table gives an empty one.
     """
     base = cut(parse(messages.select("conv_id", "turn", "role", "text")))
     quoting = base.where(F.exists("_lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.xxhash64("text").alias("_row"), "_lines").dropDuplicates(["conv_id", "turn", "_row"])

@@ -88,7 +88,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
 
     ``labels`` has ``label``, ``quality`` and ``toxic``; ``labelled`` is what of a page its labels go by, the page's
     id if not given. A page is bad if toxic or of quality 0, null labels say nothing. URLs are matched once however often they recur. Null URLs have empty host and path, fit
-    no rule and are allowed; without labels, or with labels that no tokens foretell, the method allows.
+    no rule and are allowed; without labels, or with labels that no tokens foretell, the method allows. Repeated rows
+    are each judged; without pages there are no rows.
     """
     rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), (pages[key] if labelled is None else labelled).alias("_said"))
     bad = (F.coalesce(labels["toxic"], F.lit(0)) == 1) | (F.coalesce(labels["quality"], F.lit(1)) == 0)
