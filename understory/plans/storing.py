@@ -217,7 +217,7 @@ def record_upsert(spark, d):
 @query("WITH {points}, {plots}, {masks} SELECT m.mask_id, count(*) AS n FROM mask_points m JOIN plots USING (dataset_id) WHERE model_split <> 'test' AND truth > 0 GROUP BY 1")
 def dataset_copy(spark, d):
     p = views.points(spark, d).where("truth > 0")
-    _, _, links = sinks.copy_without(views.plots(spark, d), p, views.mask_points(spark, d), "dataset_id", "pid", F.col("model_split") != "test")
+    _, _, links = sinks.copy_without(views.plots(spark, d), p, views.mask_points(spark, d), "dataset_id", ["dataset_id", "pid", "truth"], F.col("model_split") != "test")
     return links.groupBy("mask_id").agg(F.count("*").alias("n"))
 
 

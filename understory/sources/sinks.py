@@ -138,7 +138,7 @@ def upsert(rows: DataFrame, path: str, key: str, at: str) -> DataFrame:
     return held.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
 
 
-def copy_without(collections: DataFrame, parts: DataFrame, links: DataFrame, key: str, part_key: str, keep: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+def copy_without(collections: DataFrame, parts: DataFrame, links: DataFrame, key: str, part_key: str | list[str], keep: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Collections that ``keep`` holds for, their parts, and the links of those parts: two cascaded left-semi joins."""
     left = collections.where(keep)
     own = parts.join(left, key, "left_semi")
