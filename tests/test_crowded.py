@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from understory.operators import kernels
+from understory.operators import kernels, spatial
 from understory.plans import catalog
 
 from test_oracles import FOLDER, plain
@@ -84,3 +84,23 @@ def crowded(tmp_path_factory):
 @pytest.mark.parametrize("name", ["neighbour_graph", "edge_kinds"])
 def test_crowded_places(spark, crowded, name):
     same(spark, name, crowded)
+
+
+@pytest.mark.parametrize("name", ["nearest_top", "nearest_top_with_margin"])
+def test_crowded_tops(spark, crowded, repeated, name):
+    for d in (crowded, repeated):
+        same(spark, name, d)
+
+
+def test_crowded_votes(spark, crowded):
+    same(spark, "vote_instances", crowded)
+
+
+def test_lists_of_cells_are_short(spark):
+    """Of five hundred places around a cell few can be the nearest of a point in it: pairs are not those of all points and places."""
+    at = spark.createDataFrame([(0, i, float(i % 25) / 4, float(i // 25) / 4) for i in range(500)], "dataset_id int, t long, x double, y double")
+    points = spark.range(20000).selectExpr("0 AS dataset_id", "id AS pid", "3 + (id % 100) / 1000 AS x", "2 + (id % 7) / 1000 AS y")
+    found = spatial.nearest(points, at, 6.0, "pid", "t")
+    assert found.count() == 20000 and {r.t for r in found.select("t").distinct().collect()} == {8 * 25 + 12}
+    listed = spatial._closest(points.limit(1), at, 6.0, 1, "pid", "t")
+    assert [len(r.c) for r in listed.collect()] == [1]
