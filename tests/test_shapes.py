@@ -146,6 +146,25 @@ def test_rings_of_random_cells_keep_area_and_turn(spark):
             assert n == len(on) and s == sum((i + a, j + b) not in on for i, j in on for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))
 
 
+@pytest.mark.parametrize("eight", [False, True])
+def test_rings_over_several_blocks(spark, eight):
+    r = random.Random(3)
+    shapes = SHAPES | {k: "/".join("".join(r.choice("###.") for _ in range(23)) for _ in range(19)) for k in range(20, 26)}
+    shapes[30] = "/".join(["#" * 23, *["#" + "." * 21 + "#"] * 3, "#...." + "#" * 13 + "....#", "#...#" + "." * 12 + "##...#", *["#" + "." * 21 + "#"] * 8, "#" * 23])
+    cells = cell_table(spark, shapes).select("dataset_id", "label", (F.col("row") - 7).alias("row"), (F.col("col") - 9).alias("col"))
+    whole = [tuple(x) for x in polygons.rings(cells, "label", eight).collect()]
+    assert len(whole) > 100
+    for block in (3, 4, 11):
+        assert sorted(tuple(x) for x in polygons.rings(cells, "label", eight, block=block).collect()) == sorted(whole)
+
+
+def test_a_long_ring_takes_no_more_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(polygons, "cut", lambda df, cut=polygons.cut: rounds.append(1) or cut(df))
+    cells = cell_table(spark, {1: "/".join("#.#" * 20 if i % 2 else "#" * 60 for i in range(30))})
+    assert polygons.rings(cells, "label").agg(F.sum("area")).first()[0] == cells.count() and len(rounds) <= 5
+
+
 def star(r, x, y, n=9, far=8.0):
     """A concave ring around (x, y), turning to the left."""
     return [{"x": x + d * math.cos(2 * math.pi * i / n), "y": y + d * math.sin(2 * math.pi * i / n)} for i in range(n) for d in [r.uniform(far / 4, far)]]

@@ -2,8 +2,9 @@
 
 A cell (row, col) is the square from (col, row) to (col + 1, row + 1). Rings run with the inside on their left, so
 outer rings turn to the left and have positive areas, holes negative ones. A side of a cell is on the boundary if no
-other cell of the set has it; every boundary side knows the one that follows it, and the sides of a ring find each
-other by pointer doubling: joins of all rings at once, in as many rounds as the longest ring has binary digits.
+other cell of the set has it, and every boundary side knows the one that follows it. Sides are followed in blocks of
+cells, a group each; only paths that leave a block find each other by pointer doubling: joins of all rings at once, in
+as many rounds as the number of pieces of the longest ring has binary digits.
 """
 
 from __future__ import annotations
@@ -12,85 +13,167 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.checkpoint import cut
-from .graph import components
+from .greedy import followed
 
+BLOCK = 128  # cells on a side of a block whose paths are followed in one group
 HALF = 1 << 28  # places are packed as if they began at -HALF
 STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))  # east, north, west, south
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
-def _id(x: Column, y: Column, way: Column) -> Column:
-    return (F.shiftleft((y.cast("bigint") + HALF), 33)) + F.shiftleft((x.cast("bigint") + HALF), 2) + way
+def _number(x: np.ndarray, y: np.ndarray, way: np.ndarray | int) -> np.ndarray:
+    return ((y + HALF) << 33) + ((x + HALF) << 2) + way
 
 
-def _step(way: Column, axis: int) -> Column:
-    return F.element_at(F.array(*(F.lit(s[axis]) for s in STEPS)), way + 1)
+def paths(row: np.ndarray, col: np.ndarray, bottom: int, left: int, eight: bool, block: int) -> pa.Table:
+    """The boundary of the cells of one block, as paths that close in it or leave it.
 
-
-def sides(cells: DataFrame, label: str, by: str = "dataset_id") -> DataFrame:
-    """(by, label, x, y, way): the boundary of each label's cells, as sides that start at (x, y); the inside is on the left."""
-    row, col = F.col("row"), F.col("col")
-    own = lambda x, y, way, kx, ky: F.struct(x.alias("x"), y.alias("y"), F.lit(way).alias("way"), kx.alias("kx"), ky.alias("ky"), F.lit(way % 2).alias("upright"))
-    four = F.array(own(col, row, 0, col, row), own(col + 1, row, 1, col + 1, row), own(col + 1, row + 1, 2, col, row + 1), own(col, row + 1, 3, col, row))
-    all_ = cells.select(by, label, "row", "col").distinct().select(by, label, F.explode(four).alias("s"))
-    # the side that two cells of the set share is counted twice; the counts combine before they are sent
-    met = all_.groupBy(by, label, "s.kx", "s.ky", "s.upright").agg(F.count("*").alias("n"), F.first("s").alias("s")).where("n = 1")
-    return met.select(by, label, "s.x", "s.y", "s.way")
-
-
-def chained(boundary: DataFrame, label: str, eight: bool, by: str = "dataset_id") -> DataFrame:
-    """(by, label, x, y, way, turn, ring, place): each side's ring and its place in it, from 0; ``turn``: the way after it differs.
-
-    Where two cells meet in a corner only, the ring stays with its cell, or, if ``eight``, goes over to the other.
+    A side has its inside on its left. It and the one after it depend on the cells around its end only, so a block of
+    ``block`` by ``block`` cells from (``bottom``, ``left``) needs one row and column of cells more all round. A path
+    is named by its ``first`` side; ``next`` is the side after its last one, null if the path closes. ``held``: the
+    path at whose side the run of cells begins that lies west of the westmost side, null if it begins outside;
+    ``part``: the outer ring around, if it is all in the block; ``runs``: rows in which a run begins at the path and
+    goes on east of the block.
     """
-    outs = boundary.groupBy(by, label, F.col("x").alias("ex"), F.col("y").alias("ey")).agg(F.bit_or(F.pow(F.lit(2), F.col("way")).cast("int")).alias("outs"))
-    way = F.col("way")
-    has = lambda w: F.col("outs").bitwiseAND(F.pow(F.lit(2), F.pmod(w, F.lit(4))).cast("int")) > 0
-    first, last = (way + 3, way + 1) if eight else (way + 1, way + 3)
-    after = F.when(has(first), first).when(has(way), way).otherwise(last)
-    ends = boundary.withColumn("ex", F.col("x") + _step(way, 0)).withColumn("ey", F.col("y") + _step(way, 1))
-    linked = ends.join(outs, [by, label, "ex", "ey"]).withColumn("next", F.pmod(after, F.lit(4)).cast("int"))
-    now = cut(linked.select(by, label, "x", "y", "way", (F.col("next") != way).alias("turn"), _id(F.col("x"), F.col("y"), way).alias("side"), _id(F.col("ex"), F.col("ey"), F.col("next")).alias("jump")))
-    kept = now
-    now = now.select(by, label, "side", "jump", F.col("side").alias("ring"), F.lit(0).cast("bigint").alias("ahead"))
-    length = 1
+    grid = np.zeros((block + 2, block + 2), bool)
+    grid[row - bottom + 1, col - left + 1] = True
+    own_r, own_c = np.nonzero(grid[1:-1, 1:-1])
+    dx, dy = np.array(STEPS).T
+    sides = [(own_r[free] + 1, own_c[free] + 1, np.full(free.sum(), w)) for w in range(4) for free in [~grid[own_r + 1 + dy[w - 1], own_c + 1 + dx[w - 1]]]]
+    r, c, way = map(np.concatenate, zip(*sides, strict=True))
+    x, y = c + left - 1 + np.isin(way, (1, 2)), r + bottom - 1 + np.isin(way, (2, 3))
+    number = _number(x, y, way)
+    order = np.argsort(number)
+    r, c, way, x, y, number = (v[order] for v in (r, c, way, x, y, number))
+    right = (way + 3) % 4
+    ahead, aslant = grid[r + dy[way], c + dx[way]], grid[r + dy[way] + dy[right], c + dx[way] + dx[right]]
+    over = aslant if eight else ahead & aslant  # on to the cell ahead on the right, else straight on, else round the own cell
+    on = (ahead | over) * 1
+    next_r, next_c = r + dy[way] * on + dy[right] * over, c + dx[way] * on + dx[right] * over
+    next_way = np.where(over, right, np.where(ahead, way, (way + 1) % 4))
+    turn, after = next_way != way, _number(x + dx[way], y + dy[way], next_way)
+    inside = (next_r >= 1) & (next_r <= block) & (next_c >= 1) & (next_c <= block)
+    follow = np.where(inside, np.searchsorted(number, after), -1)
+    led = np.zeros(len(way), bool)
+    led[follow[inside]] = True
+    steps, path_of, places, begins = follow.tolist(), [-1] * len(way), [], []
+    for first in [*np.flatnonzero(~led).tolist(), *range(len(way))]:  # in order of numbers, so a closed path begins with its least side
+        if path_of[first] < 0:
+            begins.append(len(places))
+            at = first
+            while at >= 0 and path_of[at] < 0:
+                path_of[at] = len(begins) - 1
+                places.append(at)
+                at = steps[at]
+    place, cuts = np.array(places, np.int64), np.array(begins, np.int64)
+    if not len(cuts):
+        return pa.Table.from_pylist([], PATH)
+    ends = np.append(cuts[1:], len(place)) - 1
+    closed = follow[place[ends]] >= 0
+    area = np.add.reduceat(np.where(way == 1, x, np.where(way == 3, -x, 0))[place], cuts)
+    least = np.minimum.reduceat(number[place], cuts)
+    bent = np.concatenate([[0], np.cumsum(turn[place])])
+    skip = np.zeros(len(cuts), np.int64)
+    for p in np.flatnonzero(~closed).tolist():
+        skip[p] = bent[cuts[p] + number[place[cuts[p] : ends[p] + 1]].argmin()] - bent[cuts[p]]
+    turns = place[turn[place]]
+    west = np.minimum.reduceat(np.where(way == 1, ((x + HALF) << 30) + y + HALF, np.iinfo(np.int64).max)[place], cuts)
+
+    def begun(at_r: int, at_c: int) -> int | None:
+        """The path at whose side the run of cells begins that ends at a cell."""
+        gap = np.flatnonzero(~grid[at_r, : at_c + 1])
+        return path_of[np.searchsorted(number, _number(gap[-1] + left, at_r + bottom, 3))] if len(gap) else None
+
+    n = len(cuts)
+    around: list[int | None] = [None] * n
+    known = west < np.iinfo(np.int64).max
+    wx, wy = (west >> 30) - HALF, (west & ((1 << 30) - 1)) - HALF
+    for p in np.flatnonzero(known & (~closed | (area < 0))).tolist():
+        around[p] = begun(int(wy[p]) - bottom + 1, int(wx[p]) - left)
+    first = number[place[cuts]]
+    part: list[int | None] = first.tolist()
+    head = first.tolist()
+    for p in np.flatnonzero(~closed | (area < 0)).tolist():
+        q: int | None = p
+        while q is not None and closed[q] and area[q] < 0:
+            q = around[q]
+        part[p] = head[q] if q is not None and closed[q] else None
+        head[p] = head[p] if part[p] is None else part[p]
+    runs: list[list[int]] = [[] for _ in range(n)]
+    for at_r in (np.flatnonzero(grid[1:-1, -2] & grid[1:-1, -1]) + 1).tolist():
+        if (p := begun(at_r, block)) is not None:
+            runs[p].append(at_r + bottom - 1)
+    corners = pa.ListArray.from_arrays(pa.array(np.append(bent[cuts], bent[-1]), pa.int32()), pa.array(_number(x[turns] + dx[way[turns]], y[turns] + dy[way[turns]], 0)))
+    held = [None if q is None else head[q] for q in around]
+    columns = [first, pa.array(after[place[ends]], mask=closed), least, ends - cuts + 1, area, skip, corners, pa.array(wx, mask=~known), pa.array(wy, mask=~known), pa.array(held, pa.int64()), pa.array(part, pa.int64()), pa.array(runs, pa.list_(pa.int64()))]
+    return pa.Table.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns], schema=PATH)
+
+
+PATH = pa.schema([*((n, pa.int64()) for n in ("first", "next", "least", "sides", "area", "skip")), ("corners", pa.list_(pa.int64())), *((n, pa.int64()) for n in ("wx", "wy", "held", "part")), ("runs", pa.list_(pa.int64()))])
+
+
+def traced(cells: DataFrame, label: str, eight: bool, by: str, block: int) -> DataFrame:
+    """(by, label, bc, ...): the ``paths`` of each label's blocks; ``bc`` is the block's place among columns."""
+    dealt = cells.select(by, label, F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
+    for axis, key in (("row", "_br"), ("col", "_bc")):
+        dealt = dealt.withColumn(key, F.explode(F.sequence(F.floor((F.col(axis) - 1) / block), F.floor((F.col(axis) + 1) / block))))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        plot, name, br, bc = key
+        found = paths(t.column("row").to_numpy(), t.column("col").to_numpy(), br.as_py() * block, bc.as_py() * block, eight, block)
+        same = lambda v, kind: pa.array([v.as_py()] * len(found), kind)
+        return pa.table([same(plot, plot.type), same(name, name.type), same(bc, pa.int64()), *found.columns], names=[by, label, "bc", *PATH.names])
+
+    kinds = dict(cells.dtypes)
+    own = ", ".join(f"{f.name} {'array<bigint>' if pa.types.is_list(f.type) else 'bigint'}" for f in PATH)
+    return dealt.groupBy(by, label, "_br", "_bc").applyInArrow(run, f"{by} {kinds[by]}, {label} {kinds[label]}, bc bigint, {own}")
+
+
+def placed(pieces: DataFrame, label: str, by: str) -> DataFrame:
+    """(by, label, first, ring, place): the ring that pieces (first, next, least) make, and their places in it from the least side on."""
+    now = pieces.select(by, label, "first", F.col("next").alias("jump"), F.col("least").alias("ring"), F.lit(0).cast("bigint").alias("ahead"))
+    now, length = cut(now), 1
     while True:
-        far = now.select(by, label, F.col("side").alias("jump"), F.col("jump").alias("_j"), F.col("ring").alias("_r"), F.col("ahead").alias("_a"))
+        far = now.select(by, label, F.col("first").alias("jump"), F.col("jump").alias("_j"), F.col("ring").alias("_r"), F.col("ahead").alias("_a"))
         lower = F.col("_r") < F.col("ring")
-        now = cut(now.join(far, [by, label, "jump"]).select(by, label, "side", F.col("_j").alias("jump"), F.least("ring", "_r").alias("ring"), F.when(lower, F.col("_a") + length).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")))
+        now = cut(now.join(far, [by, label, "jump"]).select(by, label, "first", F.col("_j").alias("jump"), F.least("ring", "_r").alias("ring"), F.when(lower, F.col("_a") + length).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")))
         if now.where("moved").isEmpty():
             break
         now, length = now.drop("moved"), length * 2
     sizes = now.groupBy(by, label, "ring").agg(F.count("*").alias("_n"))
-    placed = now.join(sizes, [by, label, "ring"]).select(by, label, "side", "ring", F.pmod(F.col("_n") - F.col("ahead"), F.col("_n")).alias("place"))
-    return kept.drop("jump").join(placed, [by, label, "side"]).drop("side")
+    return cut(now.join(sizes, [by, label, "ring"]).select(by, label, "first", "ring", F.pmod(F.col("_n") - F.col("ahead"), F.col("_n")).alias("place")))
 
 
-def rings(cells: DataFrame, label: str, eight: bool = False, by: str = "dataset_id") -> DataFrame:
+def rings(cells: DataFrame, label: str, eight: bool = False, by: str = "dataset_id", block: int = BLOCK) -> DataFrame:
     """(by, label, part, ring, hole, area, sides, corners) of the polygons of each label's cells.
 
     Parts are cells connected over sides (or also corners, if ``eight``); ``part`` is the id of its outer ring.
     ``area`` counts cells, holes negatively. Repeated cells count once; no cells give no rings.
+    Sides are followed in blocks of ``block`` by ``block`` cells.
     """
-    all_ = cut(chained(sides(cells, label, by), label, eight, by))
-    x, way = F.col("x"), F.col("way")
-    corner = F.when(F.col("turn"), F.struct("place", (x + _step(way, 0)).cast("double").alias("x"), (F.col("y") + _step(way, 1)).cast("double").alias("y")))
-    west = F.min(F.when(way == 1, F.struct("x", "y"))).alias("west")
-    found = cut(all_.groupBy(by, label, "ring").agg(F.sum(F.when(way == 1, x).when(way == 3, -x).otherwise(0)).alias("area"), F.count("*").alias("sides"), west, F.array_sort(F.collect_list(corner)).alias("corners")))
+    found = cut(traced(cells, label, eight, by, block))
+    pieces = found.where("next IS NOT NULL")
+    own = placed(pieces, label, by)
+    west = F.when(F.col("wx").isNotNull(), F.struct("wx", "wy", "bc", "held"))
+    whole = found.where("next IS NULL").select(by, label, F.col("least").alias("ring"), "area", "sides", "corners", west.alias("west"), "part")
+    made = pieces.join(own, [by, label, "first"]).groupBy(by, label, "ring").agg(F.sum("area").alias("area"), F.sum("sides").alias("sides"), F.array_sort(F.collect_list(F.struct("place", "skip", "corners"))).alias("_p"), F.min(west).alias("west"))
+    all_, skip = F.flatten(F.col("_p.corners")), F.get("_p", F.lit(0))["skip"].cast("int")
+    turned = F.concat(F.slice(all_, skip + 1, F.size(all_)), F.slice(all_, F.lit(1), skip))  # from the least side on
+    joined = cut(made.select(by, label, "ring", "area", "sides", turned.alias("corners"), "west", F.when(F.col("area") > 0, F.col("ring")).alias("part")))
+    both = whole.unionByName(joined)
     # west of a hole's westmost cell side lies a run of cells, and its first side is of the ring around, or of a hole farther west
-    holes = found.where("area < 0").select(by, label, F.col("ring").alias("hole_ring"), F.col("west.x").alias("hx"), F.col("west.y").alias("hy"))
-    starts = all_.where("way = 3").select(by, label, F.col("x").alias("sx"), (F.col("y") - 1).alias("hy"), F.col("ring").alias("around"))
-    around = holes.join(starts, [by, label, "hy"]).where("sx < hx").groupBy(by, label, "hole_ring").agg(F.max_by("around", "sx").alias("around"))
-    key = lambda c: F.xxhash64(F.col(by), F.col(label), F.col(c))
-    roots = components(around.select(key("hole_ring").alias("a"), key("around").alias("b")), "a", "b")
-    known = found.withColumn("_k", key("ring")).join(roots.withColumnRenamed("node", "_k"), "_k", "left").withColumn("_c", F.coalesce("root", "_k"))
-    outer = known.where("area > 0").select("_c", F.col("ring").alias("part"))
-    return known.join(outer, "_c").select(
-        by, label, "part", "ring", (F.col("area") < 0).alias("hole"), "area", "sides", F.transform("corners", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("corners")
-    )
+    lost = both.where("part IS NULL").select(by, label, "ring", "west.*")
+    runs = found.select(by, label, F.col("bc").alias("rc"), F.coalesce("part", "first").alias("head"), F.explode("runs").alias("wy"))
+    beyond = lost.where("held IS NULL").join(runs, [by, label, "wy"]).where("rc < bc").groupBy(by, label, "ring").agg(F.max_by("head", "rc").alias("held"))
+    hooks = lost.where("held IS NOT NULL").select(by, label, "ring", "held").unionByName(beyond).withColumnRenamed("ring", "child")
+    hooks = hooks.join(own.select(by, label, F.col("first").alias("held"), "ring"), [by, label, "held"], "left").select(by, label, "child", F.coalesce("ring", "held").alias("parent"))
+    parts = followed(hooks, by, label).select(by, label, F.col("child").alias("ring"), F.col("parent").alias("part"))
+    known = both.where("part IS NOT NULL").drop("west").unionByName(both.where("part IS NULL").drop("west", "part").join(parts, [by, label, "ring"]))
+    at = lambda v: F.struct((F.shiftright(v, 2).bitwiseAND((1 << 31) - 1) - HALF).cast("double").alias("x"), (F.shiftright(v, 33) - HALF).cast("double").alias("y"))
+    return known.select(by, label, "part", "ring", (F.col("area") < 0).alias("hole"), "area", "sides", F.transform("corners", at).alias("corners"))
 
 
 def shapes(found: DataFrame, label: str, by: str = "dataset_id", size: float = 1.0) -> DataFrame:
