@@ -237,3 +237,18 @@ def test_first_come_labels_equal_a_pass_in_order(spark):
                 for d in mine:
                     want.setdefault(d[1], (tx, ty, label))
     assert got == want and len(set(want.values())) > 20
+
+
+def test_overlap_of_crowds(spark):
+    """Upright and slanting shapes in one place: each is sent once for a crowd it meets, and all pairs have the area of the pairwise sweep."""
+    r = random.Random(5)
+    cells = cell_table(spark, {k: "/".join("".join(r.choice("#..") for _ in range(14)) for _ in range(9)) for k in range(1, 31)})
+    upright = [(x.dataset_id, x.id, x.rings, x.area) for x in polygons.shapes(polygons.rings(cells, "label"), "label").collect()]
+    shapes = [*upright, *((1, i, [star(r, r.uniform(0, 40), 5.0)], 1.0) for i in range(40, 46)), (1, 50, [[{"x": 30.5, "y": 0.25}, {"x": 33.0, "y": 0.25}, {"x": 33.0, "y": 9.5}, {"x": 30.5, "y": 9.5}]], 23.125)]
+    t = spark.createDataFrame(shapes, f"dataset_id int, id long, rings {polygons.RINGS}, area double").cache()
+    drawn = {x.id: polygons.edges([[c.asDict() for c in g] for g in x.rings]) for x in t.collect()}
+    want = {(a, b): w for a, p in drawn.items() for b, q in drawn.items() if (w := polygons.shared_area(p, q)) > 1e-9}
+    for crowd in (4, 512):
+        got = {(x.a, x.b): x.shared_area for x in polygons.overlaps(t, t, 16.0, crowd=crowd).where("shared_area > 1e-9").collect()}
+        assert got == pytest.approx(want)
+    assert max(len(side.where("id < 40").collect()) for side in polygons.meeting(t.where("id < 40"), t.where("id < 40"), 16.0)) == 30

@@ -244,29 +244,105 @@ def boxed(found: DataFrame) -> DataFrame:
     return found.withColumns({n: f(corners[axis]) for n, (axis, f) in ends.items()})
 
 
-def meeting(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id") -> DataFrame:
-    """Pairs (by, a, b) of shapes whose boxes overlap, as structs; an equi-join on buckets of ``size``.
+def meeting(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", crowd: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Both sides' shapes with the pairs of crowds (by, ca, cb) in which they may meet, each pair of shapes in one of them.
 
-    A pair that shares several buckets is taken in the one that holds the corner where its boxes' overlap begins.
+    A crowd is up to about ``crowd`` shapes of one side whose boxes begin in the same bucket of ``size``. Crowds are
+    joined where their own boxes overlap, on buckets again, and a shape is sent once for each crowd that its own meets:
+    not once for each shape, as it would be where many lie in one place.
     """
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
-    dealt = lambda t, n: boxed(t).withColumn("_bx", span("left", "right")).withColumn("_by", span("bottom", "top")).select(by, "_bx", "_by", F.struct("id", "rings", "area", "left", "bottom", "right", "top").alias(n))
-    begins = lambda lo: F.floor(F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")) / size)
-    met = dealt(a, "a").join(dealt(b, "b"), [by, "_bx", "_by"]).where((F.col("_bx") == begins("left")) & (F.col("_by") == begins("bottom")))
-    return met.where("a.left < b.right AND b.left < a.right AND a.bottom < b.top AND b.bottom < a.top").select(by, "a", "b")
+    ends = ("left", "bottom", "right", "top")
+    begin = lambda c: F.floor(F.col(c) / size)
+    at = [by, "_bx", "_by"]
+
+    def crowds(t: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        placed_ = boxed(t).where("left IS NOT NULL").withColumn("_bx", begin("left")).withColumn("_by", begin("bottom"))
+        n = placed_.groupBy(*at).agg(F.count("*").alias("_n"))
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / crowd)).alias("_k")
+        own = placed_.join(n, at).select("*", F.struct("_bx", "_by", part).alias(name)).drop("_bx", "_by", "_n")
+        box = own.groupBy(by, name).agg(*(f(c).alias(c) for c, f in zip(ends, (F.min, F.min, F.max, F.max), strict=True)))
+        span = lambda lo, hi: F.explode(F.sequence(begin(lo), begin(hi)))
+        return own, box.withColumn("_bx", span("left", "right")).withColumn("_by", span("bottom", "top")).select(*at, name, F.struct(*ends).alias(f"_{name}"))
+
+    (la, ba), (lb, bb) = crowds(a, "ca"), crowds(b, "cb")
+    met = cut(ba.join(bb, at).where("_ca.left < _cb.right AND _cb.left < _ca.right AND _ca.bottom < _cb.top AND _cb.bottom < _ca.top").select(by, "ca", "cb").distinct())
+    return la.join(met, [by, "ca"]), lb.join(met, [by, "cb"])
+
+
+class Drawn:
+    """The shapes of an Arrow table as arrays: ``sides`` (as of ``edges``, of all shapes), the shape each is ``of``, boxes, and which shapes have upright sides only."""
+
+    def __init__(self, t: pa.Table) -> None:
+        rings_ = t.column("rings").combine_chunks()
+        rings_ = rings_.chunk(0) if isinstance(rings_, pa.ChunkedArray) else rings_
+        outer, inner = rings_.offsets.to_numpy(), rings_.values.offsets.to_numpy()
+        x, y = (rings_.values.values.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+        size = np.diff(inner)
+        after = np.arange(1, len(x) + 1)
+        after[inner[1:][size > 0] - 1] = inner[:-1][size > 0]
+        n = len(t)
+        of_ring = np.full(len(size), -1)
+        of_ring[outer[0] : outer[-1]] = np.repeat(np.arange(n), np.diff(outer))
+        at = np.arange(inner[0], inner[-1])
+        of = np.repeat(of_ring, size)
+        kept = (of >= 0) & np.repeat(size > 2, size) & (y[at] != y[after[at]])
+        at, of = at[kept], of[kept]
+        order = np.argsort(of, kind="stable")
+        at, self.of = at[order], of[order]
+        self.sides = np.stack([x[at], y[at], x[after[at]], y[after[at]]], axis=1)
+        self.first = np.searchsorted(self.of, np.arange(n + 1))
+        self.upright = np.bincount(self.of, self.sides[:, 0] != self.sides[:, 2], n) == 0
+        self.left, self.bottom, self.right, self.top = (t.column(c).to_numpy() for c in ("left", "bottom", "right", "top"))
+
+    def shape(self, i: int) -> np.ndarray:
+        return self.sides[self.first[i] : self.first[i + 1]]
+
+    def standing(self) -> tuple[np.ndarray, ...]:
+        """x, lower and upper end, and shape of the sides of the shapes with upright sides only."""
+        s, of = self.sides[self.upright[self.of]], self.of[self.upright[self.of]]
+        return s[:, 0], np.minimum(s[:, 1], s[:, 3]), np.maximum(s[:, 1], s[:, 3]), of
+
+
+def upright_areas(a: Drawn, b: Drawn) -> np.ndarray:
+    """Shared area of every shape of ``a`` with every one of ``b`` that has upright sides only: products of their widths between all levels."""
+    out = np.zeros((len(a.left), len(b.left)))
+    both = a.standing(), b.standing()
+    levels = np.unique(np.concatenate([v for t in both for v in t[1:3]]))
+    for low, high in zip(levels[:-1], levels[1:]):
+        cut_ = [(t[0][on], t[3][on]) for t in both for on in [(t[1] <= low) & (t[2] >= high)]]
+        if not all(len(x) for x, _ in cut_):
+            continue
+        xs = np.unique(np.concatenate([x for x, _ in cut_]))
+        covers = []
+        for x, of in cut_:
+            shapes_, row = np.unique(of, return_inverse=True)
+            met = np.bincount(row * len(xs) + np.searchsorted(xs, x), minlength=len(shapes_) * len(xs)).reshape(len(shapes_), len(xs))
+            covers.append((shapes_, (np.cumsum(met, axis=1)[:, :-1] % 2).astype(float)))
+        (i, p), (j, q) = covers
+        out[np.ix_(i, j)] += (p * np.diff(xs)) @ q.T * (high - low)
+    return out
 
 
-def overlaps(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id") -> DataFrame:
-    """(by, a, b, shared_area, iou, containment) of all shapes (by, id, rings, area) that share area; exact up to rounding."""
-    kinds = dict(a.dtypes), dict(b.dtypes)
-    pairs = meeting(a, b, size, by).select(by, F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.rings").alias("ra"), F.col("b.rings").alias("rb"), F.col("a.area").alias("aa"), F.col("b.area").alias("ab"))
+def overlaps(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", crowd: int = 512) -> DataFrame:
+    """(by, a, b, shared_area, iou, containment) of all shapes (by, id, rings, area) that share area; exact up to rounding.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared = [shared_area(edges(p), edges(q)) for p, q in zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (by, "a", "b", "aa", "ab")), pa.array(shared, pa.float64())], [by, "a", "b", "aa", "ab", "shared_area"])
-
-    found = pairs.mapInArrow(run, f"{by} {kinds[0][by]}, a {kinds[0]['id']}, b {kinds[1]['id']}, aa double, ab double, shared_area double").where("shared_area > 0")
+    Shapes with upright and level sides only are compared all at once in each pair of crowds, others pair by pair.
+    """
+    kinds = dict(a.dtypes), dict(b.dtypes)
+    left, right = meeting(a, b, size, by, crowd)
+
+    def run(s: pa.Table, t: pa.Table) -> pa.Table:
+        p, q = Drawn(s), Drawn(t)
+        shared = upright_areas(p, q)
+        near = (p.left[:, None] < q.right) & (q.left < p.right[:, None]) & (p.bottom[:, None] < q.top) & (q.bottom < p.top[:, None])
+        for i, j in zip(*np.nonzero(near & ~(p.upright[:, None] & q.upright))):
+            shared[i, j] = shared_area(p.shape(i), q.shape(j))
+        i, j = np.nonzero(shared > 0)
+        return pa.table([s.column(by).take(pa.array(i)), s.column("id").take(pa.array(i)), t.column("id").take(pa.array(j)), s.column("area").take(pa.array(i)), t.column("area").take(pa.array(j)), pa.array(shared[i, j])], names=[by, "a", "b", "aa", "ab", "shared_area"])
+
+    keys, used = [by, "ca", "cb"], [by, "ca", "cb", "id", "rings", "area", "left", "bottom", "right", "top"]
+    double = lambda t: t.select(*((F.col(c).cast("double") if c == "area" else F.col(c)).alias(c) for c in used))
+    found = double(left).groupBy(*keys).cogroup(double(right).groupBy(*keys)).applyInArrow(run, f"{by} {kinds[0][by]}, a {kinds[0]['id']}, b {kinds[1]['id']}, aa double, ab double, shared_area double")
     s = F.col("shared_area")
     return found.select(by, "a", "b", "shared_area", (s / (F.col("aa") + F.col("ab") - s)).alias("iou"), (s / F.least("aa", "ab")).alias("containment"))
 
