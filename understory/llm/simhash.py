@@ -174,9 +174,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(placed.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def near_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, root): components of texts by their hash, linked by fingerprints within reach or by similarity of shingles.
+
+    Texts of one fingerprint hang on the least of them, and that one stands for the fingerprint in the links. A null
+    text is as an empty one; texts without a word have fingerprint zero, like those of ``similar_texts``.
+    """
+    lines = docs.select(F.coalesce(text, F.lit("")).alias("line")).select(F.xxhash64("line").alias("class"), "line")
+    prints = cut(fingerprints(lines, "class", "line").select(F.col("doc_id").alias("class"), "fp").distinct())
+    least = cut(prints.groupBy("fp").agg(F.min("class").alias("least")))
+    same = prints.join(least, "fp").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    end = lambda k: least.select(F.col("fp").alias(k), F.col("least").alias(f"_{k}"))
+    within = linked(least.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    alike = similar_texts(docs, text).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(same.union(within).union(alike), "a", "b")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, with all its columns.
 
+    Near copies are texts whose fingerprints differ in two bits at most, or whose shingles are similar (``similar``).
+
     Rows go by id and text, so a repeated or null id does not join or drop rows of different groups; a null id stays
     only where its group has no other. The texts are shuffled once, to meet the rows that stay.
     """
@@ -185,7 +203,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     counts = docs.select("doc_id", row.alias("class")).groupBy("class", "doc_id").agg(F.count("*").alias("n"))
     least = lambda *more: F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *more))
     classes = counts.groupBy("class").agg(least("n").alias("_f")).select("class", "_f.doc_id", "_f.n")
-    placed = classes.join(similar_texts(docs), classes["class"] == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    placed = classes.join(near_texts(docs), classes["class"] == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     stays = cut(placed.groupBy("root").agg(least("class", "n").alias("_f")).select(F.col("_f.doc_id").alias("_id"), F.col("_f.class").alias("_class"), F.col("_f.n").alias("_count")))
     met = F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("_class"))
     once = docs.join(stays.where("_count = 1").hint("shuffle_hash"), met, "left_semi")
