@@ -180,12 +180,18 @@ def mirrored(raster: DataFrame, radius: int, by: str = "dataset_id") -> DataFram
     return raster
 
 
+def lowest(points: DataFrame, size: float, by: str = "dataset_id") -> DataFrame:
+    """(by, row, col, dtm): the lowest point of each cell."""
+    return cells(points, size).groupBy(by, "row", "col").agg(F.min("z").alias("dtm"))
+
+
 def envelope(points: DataFrame, size: float, by: str = "dataset_id") -> DataFrame:
-    """(by, row, col, dtm): the lower envelope of plots without ground, over their whole grids.
+    """(by, row, col, dtm): the lower envelope of plots without ground, over their whole grids."""
+    return enveloped(lowest(points, size, by), by)
 
-    Lowest points, holes filled from the nearest cell, least of five by five, median of nine by nine.
-    """
-    low = cells(points, size).groupBy(by, "row", "col").agg(F.min("z").alias("dtm"))
+
+def enveloped(low: DataFrame, by: str = "dataset_id") -> DataFrame:
+    """The envelope over the ``lowest`` points: holes filled from the nearest cell, least of five by five, median of nine by nine."""
     box = low.groupBy(by).agg(*(f(c).alias(f"_{c}{i}") for c in ("row", "col") for i, f in ((0, F.min), (1, F.max))))
     grid = box.withColumn("row", F.explode(F.sequence("_row0", "_row1"))).withColumn("col", F.explode(F.sequence("_col0", "_col1"))).select(by, "row", "col")
     full = low.unionByName(fill_nearest(grid.join(low, [by, "row", "col"], "left_anti"), low, "dtm", by))
@@ -205,10 +211,11 @@ def ground(points: DataFrame, size: float, zero_first: bool = False, low: float
     stats = points.groupBy(by).agg(F.bool_or(is_ground).alias("_g"), F.min("z").alias("_z"))
     flat, has = F.when(F.col("_z") <= low, "zero"), F.when(F.col("_g"), "class2")
     kind = cut(stats.select(by, F.coalesce(*((flat, has) if zero_first else (has, flat)), F.lit("envelope")).alias("method")))
-    own = cut(cells(points, size).select(by, "row", "col").distinct().join(kind, by))
-    known = terrain(points.join(kind.where("method = 'class2'"), by, "left_semi"), size, by, ground_class)
+    low_ = cut(lowest(points, size, by))  # cells, not points, meet the methods
+    own = cut(low_.select(by, "row", "col").join(kind, by))
+    known = cut(terrain(points, size, by, ground_class).join(kind.where("method = 'class2'"), by, "left_semi"))
     asked = own.where("method = 'class2'").join(known, [by, "row", "col"], "left_anti")
     filled = known.unionByName(fill_nearest(asked, known, "dtm", by))
-    under = envelope(points.join(kind.where("method = 'envelope'"), by, "left_semi"), size, by)
+    under = enveloped(low_.join(kind.where("method = 'envelope'"), by, "left_semi"), by)
     found = own.join(filled.unionByName(under), [by, "row", "col"], "left")
     return found.select(by, "row", "col", F.when(F.col("method") == "zero", 0.0).otherwise(F.col("dtm")).alias("dtm"), "method")
