@@ -386,9 +386,14 @@ def detector_scene(spark, d):
     b = p.where("pred > 0").groupBy("dataset_id", "pred").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").cast("double").alias("bottom"), F.max("y").cast("double").alias("top"))
     b = b.withColumn("tile_x", F.floor((F.col("left") + F.col("right")) / 2 / 25)).withColumn("tile_y", F.floor((F.col("bottom") + F.col("top")) / 2 / 25))
     m = raster.rasters(p, 1.0).where("chm IS NOT NULL").select("dataset_id", "row", "col", "chm", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
-    found = spatial.in_boxes(m, b, 16.0)
     best = F.max_by(F.struct("row", "col", "chm"), F.struct("chm", -F.col("row"), -F.col("col"))).alias("_b")
-    return found.groupBy("dataset_id", "pred").agg(F.first("tile_x").alias("tile_x"), F.first("tile_y").alias("tile_y"), best).select("dataset_id", "pred", "tile_x", "tile_y", F.col("_b.row").alias("top_row"), F.col("_b.col").alias("top_col"), F.col("_b.chm").alias("height"))
+    # boxes that hold the same cells have the same top: it is looked for once, and there are no more of them than pairs of cells
+    edges = ("left", "right", "bottom", "top")
+    b = b.withColumns({f"_{e}": F.ceil(F.col(e) - 0.5) for e in edges})
+    alike = b.select("dataset_id", *(F.col(f"_{e}").cast("double").alias(e) for e in edges)).distinct()
+    found = spatial.in_boxes(m.withColumns({"x": F.col("col").cast("double"), "y": F.col("row").cast("double")}), alike, 16.0).groupBy("dataset_id", *edges).agg(best)
+    tops = found.select("dataset_id", *(F.col(e).cast("bigint").alias(f"_{e}") for e in edges), "_b")
+    return b.join(tops, ["dataset_id", *(f"_{e}" for e in edges)]).select("dataset_id", "pred", "tile_x", "tile_y", F.col("_b.row").alias("top_row"), F.col("_b.col").alias("top_col"), F.col("_b.chm").alias("height"))
 
 
 @query("""WITH r AS (SELECT user_id % 5 AS machine, event_type, "value" AS seconds, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS k FROM events), a AS (SELECT machine, k % 2 AS turn, count(*) AS n, avg(seconds) AS mean, stddev_samp(seconds) AS sd, min(seconds) AS fastest FROM r GROUP BY ALL)
