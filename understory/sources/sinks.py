@@ -145,24 +145,33 @@ def copy_without(collections: DataFrame, parts: DataFrame, links: DataFrame, key
     return left, own, links.join(own, part_key, "left_semi")
 
 
-def binary_files(df: DataFrame, path: str, encode: Callable[[pa.Table], bytes], suffix: str) -> DataFrame:
-    """(file, n): one file a partition, made of the partition's rows by ``encode``; ``path`` is a folder that executors mount.
+def binary_files(df: DataFrame, path: str, encode: Callable[[pa.Table], bytes], suffix: str, most: int = 1 << 20) -> DataFrame:
+    """(file, n): a file for each ``most`` rows of a partition, or one, made by ``encode``; ``path`` is a folder that executors mount.
 
     A file is renamed into place when it is whole, so a task that runs again leaves no half file. A path in another
-    file system is an error. A partition is one file, so a task holds it: repartition to files of the wanted size.
+    file system is an error. A task holds the rows of one file, however large its partition is.
     """
     folder = mounted(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        n = sum(b.num_rows for b in held)
-        if n:
+        def whole(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
             os.makedirs(folder, exist_ok=True)
-            name = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}{suffix}")
+            name = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}{f'-{k}' if k else ''}{suffix}")
             with open(f"{name}.{uuid.uuid4().hex}", "wb") as f:
                 f.write(encode(pa.Table.from_batches(held)))
             os.replace(f.name, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(b.num_rows for b in held)], pa.int64())], ["file", "n"])
+
+        held, n, k = [], 0, 0
+        for batch in batches:
+            while n + batch.num_rows >= most:
+                yield whole([*held, batch.slice(0, most - n)], k)
+                batch, held, n, k = batch.slice(most - n), [], 0, k + 1
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if n:
+            yield whole(held, k)
 
     return df.mapInArrow(run, "file string, n bigint")
 
