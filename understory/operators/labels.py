@@ -37,7 +37,9 @@ def without_cut_instances(points: DataFrame, label: str, box: tuple[float, float
     left, bottom, right, top = box
     edge = points.where(F.col(label) > 0).groupBy(by, label).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("e"))
     out = edge.where((F.col("a") <= left + margin) | (F.col("b") >= right - margin) | (F.col("c") <= bottom + margin) | (F.col("e") >= top - margin)).select(by, label, F.lit(True).alias("_cut"))
-    return points.join(out, [by, label], "left").withColumn(label, F.when(F.col("_cut"), -1).otherwise(F.col(label))).drop("_cut")
+    # background and unknown points are no instance: as one key each they would be one task's
+    held = points.where(F.col(label) > 0).join(out, [by, label], "left").withColumn(label, F.when(F.col("_cut"), -1).otherwise(F.col(label))).select(*points.columns)
+    return held.unionByName(points.where(F.coalesce(F.col(label) <= 0, F.lit(True))))
 
 
 def majority(points: DataFrame, group: str, label: str = "truth") -> DataFrame:
