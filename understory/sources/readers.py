@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -77,8 +79,8 @@ def binary_points(spark: SparkSession, path: str, layout: str = "<3d2Id", names:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                raw = data.as_py()
-                rows = np.frombuffer(raw[: len(raw) // width * width], dtype)
+                raw = data.as_buffer()
+                rows = np.frombuffer(raw, dtype, len(raw) // width)
                 for at in range(0, len(rows), 100_000):
                     part = rows[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part[n].astype("f8" if k in "df" else "i8")) for n, k in zip(names, kinds, strict=True)], list(names))
@@ -104,8 +106,20 @@ def records(spark: SparkSession, glob: str, schema: str | None = None) -> DataFr
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files, read piece by piece where the folder is mounted; elsewhere whole, up to 2 GB each."""
+    files = spark.read.format("binaryFile").load(path)
+    if re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:", path) or not files.where(~F.col("path").rlike("^(file:|/)")).isEmpty():
+        return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for name in batch.column(0).to_pylist():
+                with open(mounted(name), "rb") as f:
+                    sums.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], ["path", "length", "sha256"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, length bigint, sha256 string")
 
 
 def same_stems(spark: SparkSession, left: str, right: str, pattern: str = r"([^/]+?)(?:\.[^./]*)?$", only: Sequence[str] | None = None) -> DataFrame:
