@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import cut
 from ..operators import crowns, masks, raster, scorer
 from ..operators.spatial import near_own_group
 from ..sources import views
@@ -28,12 +29,14 @@ def support_families(spark, d):
     """Points that support fusion recovers near their anchor, of those the ones inside its hull, and the ones that vote for its middle."""
     mp, m = tables(spark, d)
     anchors = views.points(spark, d).where("truth > 0 AND y <= 30").select("pid", F.col("truth").alias("label"), "x", "y", "z", F.col("x").alias("vx"), F.col("y").alias("vy"))
-    ranked = masks.candidates(mp, m, 0.1, 0.6, 12).select("mask_id", "n", "object_score", "ranking")
+    ranked = cut(masks.candidates(mp, m, 0.1, 0.6, 12).select("mask_id", "n", "object_score", "ranking"))
     offered = mp.where("score >= 0.6").withColumns({"vx": F.col("x"), "vy": F.col("y")})
     families = {"boundary": lambda q: q, "interior": lambda q: masks.inside_hull(q, anchors), "vote": lambda q: masks.voting_near(q, anchors, 20.0)}
+    won = masks.leanings(anchors, ranked, offered)
+    close = cut(near_own_group(masks.offers(anchors, won, offered, probability=0.6), anchors, 4.0, "label"))  # every family is a part of these
     out = None
     for name, only in families.items():
-        got = masks.fuse_support(anchors, ranked, offered, lambda q, only=only: near_own_group(only(q), anchors, 4.0, "label"), probability=0.6).withColumn("family", F.lit(name))
+        got = masks.awarded(only(close)).withColumn("family", F.lit(name))
         out = got if out is None else out.unionByName(got)
     return rounded(nudged(out.select("family", "pid", "label", "offer"), "offer"))
 
@@ -68,7 +71,7 @@ def verified(spark, d):
     """Fused proposals with features, target and whether they are of the part that is fitted; and the model."""
     fused, members = reconciled(spark, d)
     sizes = views.points(spark, d).where("truth > 0").groupBy("truth").agg(F.count("*").alias("size"))
-    x = masks.features(fused, members).join(masks.targets(fused, sizes).select("group", "target"), "group").withColumn("fit", F.col("group") % 3 != 0)
+    x = cut(masks.features(fused, members).join(masks.targets(fused, sizes).select("group", "target"), "group").withColumn("fit", F.col("group") % 3 != 0))  # a row a proposal
     return x, scorer.fitted(x.where("fit"), NAMES)
 
 
