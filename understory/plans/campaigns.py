@@ -179,8 +179,10 @@ def support_ablation(spark, d):
     mp, m = tables(spark, d)
     p = views.points(spark, d)
     anchors = p.where("truth > 0 AND y <= 30").select("pid", F.col("truth").alias("label"), "x", "y", "z")
-    ranked = masks.candidates(mp, m, 0.1, 0.6, 12).select("mask_id", "n", "object_score", "ranking")
-    fuse = lambda dominance, radius: masks.fuse_support(anchors, ranked, mp.where("score >= 0.6"), lambda q: spatial.near_own_group(q, anchors, radius, "label"), dominance=dominance, probability=0.6).select("pid", "label")
+    ranked = cut(masks.candidates(mp, m, 0.1, 0.6, 12).select("mask_id", "n", "object_score", "ranking"))
+    offered = mp.where("score >= 0.6")
+    won = masks.leanings(anchors, ranked, offered)
+    fuse = lambda dominance, radius: masks.awarded(spatial.near_own_group(masks.offers(anchors, won, offered, dominance, probability=0.6), anchors, radius, "label")).select("pid", "label")
     own = p.join(anchors.select("pid", F.col("label").alias("a")), "pid", "left")
     for name, how in (("b", (0.8, 4.0)), ("c", (0.6, 2.0))):
         own = own.join(fuse(*how).withColumnRenamed("label", name), "pid", "left")
@@ -210,14 +212,26 @@ def recall_audit(spark, d):
     """Truths that fused masks reach at half an IoU, under three guards on the ratio of sizes."""
     sizes = views.points(spark, d).where("truth > 0").groupBy("truth").agg(F.count("*").alias("size"))
     truths = sizes.agg(F.count("*").alias("truths"))
-    out = None
-    for guard in GUARDS:
-        fused, members = masks.reconcile(*tables(spark, d), mask_threshold=0.6, distance=8.0, size_ratio=guard)
-        known = fused.groupBy("group").agg(F.count_if(F.expr("truth >= 0")).alias("known"))
-        hit = fused.where("truth > 0").groupBy("group", "truth").agg(F.count("*").alias("c")).join(sizes, "truth").join(known, "group").where(F.col("c") / (F.col("known") + F.col("size") - F.col("c")) >= 0.5)
-        row = hit.agg(F.count_distinct("truth").alias("reached")).join(truths).join(members.agg(F.count_distinct("group").alias("proposals"))).withColumn("guard", F.lit(guard))
-        out = row if out is None else out.unionByName(row)
-    return out.select("guard", "reached", "truths", "proposals")
+    mp, m = tables(spark, d)
+    kept = mp.where("score >= 0.6")
+    nodes = cut(masks.candidates(mp, m, 0.1, 0.6, 8, 1.5))
+    pairs = cut(masks.overlaps(kept))
+    held = None
+    for i, guard in enumerate(GUARDS):
+        one = masks.grouped(nodes, masks.links(pairs, nodes, distance=8.0, size_ratio=guard)).withColumn("guard", F.lit(i))
+        held = one if held is None else held.unionByName(one)
+    # a group that several guards give is fused once, under the id of its masks
+    whole = cut(held.groupBy("guard", "group").agg(F.sort_array(F.collect_list("mask_id")).alias("masks")))
+    alike = cut(whole.groupBy("masks").agg(F.collect_list("guard").alias("guards")).withColumn("group", F.monotonically_increasing_id()))
+    members = alike.select("group", F.explode("masks").alias("mask_id")).join(nodes.select("mask_id", "n"), "mask_id")
+    counts = cut(masks.fused_points(kept, members).groupBy("group", "truth").agg(F.count("*").alias("c")))
+    known = counts.groupBy("group").agg(F.sum(F.when(F.expr("truth >= 0"), F.col("c")).otherwise(0)).alias("known"))
+    hit = counts.where("truth > 0").join(sizes, "truth").join(known, "group").where(F.col("c") / (F.col("known") + F.col("size") - F.col("c")) >= 0.5)
+    reached = hit.join(alike.select("group", F.explode("guards").alias("i")), "group").groupBy("i").agg(F.count_distinct("truth").alias("reached"))
+    proposals = whole.groupBy(F.col("guard").alias("i")).agg(F.count("*").alias("proposals"))
+    guards = spark.createDataFrame(list(enumerate(GUARDS)), "i int, guard double")
+    out = guards.join(reached, "i", "left").join(proposals, "i", "left").join(F.broadcast(truths))
+    return out.select("guard", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("reached", "truths", "proposals")))
 
 
 VERIFIED = FUSED + """, sz AS (SELECT truth, count(*) AS size FROM points WHERE truth > 0 GROUP BY 1), g AS (SELECT grp, any_value(pid) AS any_pid, count(*) AS n, max(z) AS top, avg(score) AS mean, count(*) FILTER (truth >= 0) AS known FROM fused GROUP BY 1),
@@ -234,7 +248,7 @@ def verifier_sweep(spark, d):
     fused, members = reconciled(spark, d)
     sizes = views.points(spark, d).where("truth > 0").groupBy("truth").agg(F.count("*").alias("size"))
     f = masks.features(fused, members).select("group", F.col("log_points").alias("f1"), F.col("max_height").alias("f2"), F.col("mean_mask").alias("f3"), F.col("max_object").alias("f4"))
-    x = f.join(masks.targets(fused, sizes).select("group", "target"), "group").withColumn("fit", F.col("group") % 3 != 0)
+    x = cut(f.join(masks.targets(fused, sizes).select("group", "target"), "group").withColumn("fit", F.col("group") % 3 != 0))  # a row a proposal
     fit = [g.alias(n + str(i)) for i in range(1, 5) for n, g in (("m", F.avg(F.when(F.col("fit"), F.col(f"f{i}")))), ("s", F.greatest(F.stddev_pop(F.when(F.col("fit"), F.col(f"f{i}"))), F.lit(1e-6))))]
     clipped = [F.least(F.greatest((F.col(f"f{i}") - F.col(f"m{i}")) / F.col(f"s{i}"), F.lit(-5.0)), F.lit(5.0)) for i in range(1, 5)]
     scored = x.join(F.broadcast(x.agg(*fit))).withColumn("score", logistic(sum(clipped[1:], clipped[0]) / 4)).where("NOT fit AND target >= 0")
