@@ -59,3 +59,25 @@ def test_few_footprints_of_a_place_are_paired(spark):
         for j in at[1][(at[1][:, 1] == t) & (at[1][:, 2] == p)][:, 0]:
             want[i, j] += 1
     assert (kernels.shared_cells(a, b, (400, 300), 300) == want).all()
+
+
+def test_shapes_are_sent_as_few_bytes(spark, monkeypatch):
+    """A shape of many corners takes a few bytes a corner where it is sent to each crowd it meets, and its areas are those of its sides."""
+    import numpy as np
+
+    from understory.operators import polygons
+
+    r = random.Random(4)
+    cells = spark.createDataFrame([(1, k, y, x) for k in range(1, 5) for y in range(40) for x in range(60) if r.random() < 0.2], "dataset_id int, label long, row long, col long")
+    shapes = polygons.shapes(polygons.rings(cells, "label"), "label")
+    held = {x.id: x.rings for x in shapes.collect()}
+    sent = polygons.drawn(shapes).toArrow()
+    assert set(sent.column("id").to_pylist()) == set(held)
+    p = polygons.Drawn(sent)
+    for i, (name, packed) in enumerate(zip(sent.column("id").to_pylist(), sent.column("sides").to_pylist(), strict=True)):
+        assert len(packed) < 5 * sum(map(len, held[name]))
+        assert (p.shape(i) == polygons.edges([[c.asDict() for c in g] for g in held[name]])).all()
+    whole = polygons.upright_areas(p, p)
+    monkeypatch.setattr(polygons, "WIDE", 7)
+    assert np.allclose(polygons.upright_areas(p, p), whole) and np.allclose(np.diag(whole), sent.column("area").to_numpy())
+    assert len(polygons.Drawn(sent.slice(0, 0)).left) == 0

@@ -9,6 +9,7 @@ as many rounds as the number of pieces of the longest ring has binary digits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.checkpoint import cut
 from .greedy import followed
+from .grid import small
 
+WIDE = 4096  # widths between upright sides that are compared at once
 BLOCK = 128  # cells on a side of a block whose paths are followed in one group
 HALF = 1 << 28  # places are packed as if they began at -HALF
 STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))  # east, north, west, south
@@ -244,7 +247,23 @@ def boxed(found: DataFrame) -> DataFrame:
     return found.withColumns({n: f(corners[axis]) for n, (axis, f) in ends.items()})
 
 
-def meeting(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", crowd: int = 512) -> tuple[DataFrame, DataFrame]:
+def drawn(found: DataFrame, by: str = "dataset_id") -> DataFrame:
+    """(by, id, area, left, bottom, right, top, sides) of shapes with corners: their sides as compressed numbers, as they are sent more than once."""
+    kind = dict(found.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            sides, of = ring_sides(t.column("rings"))
+            first = np.searchsorted(of, np.arange(len(t) + 1))
+            thin = pa.array([zlib.compress(np.ascontiguousarray(sides[i:j].T).tobytes(), 1) for i, j in zip(first[:-1], first[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (by, "id", "area", "left", "bottom", "right", "top")), thin], names=[by, "id", "area", "left", "bottom", "right", "top", "sides"])
+
+    boxes = boxed(found).where("left IS NOT NULL").withColumn("area", F.col("area").cast("double"))
+    return boxes.mapInArrow(run, f"{by} {kind[by]}, id {kind['id']}, area double, left double, bottom double, right double, top double, sides binary")
+
+
+def meeting(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", crowd: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Both sides' shapes with the pairs of crowds (by, ca, cb) in which they may meet, each pair of shapes in one of them.
 
     A crowd is up to about ``crowd`` shapes of one side whose boxes begin in the same bucket of ``size``. Crowds are
@@ -256,8 +275,9 @@ def meeting(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", cro
     at = [by, "_bx", "_by"]
 
     def crowds(t: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        placed_ = boxed(t).where("left IS NOT NULL").withColumn("_bx", begin("left")).withColumn("_by", begin("bottom"))
-        n = placed_.groupBy(*at).agg(F.count("*").alias("_n"))
+        boxes = t if "left" in t.columns else boxed(t).where("left IS NOT NULL")
+        placed_ = boxes.withColumn("_bx", begin("left")).withColumn("_by", begin("bottom"))
+        n = small(placed_.groupBy(*at).agg(F.count("*").alias("_n")))
         part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / crowd)).alias("_k")
         own = placed_.join(n, at).select("*", F.struct("_bx", "_by", part).alias(name)).drop("_bx", "_by", "_n")
         box = own.groupBy(by, name).agg(*(f(c).alias(c) for c, f in zip(ends, (F.min, F.min, F.max, F.max), strict=True)))
@@ -265,31 +285,38 @@ def meeting(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", cro
         return own, box.withColumn("_bx", span("left", "right")).withColumn("_by", span("bottom", "top")).select(*at, name, F.struct(*ends).alias(f"_{name}"))
 
     (la, ba), (lb, bb) = crowds(a, "ca"), crowds(b, "cb")
-    met = cut(ba.join(bb, at).where("_ca.left < _cb.right AND _cb.left < _ca.right AND _ca.bottom < _cb.top AND _cb.bottom < _ca.top").select(by, "ca", "cb").distinct())
+    met = small(ba.join(bb, at).where("_ca.left < _cb.right AND _cb.left < _ca.right AND _ca.bottom < _cb.top AND _cb.bottom < _ca.top").select(by, "ca", "cb").distinct())
     return la.join(met, [by, "ca"]), lb.join(met, [by, "cb"])
 
 
+def ring_sides(rings_: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x1, y1, x2, y2) of the sides of all shapes' rings, as of ``edges``, in order of the shape each is of, and the places of these."""
+    rings_ = rings_.combine_chunks()
+    rings_ = rings_.chunk(0) if isinstance(rings_, pa.ChunkedArray) else rings_
+    outer, inner = rings_.offsets.to_numpy(), rings_.values.offsets.to_numpy()
+    x, y = (rings_.values.values.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+    size = np.diff(inner)
+    after = np.arange(1, len(x) + 1)
+    after[inner[1:][size > 0] - 1] = inner[:-1][size > 0]
+    of_ring = np.full(len(size), -1)
+    of_ring[outer[0] : outer[-1]] = np.repeat(np.arange(len(rings_)), np.diff(outer))
+    at = np.arange(inner[0], inner[-1])
+    of = np.repeat(of_ring, size)
+    kept = (of >= 0) & np.repeat(size > 2, size) & (y[at] != y[after[at]])
+    at, of = at[kept], of[kept]
+    order = np.argsort(of, kind="stable")
+    at = at[order]
+    return np.stack([x[at], y[at], x[after[at]], y[after[at]]], axis=1), of[order]
+
+
 class Drawn:
-    """The shapes of an Arrow table as arrays: ``sides`` (as of ``edges``, of all shapes), the shape each is ``of``, boxes, and which shapes have upright sides only."""
+    """The shapes of an Arrow table of ``drawn`` ones as arrays: ``sides`` of all, the shape each is ``of``, boxes, and which shapes have upright sides only."""
 
     def __init__(self, t: pa.Table) -> None:
-        rings_ = t.column("rings").combine_chunks()
-        rings_ = rings_.chunk(0) if isinstance(rings_, pa.ChunkedArray) else rings_
-        outer, inner = rings_.offsets.to_numpy(), rings_.values.offsets.to_numpy()
-        x, y = (rings_.values.values.field(c).to_numpy(zero_copy_only=False) for c in "xy")
-        size = np.diff(inner)
-        after = np.arange(1, len(x) + 1)
-        after[inner[1:][size > 0] - 1] = inner[:-1][size > 0]
+        each = [np.frombuffer(zlib.decompress(v.as_py())).reshape(4, -1).T for v in t.column("sides")]
         n = len(t)
-        of_ring = np.full(len(size), -1)
-        of_ring[outer[0] : outer[-1]] = np.repeat(np.arange(n), np.diff(outer))
-        at = np.arange(inner[0], inner[-1])
-        of = np.repeat(of_ring, size)
-        kept = (of >= 0) & np.repeat(size > 2, size) & (y[at] != y[after[at]])
-        at, of = at[kept], of[kept]
-        order = np.argsort(of, kind="stable")
-        at, self.of = at[order], of[order]
-        self.sides = np.stack([x[at], y[at], x[after[at]], y[after[at]]], axis=1)
+        self.sides = np.concatenate([np.zeros((0, 4)), *each])
+        self.of = np.repeat(np.arange(n), [len(e) for e in each])
         self.first = np.searchsorted(self.of, np.arange(n + 1))
         self.upright = np.bincount(self.of, self.sides[:, 0] != self.sides[:, 2], n) == 0
         self.left, self.bottom, self.right, self.top = (t.column(c).to_numpy() for c in ("left", "bottom", "right", "top"))
@@ -313,23 +340,30 @@ def upright_areas(a: Drawn, b: Drawn) -> np.ndarray:
         if not all(len(x) for x, _ in cut_):
             continue
         xs = np.unique(np.concatenate([x for x, _ in cut_]))
-        covers = []
-        for x, of in cut_:
-            shapes_, row = np.unique(of, return_inverse=True)
-            met = np.bincount(row * len(xs) + np.searchsorted(xs, x), minlength=len(shapes_) * len(xs)).reshape(len(shapes_), len(xs))
-            covers.append((shapes_, (np.cumsum(met, axis=1)[:, :-1] % 2).astype(float)))
-        (i, p), (j, q) = covers
-        out[np.ix_(i, j)] += (p * np.diff(xs)) @ q.T * (high - low)
+        shapes_ = [np.unique(of, return_inverse=True) for _, of in cut_]
+        rows = np.ix_(shapes_[0][0], shapes_[1][0])
+        held = [np.zeros((len(u), 1)) for u, _ in shapes_]
+        for k in range(0, len(xs) - 1, WIDE):
+            wide = np.diff(xs[k : k + WIDE + 1])
+            covers = []
+            for side, ((x, _), (u, row)) in enumerate(zip(cut_, shapes_, strict=True)):
+                place = np.searchsorted(xs, x) - k
+                on = (place >= 0) & (place < len(wide))
+                met = np.bincount(row[on] * len(wide) + place[on], minlength=len(u) * len(wide)).reshape(len(u), len(wide))
+                within = (held[side] + np.cumsum(met, axis=1)) % 2
+                held[side] = within[:, -1:]
+                covers.append(within)
+            out[rows] += (covers[0] * wide) @ covers[1].T * (high - low)
     return out
 
 
-def overlaps(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", crowd: int = 512) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", crowd: int = 1024) -> DataFrame:
     """(by, a, b, shared_area, iou, containment) of all shapes (by, id, rings, area) that share area; exact up to rounding.
 
     Shapes with upright and level sides only are compared all at once in each pair of crowds, others pair by pair.
     """
     kinds = dict(a.dtypes), dict(b.dtypes)
-    left, right = meeting(a, b, size, by, crowd)
+    left, right = meeting(cut(drawn(a, by)), cut(drawn(b, by)), size, by, crowd)
 
     def run(s: pa.Table, t: pa.Table) -> pa.Table:
         p, q = Drawn(s), Drawn(t)
@@ -338,11 +372,13 @@ def overlaps(a: DataFrame, b: DataFrame, size: float, by: str = "dataset_id", cr
         for i, j in zip(*np.nonzero(near & ~(p.upright[:, None] & q.upright))):
             shared[i, j] = shared_area(p.shape(i), q.shape(j))
         i, j = np.nonzero(shared > 0)
-        return pa.table([s.column(by).take(pa.array(i)), s.column("id").take(pa.array(i)), t.column("id").take(pa.array(j)), s.column("area").take(pa.array(i)), t.column("area").take(pa.array(j)), pa.array(shared[i, j])], names=[by, "a", "b", "aa", "ab", "shared_area"])
+        t_ = pa.table([s.column(by).take(pa.array(i)), s.column("id").take(pa.array(i)), t.column("id").take(pa.array(j)), s.column("area").take(pa.array(i)), t.column("area").take(pa.array(j)), pa.array(shared[i, j])], names=[by, "a", "b", "aa", "ab", "shared_area"])
+        return pa.concat_tables([t_.slice(k, 100_000) for k in range(0, max(len(t_), 1), 100_000)])  # in batches
 
-    keys, used = [by, "ca", "cb"], [by, "ca", "cb", "id", "rings", "area", "left", "bottom", "right", "top"]
-    double = lambda t: t.select(*((F.col(c).cast("double") if c == "area" else F.col(c)).alias(c) for c in used))
-    found = double(left).groupBy(*keys).cogroup(double(right).groupBy(*keys)).applyInArrow(run, f"{by} {kinds[0][by]}, a {kinds[0]['id']}, b {kinds[1]['id']}, aa double, ab double, shared_area double")
+    keys = [by, "ca", "cb"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as few bytes are much work here
+    dealt = lambda t: t.repartition(parts, *keys).groupBy(*keys)
+    found = dealt(left).cogroup(dealt(right)).applyInArrow(run, f"{by} {kinds[0][by]}, a {kinds[0]['id']}, b {kinds[1]['id']}, aa double, ab double, shared_area double")
     s = F.col("shared_area")
     return found.select(by, "a", "b", "shared_area", (s / (F.col("aa") + F.col("ab") - s)).alias("iou"), (s / F.least("aa", "ab")).alias("containment"))
 
