@@ -413,23 +413,55 @@ def ring_area(ring: np.ndarray) -> float:
     return float((ring[:, 0] * after[:, 1] - ring[:, 1] * after[:, 0]).sum()) / 2
 
 
+def clip_rings(rings_: pa.ListArray, windows: pa.ListArray) -> tuple[list[np.ndarray | None], np.ndarray]:
+    """The part of each ring in its convex window, None if nothing is left, and the signed areas. Only rings that a side of the window crosses are followed."""
+    size, most = np.diff(rings_.offsets.to_numpy()), np.diff(windows.offsets.to_numpy())
+    flat = np.stack([rings_.flatten().field(c).to_numpy() for c in "xy"], axis=1)
+    edge = np.stack([windows.flatten().field(c).to_numpy() for c in "xy"], axis=1)
+    first, begin = np.cumsum(size) - size, np.cumsum(most) - most
+    of = np.repeat(np.arange(len(size)), size)
+    inside, outside = np.ones(len(size), bool), np.zeros(len(size), bool)
+    for k in range(most.max(initial=0)):
+        p, q = edge[begin + k % np.maximum(most, 1)], edge[begin + (k + 1) % np.maximum(most, 1)]
+        side = ((q - p)[of, 0]) * (flat[:, 1] - p[of, 1]) - ((q - p)[of, 1]) * (flat[:, 0] - p[of, 0])
+        left = np.bincount(of, side >= 0, len(size))
+        inside &= left == size
+        outside |= left == 0
+    after = np.arange(1, len(flat) + 1)
+    after[(first + size - 1)[size > 0]] = first[size > 0]
+    area = np.bincount(of, flat[:, 0] * flat[after, 1] - flat[after, 0] * flat[:, 1], len(size)) / 2
+    area[size < 3] = 0.0
+    out: list[np.ndarray | None] = [None] * len(size)
+    for i in np.flatnonzero(~outside & (size > 2)).tolist():
+        ring = flat[first[i] : first[i] + size[i]]
+        out[i] = ring
+        if not inside[i]:
+            ring = clip_ring(ring, edge[begin[i] : begin[i] + most[i]])
+            out[i], area[i] = (ring if len(ring) > 2 else None), ring_area(ring)
+    area[outside] = 0.0
+    return out, area
+
+
 def clipped(found: DataFrame, windows: DataFrame, least: float = 0.25, by: str = "dataset_id") -> DataFrame:
     """Shapes (by, id, rings, area) inside their plot's convex window (by, window), without those below ``least`` area.
 
-    ``window`` is an array of struct(x, y) whose corners turn to the left, one row for each ``by``. Outer rings and
-    holes keep their turn, so a shape's area is the sum over its rings.
+    ``found`` has shapes with ``rings``, or a row a ring with its ``corners``. ``window`` is an array of struct(x, y)
+    whose corners turn to the left, one row for each ``by``. Rings are clipped one by one, so no shape is held whole.
+    Outer rings and holes keep their turn, so a shape's area is the sum over its rings.
     """
     kind = dict(found.dtypes)
+    corner = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rings_, window in zip(batch.column("rings").to_pylist(), batch.column("window").to_pylist(), strict=True):
-                corners = np.array([(c["x"], c["y"]) for c in window], float)
-                kept = [r for r in (clip_ring(np.array([(c["x"], c["y"]) for c in ring], float).reshape(-1, 2), corners) for ring in rings_) if len(r) > 2]
-                out.append(([[{"x": float(x), "y": float(y)} for x, y in r] for r in kept], sum(map(ring_area, kept))))
-            ring_type = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("id"), pa.array([r for r, _ in out], ring_type), pa.array([a for _, a in out], pa.float64())], [by, "id", "rings", "area"])
-
-    joined = found.select(by, "id", "rings").join(windows.select(by, "window"), by)
-    return joined.mapInArrow(run, f"{by} {kind[by]}, id {kind['id']}, rings {RINGS}, area double").where(F.col("area") >= least)
+            kept, areas = clip_rings(batch.column("corners"), batch.column("window"))
+            n = np.array([0 if r is None else len(r) for r in kept], np.int64)
+            xy = np.concatenate([np.zeros((0, 2)), *(r for r in kept if r is not None)])
+            offsets = pa.array(np.append(0, np.cumsum(n)), pa.int32(), mask=np.append(n == 0, False))
+            rings_ = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], fields=list(corner)))
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("id"), rings_, pa.array(areas)], [by, "id", "ring", "area"])
+
+    each = found.select(by, "id", F.explode_outer("rings").alias("corners")) if "rings" in found.columns else found.select(by, "id", "corners")
+    joined = each.withColumn("corners", F.coalesce("corners", F.array().cast(RINGS[6:-1]))).join(small(windows.select(by, "window")), by)
+    parts = joined.mapInArrow(run, f"{by} {kind[by]}, id {kind['id']}, ring {RINGS[6:-1]}, area double")
+    return parts.groupBy(by, "id").agg(F.collect_list("ring").alias("rings"), F.sum("area").alias("area")).where(F.col("area") >= least)

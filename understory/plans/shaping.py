@@ -57,5 +57,5 @@ def clipped_crowns(spark, d):
     mid = views.points(spark, d).groupBy("dataset_id").agg(F.floor(F.avg("x")).alias("x"))
     at = lambda x, y: F.struct((F.col("x") + x).alias("x"), F.lit(y).alias("y"))
     windows = mid.select("dataset_id", F.array(at(-20.25, 5.75), at(10.5, 5.75), at(10.5, 40.125), at(-20.25, 40.125)).alias("window"))
-    found = polygons.clipped(shaped(spark, d, "truth"), windows)
+    found = polygons.clipped(polygons.rings(footprints(spark, d, "truth"), "truth").withColumnRenamed("truth", "id"), windows)
     return rounded(found.select("dataset_id", F.col("id").alias("label"), "area"))
